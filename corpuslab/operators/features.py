@@ -185,7 +185,8 @@ def tighten_scope(df: DataFrame, p: ScopeParams = ScopeParams()) -> DataFrame:
     return ranked.withColumn("top_OK", F.col("top_OK") & ok).drop("_pr")
 
 
-def feature_table(articles: DataFrame, p: ScopeParams = ScopeParams(), topic_flags: DataFrame | None = None) -> DataFrame:
+def feature_table(articles: DataFrame, p: ScopeParams = ScopeParams(), topic_flags: DataFrame | None = None,
+                  tighten: bool = True) -> DataFrame:
     """All derived columns of the exploration / feature stage, in the script's order.
 
     ``topic_flags`` is the wide boolean table keyed by ``my_id`` (see
@@ -203,7 +204,7 @@ def feature_table(articles: DataFrame, p: ScopeParams = ScopeParams(), topic_fla
     t = t.withColumn("first_author", tx.first_author("author"))
     t = add_lead_type_class(t)
     t = add_series_flag(t, p.series_min_rows)
-    return tighten_scope(t, p)
+    return tighten_scope(t, p) if tighten else t
 
 
 def scoped_articles(features: DataFrame) -> DataFrame:

@@ -1,10 +1,11 @@
 """Order-dependent operators that must not collapse to one task.
 
-``row_number().over(Window.orderBy(..))`` and ``percent_rank()`` over an
-unpartitioned window move every row into a single partition. The forms here
-keep the work distributed and only move per-partition or per-value summaries
-(whose size is bounded by the partition count or the value range) through a
-small window.
+``row_number().over(Window.orderBy(..))``, ``percent_rank()`` and exact
+quantiles over an unpartitioned window move every row into a single partition.
+The forms here keep the work distributed: values are first counted per distinct
+value (a partial aggregate, so hot values cost nothing extra), the counts are
+range-partitioned, each partition computes its local running count, and only
+one row per (group, partition) goes through the small offset window.
 """
 
 from __future__ import annotations
@@ -12,17 +13,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+_UNB = Window.unboundedPreceding
+
+
+def _parts(df: DataFrame, n: int | None) -> int:
+    return n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
 
 def add_row_number(df: DataFrame, order_col: str, out_col: str = "row_no", num_partitions: int | None = None) -> DataFrame:
-    """1-based row number in ``order_col`` order (ties broken arbitrarily; the key should be unique).
+    """1-based row number in ``order_col`` order (the key should be unique).
 
-    Range-partition by the key (balanced by sampling), sort inside each
+    Range-partition by the key (bounds from a sample), sort inside each
     partition, count rows per partition, and add the running offset of the
-    partitions before it. Only one row per partition passes through the
-    offset window, so the plan holds at any row count.
+    partitions before it. At most one row per partition passes through the
+    offset window, and that table is broadcast (bounded by the partition count).
     """
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = _parts(df, num_partitions)
     ranged = (
         df.repartitionByRange(n, order_col)
         .sortWithinPartitions(order_col)
@@ -32,54 +38,86 @@ def add_row_number(df: DataFrame, order_col: str, out_col: str = "row_no", num_p
     offsets = (
         ranged.groupBy("_pid")
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn(
-            "_off",
-            F.coalesce(
-                F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
-                F.lit(0),
-            ),
-        )
+        .withColumn("_off", F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(_UNB, -1)), F.lit(0)))
         .select("_pid", "_off")
     )
-    # at most `n` rows: a proven bound, so the broadcast is safe
     out = ranged.join(F.broadcast(offsets), "_pid").withColumn(out_col, F.col("_off") + F.col("_local") + F.lit(1))
     return out.drop("_pid", "_local", "_off")
 
 
-def percent_rank_by_histogram(df: DataFrame, value_col: str, out_col: str, block: int = 4096) -> DataFrame:
-    """dplyr ``percent_rank``: (rows with a smaller value) / (non-null rows - 1); null stays null.
+def cumulative_counts(hist: DataFrame, value_col: str, count_col: str, group_cols=(), num_partitions: int | None = None) -> DataFrame:
+    """Add ``_before`` (rows of the group with a smaller value) and ``_total`` (rows of the group)
+    to a ``(groups..., value, count)`` histogram, without any single-partition window."""
+    g = list(group_cols)
+    n = _parts(hist, num_partitions)
+    ranged = hist.repartitionByRange(n, *g, value_col).withColumn("_pid", F.spark_partition_id())
+    w_local = Window.partitionBy("_pid", *g).orderBy(value_col).rowsBetween(_UNB, -1)
+    local = ranged.withColumn("_loc", F.coalesce(F.sum(count_col).over(w_local), F.lit(0)))
+    per = ranged.groupBy(*g, "_pid").agg(F.sum(count_col).alias("_pc"))
+    w_grp = Window.partitionBy(*g) if g else Window.partitionBy(F.lit(1))
+    per = per.withColumn("_off", F.coalesce(F.sum("_pc").over(w_grp.orderBy("_pid").rowsBetween(_UNB, -1)), F.lit(0)))
+    per = per.withColumn("_total", F.sum("_pc").over(w_grp)).drop("_pc")
+    out = local.join(per, g + ["_pid"])
+    return out.withColumn("_before", F.col("_loc") + F.col("_off")).drop("_loc", "_off", "_pid")
 
-    Counts per distinct value (partial aggregation, so hot values cost nothing
-    extra), then a two-level prefix sum: inside blocks of ``block`` consecutive
-    values, and over block totals. Every window sees at most one block or the
-    list of blocks, never the table.
-    """
+
+def value_histogram(df: DataFrame, value_col: str, group_cols=()) -> DataFrame:
     v = F.col(value_col)
-    hist = df.where(v.isNotNull()).groupBy(v.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    hist = hist.withColumn("_blk", F.floor(F.col("_v") / F.lit(block)))
-    hist = hist.withColumn(
-        "_in_blk",
-        F.coalesce(
-            F.sum("_c").over(Window.partitionBy("_blk").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)),
-            F.lit(0),
-        ),
-    )
-    blocks = hist.groupBy("_blk").agg(F.sum("_c").alias("_bn"))
-    blocks = blocks.withColumn(
-        "_boff",
-        F.coalesce(F.sum("_bn").over(Window.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-    ).withColumn("_total", F.sum("_bn").over(Window.partitionBy(F.lit(1))))
-    ranks = hist.join(blocks, "_blk").select(
-        F.col("_v"),
-        F.when(F.col("_total") > 1, (F.col("_in_blk") + F.col("_boff")) / (F.col("_total") - F.lit(1)))
+    return df.where(v.isNotNull()).groupBy(*group_cols, v.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+
+
+def values_at_ranks(cum: DataFrame, targets: DataFrame, group_cols=()) -> DataFrame:
+    """For each target row ``(groups..., _k)`` (0-based rank), the value holding that rank.
+
+    ``targets`` is small (groups x requested ranks); it is joined on the group
+    keys with a range condition on the running counts.
+    """
+    g = list(group_cols)
+    t = targets.alias("t")
+    c = cum.select(*g, "_v", "_c", "_before").alias("c")
+    cond = [F.col("c._before") <= F.col("t._k"), F.col("t._k") < F.col("c._before") + F.col("c._c")]
+    cond += [F.col(f"c.{k}").eqNullSafe(F.col(f"t.{k}")) for k in g]
+    # targets: groups x requested ranks, bounded by the caller
+    joined = F.broadcast(t).join(c, cond)
+    return joined.select(*[F.col(f"t.{k}").alias(k) for k in g], "t._k", F.col("c._v").alias("_at"))
+
+
+def exact_quantiles(df: DataFrame, value_col: str, probs: dict[str, float], group_cols=()) -> DataFrame:
+    """Exact quantiles by linear interpolation (R type 7, Spark ``percentile``, DuckDB ``quantile_cont``).
+
+    Returns one row per group with one column per name in ``probs``.
+    """
+    g = list(group_cols)
+    spark = df.sparkSession
+    cum = cumulative_counts(value_histogram(df, value_col, g), "_v", "_c", g)
+    totals = cum.select(*g, "_total").distinct()
+    p = spark.createDataFrame([(k, float(v)) for k, v in probs.items()], "_name string, _p double")
+    t = totals.crossJoin(F.broadcast(p)).withColumn("_h", (F.col("_total") - 1) * F.col("_p"))
+    t = t.withColumn("_lo", F.floor("_h")).withColumn("_hi", F.ceil("_h"))
+    ks = t.select(*g, F.col("_lo").alias("_k")).unionByName(t.select(*g, F.col("_hi").alias("_k"))).distinct()
+    at = values_at_ranks(cum, ks, g)
+    lo = at.select(*g, F.col("_k").alias("_lo"), F.col("_at").alias("_vlo"))
+    hi = at.select(*g, F.col("_k").alias("_hi"), F.col("_at").alias("_vhi"))
+    r = t.join(lo, g + ["_lo"]).join(hi, g + ["_hi"])
+    r = r.withColumn("_q", F.col("_vlo") + (F.col("_h") - F.col("_lo")) * (F.col("_vhi") - F.col("_vlo")))
+    aggs = [F.max(F.when(F.col("_name") == k, F.col("_q"))).cast("double").alias(k) for k in probs]
+    return r.groupBy(*g).agg(*aggs) if g else r.agg(*aggs)
+
+
+def percent_rank_by_histogram(df: DataFrame, value_col: str, out_col: str) -> DataFrame:
+    """dplyr ``percent_rank``: (rows with a smaller value) / (non-null rows - 1); null stays null."""
+    cum = cumulative_counts(value_histogram(df, value_col), "_v", "_c")
+    ranks = cum.select(
+        "_v",
+        F.when(F.col("_total") > 1, F.col("_before") / (F.col("_total") - F.lit(1)))
         .otherwise(F.lit(float("nan")))
         .alias(out_col),
     )
-    return df.join(ranks, v == F.col("_v"), "left").drop("_v")
+    return df.join(ranks, F.col(value_col) == F.col("_v"), "left").drop("_v")
 
 
 def percent_rank_by_window(df: DataFrame, value_col: str, out_col: str) -> DataFrame:
-    """Reference form of :func:`percent_rank_by_histogram` (single-partition window; small inputs only)."""
+    """Textbook form of :func:`percent_rank_by_histogram` (one-partition window; small inputs and tests only)."""
     v = F.col(value_col)
     ranked = df.where(v.isNotNull()).withColumn(out_col, F.percent_rank().over(Window.orderBy(v)))
     return ranked.unionByName(df.where(v.isNull()).withColumn(out_col, F.lit(None).cast("double")))

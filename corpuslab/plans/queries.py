@@ -36,3 +36,484 @@ def register(name: str, sql: str | None = None):
 @register("clean_corpus", S.with_base("select my_id, clean_word_text, lemma_text from texts"))
 def q_clean_corpus(spark, sf):
     return st.texts_df(spark, sf)
+
+
+from corpuslab.functions import text as tx  # noqa: E402
+from corpuslab.functions.lists import EXCLUDED_LEAD_TYPES, ENTITY_EXCLUSIONS, sql_list  # noqa: E402
+from corpuslab.operators import cleanse, explore, features  # noqa: E402
+from corpuslab.sources import tables  # noqa: E402
+
+W = S.with_base
+ARTICLE_COLS = tables.ARTICLE_COLUMNS + ["doc_id"]
+FEATURE_COLS = ARTICLE_COLS + ["top_OK", "my_id", "top_partner", "date_min", "nb_days", "nb_char_text",
+                               "nb_topics", "first_author", "post_lead_type2", "top_series"]
+
+
+def _feat(spark, sf):
+    return st.features_df(spark, sf)
+
+
+# ---------------------------------------------------------------------------
+# 2.1 Sources, sinks, catalog (rows 1-6)
+# ---------------------------------------------------------------------------
+@register("load_articles", W("select * from articles"))
+def q_load_articles(spark, sf):
+    return st.articles_df(spark, sf)
+
+
+@register("load_lexicon", W("select word, lemma from lexicon"))
+def q_load_lexicon(spark, sf):
+    return st.lexicon_df(spark, sf)
+
+
+@register("stage_roundtrip", W(f"select {', '.join(FEATURE_COLS)} from features"))
+def q_stage_roundtrip(spark, sf):
+    return tables.stage_roundtrip(_feat(spark, sf).select(*FEATURE_COLS), "feature_table")
+
+
+@register("feature_table", W(f"select {', '.join(FEATURE_COLS)} from features"))
+def q_feature_table(spark, sf):
+    return _feat(spark, sf).select(*FEATURE_COLS)
+
+
+@register("list_columns", W(" union all ".join(
+    f"select cast({i + 1} as bigint) as position, '{c}' as column_name, count({c}) as n_non_null from articles"
+    for i, c in enumerate(ARTICLE_COLS))))
+def q_list_columns(spark, sf):
+    return tables.list_columns(st.articles_df(spark, sf).select(*ARTICLE_COLS))
+
+
+@register("preview_truncated", W(
+    "select " + ", ".join(f"substring(cast({c} as varchar), 1, 200) as {c}" for c in ARTICLE_COLS)
+    + " from articles order by url limit 10"))
+def q_preview(spark, sf):
+    return tables.preview_truncated(st.articles_df(spark, sf).select(*ARTICLE_COLS), 10, 200, "url")
+
+
+CARD_SQL = """
+select 'articles' as stage, count(*) as n_rows, count(distinct url) + max(case when url is null then 1 else 0 end) as n_unique from articles
+union all select 'authors', count(*), count(distinct author) + max(case when author is null then 1 else 0 end) from articles
+union all select 'tokens', count(*), count(distinct word) from tokwords
+union all select 'words', count(*), count(distinct word) from words
+union all select 'lemmatised', count(*), count(distinct word) from joined1 where length(lemma) > 3
+union all select 'lemmatised_grown', count(*), count(distinct word) from joined2 where length(lemma) > 3
+"""
+
+
+@register("cardinality_audit", W(CARD_SQL))
+def q_cardinality(spark, sf):
+    def card(df, stage, col):
+        return df.agg(
+            F.lit(stage).alias("stage"),
+            F.count(F.lit(1)).alias("n_rows"),
+            (F.countDistinct(col) + F.max(F.col(col).isNull().cast("long"))).cast("long").alias("n_unique"),
+        )
+
+    a = st.articles_df(spark, sf)
+    toks = cleanse.add_words(cleanse.tokenise(st.scoped_df(spark, sf)))
+    j1 = st.joined1_df(spark, sf)
+    j2 = st.joined2_df(spark, sf)
+    parts = [card(a, "articles", "url"), card(a, "authors", "author"), card(toks, "tokens", "word"),
+             card(cleanse.drop_short(toks), "words", "word"),
+             card(j1.where(F.length("lemma") > 3), "lemmatised", "word"),
+             card(j2.where(F.length("lemma") > 3), "lemmatised_grown", "word")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+# ---------------------------------------------------------------------------
+# 2.2 Projection, column update, filter, predicates (rows 7-19)
+# ---------------------------------------------------------------------------
+@register("project_text", W("select my_id, text from scoped"))
+def q_project_text(spark, sf):
+    return cleanse.project_text(st.scoped_df(spark, sf))
+
+
+@register("add_column", W("select my_id, author, top_partner, nb_char_text, nb_topics from features"))
+def q_add_column(spark, sf):
+    return _feat(spark, sf).select("my_id", "author", "top_partner", "nb_char_text", "nb_topics")
+
+
+@register("conditional_update", W("select my_id, top_OK, date_min, nb_days from feat2"))
+def q_conditional_update(spark, sf):
+    return st.features_first_scope_df(spark, sf).select("my_id", "top_OK", "date_min", "nb_days")
+
+
+@register("drop_columns", W('select my_id, "order", token, word from joined1'))
+def q_drop_columns(spark, sf):
+    return st.joined1_df(spark, sf).drop("lemma").select("my_id", "order", "token", "word")
+
+
+@register("scope_filter", W("select my_id, url from features where top_OK"))
+def q_scope_filter(spark, sf):
+    return _feat(spark, sf).where(F.col("top_OK")).select("my_id", "url")
+
+
+@register("filter_complement", W(
+    "select f.my_id from feat3 f left join len_pr p on f.my_id = p.my_id "
+    "where not coalesce(length(f.text) > 200 and p.pr < 0.95, false)"))
+def q_filter_complement(spark, sf):
+    t = features.add_length_percent_rank(st.features_first_scope_df(spark, sf), "_pr")
+    rule = tx.null_false((F.length("text") > 200) & (F.col("_pr") < 0.95))
+    return t.where(~rule).select("my_id")
+
+
+@register("filter_null_lemma", W('select my_id, "order", word from joined1 where lemma is null'))
+def q_filter_null_lemma(spark, sf):
+    return cleanse.oov_words(st.joined1_df(spark, sf)).select("my_id", "order", "word")
+
+
+@register("in_list", W(
+    "select a.url, a.channel, c.n is not null as channel_ok from articles a "
+    "left join chan_freq c on a.channel is not distinct from c.channel"))
+def q_in_list(spark, sf):
+    a = st.articles_df(spark, sf)
+    chans = features.frequent_values(a, "channel", None, S.CHANNEL_SHARE)
+    return features.in_list(a, "channel", chans, "channel", "channel_ok").select("url", "channel", "channel_ok")
+
+
+@register("not_in_list", W(
+    f"select url, post_lead_type from articles where post_lead_type is not null "
+    f"and post_lead_type not in ({sql_list(EXCLUDED_LEAD_TYPES)})"))
+def q_not_in_list(spark, sf):
+    a = st.articles_df(spark, sf)
+    excluded = spark.createDataFrame([(v,) for v in (*EXCLUDED_LEAD_TYPES, None)], "v string")
+    return features.not_in_list(a, "post_lead_type", excluded, "v").select("url", "post_lead_type")
+
+
+@register("scope_flag", W("select url, top_OK from scoped0"))
+def q_scope_flag(spark, sf):
+    return features.add_scope_flag(st.articles_df(spark, sf), st.SCOPE).select("url", "top_OK")
+
+
+@register("scope_flag_tight", W("select my_id, top_OK from features"))
+def q_scope_flag_tight(spark, sf):
+    return _feat(spark, sf).select("my_id", "top_OK")
+
+
+@register("lead_type_class", W("select url, post_lead_type, post_lead_type2 from feat2"))
+def q_lead_type_class(spark, sf):
+    return features.add_lead_type_class(st.articles_df(spark, sf)).select("url", "post_lead_type", "post_lead_type2")
+
+
+# ---------------------------------------------------------------------------
+# 2.3 Joins (rows 20-29)
+# ---------------------------------------------------------------------------
+@register("lemma_left_join", W('select my_id, "order", word, lemma from joined1'))
+def q_lemma_left_join(spark, sf):
+    return st.joined1_df(spark, sf).select("my_id", "order", "word", "lemma")
+
+
+@register("lemma_rejoin", W('select my_id, "order", word, lemma from joined2'))
+def q_lemma_rejoin(spark, sf):
+    return st.joined2_df(spark, sf).select("my_id", "order", "word", "lemma")
+
+
+@register("join_doc_texts", W("select my_id, clean_word_text, lemma_text from texts"))
+def q_join_doc_texts(spark, sf):
+    j2 = st.joined2_df(spark, sf)
+    words = cleanse.ordered_text(j2, "my_id", "order", "word", "clean_word_text")
+    lemmas = cleanse.ordered_text(cleanse.drop_short(j2, "lemma"), "my_id", "order", "lemma", "lemma_text")
+    return words.join(lemmas, "my_id", "left")
+
+
+@register("attach_doc_texts", W(
+    "select s.my_id, s.url, s.top_city, t.clean_word_text, t.lemma_text from scoped s left join texts t on s.my_id = t.my_id"))
+def q_attach_doc_texts(spark, sf):
+    return st.corpus_df(spark, sf).select("my_id", "url", "top_city", "clean_word_text", "lemma_text")
+
+
+@register("top_series", W("select my_id, title, top_series from features"))
+def q_top_series(spark, sf):
+    return _feat(spark, sf).select("my_id", "title", "top_series")
+
+
+@register("semi_by_id", W(
+    "select f.my_id from feat3 f where f.my_id in (select p.my_id from len_pr p join feat3 g on p.my_id = g.my_id "
+    "where length(g.text) > 200 and p.pr < 0.95)"))
+def q_semi_by_id(spark, sf):
+    t = st.features_first_scope_df(spark, sf)
+    kept = features.add_length_percent_rank(t, "_pr").where((F.length("text") > 200) & (F.col("_pr") < 0.95))
+    return t.join(kept.select("my_id"), "my_id", "left_semi").select("my_id")
+
+
+@register("oov_tokens", W('select w.my_id, w."order", w.word from words w anti join lexicon x on w.word = x.word'))
+def q_oov_tokens(spark, sf):
+    lex = cleanse.checked_broadcast(st.lexicon_df(spark, sf))
+    return st.words_df(spark, sf).join(lex, "word", "left_anti").select("my_id", "order", "word")
+
+
+@register("days_since_first", W("select my_id, date, date_min, nb_days from feat2"))
+def q_days_since_first(spark, sf):
+    return st.features_first_scope_df(spark, sf).select("my_id", "date", "date_min", "nb_days")
+
+
+# ---------------------------------------------------------------------------
+# 2.4 Aggregations (rows 30-42)
+# ---------------------------------------------------------------------------
+def _count_query(name: str, source: str, keys: tuple[str, ...], builder):
+    cols = ", ".join(keys)
+    register(name, W(f"select {cols}, count(*) as n from {source} group by {cols}"))(
+        lambda spark, sf: explore.group_count(builder(spark, sf), *keys)
+    )
+
+
+for _k in ("channel", "author", "post_lead_type", "geo", "sourced_from", "content_type", "shares", "date",
+           "topics", "title"):
+    _count_query(f"count_by_{_k}" if _k != "post_lead_type" else "count_by_lead_type", "articles", (_k,),
+                 lambda spark, sf: st.articles_df(spark, sf))
+_count_query("count_by_top_ok", "features", ("top_OK",), _feat)
+_count_query("count_by_top_series", "features", ("top_series",), _feat)
+_count_query("count_by_top_city", "scoped", ("top_city",), lambda spark, sf: st.scoped_df(spark, sf))
+_count_query("count_by_two_keys", "articles", ("topics", "author"), lambda spark, sf: st.articles_df(spark, sf))
+_count_query("count_by_title_author", "articles", ("title", "author"), lambda spark, sf: st.articles_df(spark, sf))
+_count_query("count_by_class_channel", "features", ("post_lead_type2", "channel"), _feat)
+
+
+@register("count_by_month", W(
+    "select concat(substring(date, 7, 5), substring(date, 1, 2)) as month, count(*) as n from articles group by 1"))
+def q_count_by_month(spark, sf):
+    return explore.count_by_month(st.articles_df(spark, sf))
+
+
+@register("series_groups", W(
+    "select title, author, date, count(*) as n from articles group by title, author, date having count(*) > 2"))
+def q_series_groups(spark, sf):
+    return features.series_groups(st.articles_df(spark, sf), 2, ("title", "author", "date"))
+
+
+@register("frequent_channels", W("select channel, n from chan_freq"))
+def q_frequent_channels(spark, sf):
+    return features.frequent_values(st.articles_df(spark, sf), "channel", None, S.CHANNEL_SHARE)
+
+
+@register("distinct_lead_types", W("select distinct post_lead_type from articles"))
+def q_distinct_lead_types(spark, sf):
+    return st.articles_df(spark, sf).select("post_lead_type").distinct()
+
+
+DUPS = "dups AS (select * from articles union all select * from articles where doc_id % 50 = 0)"
+
+
+@register("dedupe_by_url", W(
+    f"select {', '.join(ARTICLE_COLS)} from dups qualify row_number() over (partition by url order by doc_id) = 1", DUPS))
+def q_dedupe_by_url(spark, sf):
+    return features.dedupe_by_key(tables.articles_with_duplicates(spark, sf), "url").select(*ARTICLE_COLS)
+
+
+@register("min_date", W("select date_min_lexicographic, date_min_chronological from dmin"))
+def q_min_date(spark, sf):
+    t = features.dedupe_by_key(features.add_scope_flag(st.articles_df(spark, sf), st.SCOPE), "url")
+    return features.min_date(t).select("date_min_lexicographic", "date_min_chronological")
+
+
+def _summary_sql(src: str, col: str) -> str:
+    return (f"select min({col})::double as min, quantile_cont({col}, 0.25)::double as q1, "
+            f"quantile_cont({col}, 0.5)::double as median, avg({col})::double as mean, "
+            f"quantile_cont({col}, 0.75)::double as q3, max({col})::double as max, count({col}) as n from {src}")
+
+
+@register("shares_summary", W(_summary_sql("articles", "shares")))
+def q_shares_summary(spark, sf):
+    return explore.five_number_summary(st.articles_df(spark, sf), "shares").select(
+        "min", "q1", "median", "mean", "q3", "max", "n")
+
+
+@register("length_mean_median", W(
+    "select avg(nb_char_text)::double as mean, quantile_cont(nb_char_text, 0.5)::double as median from feat2 where top_OK"))
+def q_length_mean_median(spark, sf):
+    t = st.features_first_scope_df(spark, sf).where(F.col("top_OK"))
+    return explore.mean_median(t, "nb_char_text")
+
+
+def _fivenum_sql(src: str, col: str, label: str) -> str:
+    return f"""(with x as (select cast({col} as double) as v from {src} where {col} is not null),
+  o as (select v, row_number() over (order by v) as r, count(*) over () as n from x),
+  d as (select n, floor((n + 3) / 2) / 2 as n4 from o limit 1),
+  pos as (select 0 as i, 1.0 as p from d union all select 1, n4 from d union all select 2, (n + 1) / 2 from d
+          union all select 3, n + 1 - n4 from d union all select 4, n from d),
+  f as (select pos.i, 0.5 * (a.v + b.v) as fv from pos join o a on a.r = floor(pos.p) join o b on b.r = ceil(pos.p)),
+  h as (select max(case when i = 1 then fv end) as lower_hinge, max(case when i = 2 then fv end) as median,
+        max(case when i = 3 then fv end) as upper_hinge from f)
+  select '{label}' as variable,
+    min(case when v >= lower_hinge - 1.5 * (upper_hinge - lower_hinge) and v <= upper_hinge + 1.5 * (upper_hinge - lower_hinge) then v end) as ymin,
+    lower_hinge, median, upper_hinge,
+    max(case when v >= lower_hinge - 1.5 * (upper_hinge - lower_hinge) and v <= upper_hinge + 1.5 * (upper_hinge - lower_hinge) then v end) as ymax,
+    count(*) as n,
+    sum(case when v >= lower_hinge - 1.5 * (upper_hinge - lower_hinge) and v <= upper_hinge + 1.5 * (upper_hinge - lower_hinge) then 0 else 1 end)::bigint as n_out
+  from x cross join h group by lower_hinge, median, upper_hinge)"""
+
+
+@register("boxplot_stats", W(
+    "select * from " + _fivenum_sql("articles", "shares", "shares") + " union all select * from "
+    + _fivenum_sql("features", "nb_char_text", "nb_char_text")))
+def q_boxplot_stats(spark, sf):
+    a = explore.boxplot_stats(st.articles_df(spark, sf), "shares").select(F.lit("shares").alias("variable"), "*")
+    b = explore.boxplot_stats(_feat(spark, sf), "nb_char_text").select(F.lit("nb_char_text").alias("variable"), "*")
+    return a.unionByName(b)
+
+
+def _kde_sql(src: str, col: str) -> str:
+    return f"""with x as (select cast({col} as double) as v from {src} where {col} is not null),
+  s as (select count(*) as n, stddev_samp(v) as sd, min(v) as mn, max(v) as mx,
+        quantile_cont(v, 0.25) as q1, quantile_cont(v, 0.75) as q3 from x),
+  b as (select n, 0.9 * (case when least(sd, (q3 - q1) / 1.34) > 0 then least(sd, (q3 - q1) / 1.34)
+          when sd > 0 then sd else 1.0 end) * pow(cast(n as double), -0.2) as bw, mn, mx from s),
+  g as (select n, bw, mn - 3 * bw as lo, (mx + 3 * bw - (mn - 3 * bw)) / 511 as step from b),
+  h as (select v, count(*) as c from x group by v),
+  grid as (select cast(i as bigint) as i, lo + i * step as gx, n, bw from g cross join range(512) t(i))
+select grid.i, round(grid.gx, 4) as x,
+  round(sum(h.c * exp(-0.5 * ((grid.gx - h.v) / grid.bw) * ((grid.gx - h.v) / grid.bw)))
+        / (grid.n * grid.bw * sqrt(2 * pi())), 12) as density
+from grid cross join h group by grid.i, grid.gx, grid.n, grid.bw"""
+
+
+def _kde_spark(df, col):
+    k = explore.kernel_density(df, col)
+    return k.select("i", F.round("x", 4).alias("x"), F.round("density", 12).alias("density"))
+
+
+register("density_shares", _kde_sql("(select * from articles)", "shares").replace("with x as", "with " + S.ARTICLES + ", x as", 1))(
+    lambda spark, sf: _kde_spark(st.articles_df(spark, sf), "shares"))
+
+
+@register("shares_digits", W("select url, length(cast(shares as varchar)) as shares_digits from articles"))
+def q_shares_digits(spark, sf):
+    return st.articles_df(spark, sf).select("url", tx.digit_count("shares").alias("shares_digits"))
+
+
+# ---------------------------------------------------------------------------
+# 2.5 Window functions (rows 49-51)
+# ---------------------------------------------------------------------------
+@register("row_ids", W("select url, my_id from feat1"))
+def q_row_ids(spark, sf):
+    a = features.dedupe_by_key(st.articles_df(spark, sf), "url")
+    return features.add_row_ids(a, "url", "my_id", 5).select("url", "my_id")
+
+
+@register("token_order", W('select my_id, "order", token from tokens'))
+def q_token_order(spark, sf):
+    return cleanse.tokenise(st.scoped_df(spark, sf))
+
+
+@register("length_percent_rank", W(
+    "select f.my_id, round(p.pr, 6) as length_pr from feat3 f left join len_pr p on f.my_id = p.my_id"))
+def q_length_percent_rank(spark, sf):
+    t = features.add_length_percent_rank(st.features_first_scope_df(spark, sf), "length_pr")
+    return t.select("my_id", F.round("length_pr", 6).alias("length_pr"))
+
+
+# ---------------------------------------------------------------------------
+# 2.7 Set operations (rows 58-61)
+# ---------------------------------------------------------------------------
+@register("extend_lexicon", W("select word, lemma from lexicon2"))
+def q_extend_lexicon(spark, sf):
+    return st.grown_lexicon_df(spark, sf)
+
+
+@register("kept_lead_types", W(
+    f"select distinct post_lead_type from articles where post_lead_type is not null "
+    f"and post_lead_type not in ({sql_list(EXCLUDED_LEAD_TYPES)})"))
+def q_kept_lead_types(spark, sf):
+    return features.kept_lead_types(st.articles_df(spark, sf))
+
+
+@register("lexicon_exclusions", W(f"select word, n from growth where word not in ({sql_list(ENTITY_EXCLUSIONS)})"))
+def q_lexicon_exclusions(spark, sf):
+    return cleanse.lexicon_exclusions(st.growth_df(spark, sf))
+
+
+# ---------------------------------------------------------------------------
+# 2.8 Scalar functions (rows 62-76)
+# ---------------------------------------------------------------------------
+@register("author_lower", W("select url, author from feat1"))
+def q_author_lower(spark, sf):
+    return st.articles_df(spark, sf).select("url", F.lower("author").alias("author"))
+
+
+@register("text_length", W("select my_id, nb_char_text from features"))
+def q_text_length(spark, sf):
+    return _feat(spark, sf).select("my_id", "nb_char_text")
+
+
+@register("has_coauthor", W("select my_id, author, top_partner from features"))
+def q_has_coauthor(spark, sf):
+    return _feat(spark, sf).select("my_id", "author", "top_partner")
+
+
+@register("first_author", W("select my_id, author, first_author from features"))
+def q_first_author(spark, sf):
+    return _feat(spark, sf).select("my_id", "author", "first_author")
+
+
+@register("topic_count", W("select url, nb_topics from feat2"))
+def q_topic_count(spark, sf):
+    return st.articles_df(spark, sf).select("url", tx.topic_count("topics").alias("nb_topics"))
+
+
+@register("parse_date", W("select url, date, cast(try_strptime(date, '%m/%d/%Y') as date) as day from articles"))
+def q_parse_date(spark, sf):
+    return st.articles_df(spark, sf).select("url", "date", tx.parse_date("date").alias("day"))
+
+
+@register("dateline_flag", W("select my_id, top_city from scoped"))
+def q_dateline_flag(spark, sf):
+    return st.scoped_df(spark, sf).select("my_id", "top_city")
+
+
+@register("dateline_strip", W("select my_id, text from scoped"))
+def q_dateline_strip(spark, sf):
+    return st.scoped_df(spark, sf).select("my_id", "text")
+
+
+# ---------------------------------------------------------------------------
+# 2.9 Text cleansing (rows 77-86)
+# ---------------------------------------------------------------------------
+@register("normalise_ws", W("select my_id, translate(text, chr(10) || chr(9) || chr(13), '   ') as text from scoped"))
+def q_normalise_ws(spark, sf):
+    return st.scoped_df(spark, sf).select("my_id", tx.normalise_ws("text").alias("text"))
+
+
+@register("tokenise", W('select my_id, "order", token from tokens'))
+def q_tokenise(spark, sf):
+    return cleanse.tokenise(st.scoped_df(spark, sf))
+
+
+def _token_step(name: str, sql_expr: str, col_fn):
+    register(name, W(f'select my_id, "order", {sql_expr} as x from tokens'))(
+        lambda spark, sf: cleanse.tokenise(st.scoped_df(spark, sf)).select("my_id", "order", col_fn("token").alias("x"))
+    )
+
+
+_token_step("strip_urls", f"regexp_replace(token, {S.URL}, ' ', 'g')", tx.strip_urls)
+_token_step("strip_emails", f"regexp_replace(token, {S.EMAIL}, ' ', 'g')", tx.strip_emails)
+_token_step("strip_punct", r"regexp_replace(token, '[!-/:-@\[-`{-~]', ' ', 'g')", tx.strip_punct)
+_token_step("strip_codepoints", r"regexp_replace(token, '^(.*?)<U\+\w+>', '\1 ')", tx.strip_codepoints)
+_token_step("letters_only", "lower(regexp_replace(token, '[^a-zA-Z]', '', 'g'))", tx.letters_only)
+
+
+@register("drop_short_words", W('select my_id, "order", word from words'))
+def q_drop_short_words(spark, sf):
+    return st.words_df(spark, sf).select("my_id", "order", "word")
+
+
+@register("drop_short_lemmas", W('select my_id, "order", word, lemma from joined2 where length(lemma) > 3'))
+def q_drop_short_lemmas(spark, sf):
+    return cleanse.drop_short(st.joined2_df(spark, sf), "lemma").select("my_id", "order", "word", "lemma")
+
+
+@register("augment_lexicon", W("select word, n from growth"))
+def q_augment_lexicon(spark, sf):
+    return st.growth_df(spark, sf)
+
+
+@register("clean_word_text", W("select my_id, clean_word_text from texts"))
+def q_clean_word_text(spark, sf):
+    return cleanse.ordered_text(st.joined2_df(spark, sf), "my_id", "order", "word", "clean_word_text")
+
+
+@register("lemma_text", W("select my_id, lemma_text from texts where lemma_text is not null"))
+def q_lemma_text(spark, sf):
+    return cleanse.ordered_text(cleanse.drop_short(st.joined2_df(spark, sf), "lemma"), "my_id", "order", "lemma", "lemma_text")

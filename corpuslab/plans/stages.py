@@ -53,3 +53,24 @@ def corpus_df(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lemma_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(my_id, lemma_text)`` for documents that kept at least one lemma."""
     return texts_df(spark, sf_dir).where(F.col("lemma_text").isNotNull()).select("my_id", "lemma_text")
+
+
+def features_first_scope_df(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feature table before the tightened scope rule (``top_OK`` as first defined)."""
+    return features.feature_table(articles_df(spark, sf_dir), SCOPE, tighten=False)
+
+
+def joined1_df(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left-joined with the fixture lexicon (before growth)."""
+    lex = cleanse.checked_broadcast(lexicon_df(spark, sf_dir))
+    return cleanse.lemmatise(words_df(spark, sf_dir), lex)
+
+
+def growth_df(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lex = cleanse.checked_broadcast(lexicon_df(spark, sf_dir))
+    return cleanse.oov_top_words(words_df(spark, sf_dir), lex, S.TOP_GROWTH)
+
+
+def joined2_df(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left-joined with the grown lexicon."""
+    return cleanse.lemmatise(words_df(spark, sf_dir), grown_lexicon_df(spark, sf_dir))

@@ -127,9 +127,13 @@ def stage_roundtrip(df: DataFrame, name: str) -> DataFrame:
 
 
 def list_columns(df: DataFrame) -> DataFrame:
-    """Column names and types as a DataFrame (row 4)."""
-    rows = [(i + 1, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)]
-    return df.sparkSession.createDataFrame(rows, "position long, column_name string, data_type string")
+    """``colnames(table)`` as data: position, name and non-null count of every column (row 4).
+
+    One aggregate pass, then ``stack`` turns the single row into one row per column.
+    """
+    counts = df.agg(*[F.count(F.col(c)).alias(f"_c{i}") for i, c in enumerate(df.columns)])
+    pairs = ", ".join(f"cast({i + 1} as bigint), '{c}', _c{i}" for i, c in enumerate(df.columns))
+    return counts.selectExpr(f"stack({len(df.columns)}, {pairs}) as (position, column_name, n_non_null)")
 
 
 def preview_truncated(df: DataFrame, n: int = 10, width: int = 200, order_by: str = "url") -> DataFrame:
