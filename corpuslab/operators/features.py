@@ -185,26 +185,51 @@ def tighten_scope(df: DataFrame, p: ScopeParams = ScopeParams()) -> DataFrame:
     return ranked.withColumn("top_OK", F.col("top_OK") & ok).drop("_pr")
 
 
-def feature_table(articles: DataFrame, p: ScopeParams = ScopeParams(), topic_flags: DataFrame | None = None,
-                  tighten: bool = True) -> DataFrame:
-    """All derived columns of the exploration / feature stage, in the script's order.
+def length_ranks(df: DataFrame, out_col: str = "_pr") -> DataFrame:
+    """``(_v = nchar(text), percent rank)`` per distinct text length (row 51, histogram form)."""
+    from corpuslab.operators.ranking import cumulative_counts, value_histogram
+
+    cum = cumulative_counts(value_histogram(df.select(F.length("text").alias("_len")), "_len"), "_v", "_c")
+    pr = F.when(F.col("_total") > 1, F.col("_before") / (F.col("_total") - F.lit(1))).otherwise(F.lit(float("nan")))
+    return cum.select("_v", pr.alias(out_col))
+
 
-    ``topic_flags`` is the wide boolean table keyed by ``my_id`` (see
-    :func:`corpuslab.operators.dfm.topic_flags_wide`); it is joined on the id,
-    never bound by position.
+def feature_table(articles: DataFrame, p: ScopeParams = ScopeParams(), topic_flags: DataFrame | None = None,
+                  tighten: bool = True, stage=None) -> DataFrame:
+    """All derived columns of the exploration / feature stage.
+
+    Row-level columns are computed in one pass into a base table (scope flag,
+    de-duplication, ids, author, lengths, label count, lead-type class). Every
+    global aggregate the script uses (minimum date, series titles, length
+    ranks) is computed from that base and joined back, so no branch re-derives
+    another. ``stage(df, name)`` may materialise the base (e.g.
+    :func:`corpuslab.sources.tables.stage_roundtrip`); by default it stays lazy.
+    ``topic_flags`` (wide, keyed by ``my_id``) is joined on the id, never bound by position.
     """
-    t = add_scope_flag(articles, p)
-    t = dedupe_by_key(t, "url")
-    t = add_row_ids(t, "url", "my_id", p.id_width)
-    t = t.withColumn("author", F.lower("author")).withColumn("top_partner", tx.has_coauthor("author"))
-    t = add_days_since_first(t, p.chronological_min_date)
-    t = add_text_stats(t)
+    base = add_scope_flag(articles, p)  # channel counts come from the input table, as in the script
+    base = dedupe_by_key(base, "url")
+    base = add_row_ids(base, "url", "my_id", p.id_width)
+    base = base.withColumn("author", F.lower("author")).withColumn("top_partner", tx.has_coauthor("author"))
+    base = add_text_stats(base).withColumn("first_author", tx.first_author("author"))
+    base = add_lead_type_class(base)
+    if stage is not None:
+        base = stage(base, "feature_base")
+
+    m = min_date(base).select(
+        F.col("date_min_chronological" if p.chronological_min_date else "date_min_lexicographic").alias("_dmin"))
+    in_scope = tx.null_false(F.col("top_OK"))
+    t = base.crossJoin(F.broadcast(m))
+    t = t.withColumn("date_min", F.when(in_scope, F.col("_dmin"))).withColumn(
+        "nb_days", F.when(in_scope, F.datediff(tx.parse_date("date"), tx.parse_date("_dmin")).cast("double"))).drop("_dmin")
+    t = in_list(t, "title", series_groups(base, p.series_min_rows), "title", "top_series")
     if topic_flags is not None:
         t = t.join(topic_flags, "my_id", "left")
-    t = t.withColumn("first_author", tx.first_author("author"))
-    t = add_lead_type_class(t)
-    t = add_series_flag(t, p.series_min_rows)
-    return tighten_scope(t, p) if tighten else t
+    if not tighten:
+        return t
+    ranks = length_ranks(base, "_pr")
+    t = t.join(ranks, F.length("text") == F.col("_v"), "left").drop("_v")
+    ok = tx.null_false((F.length("text") > p.min_text_length) & (F.col("_pr") < p.max_length_percent_rank))
+    return t.withColumn("top_OK", F.col("top_OK") & ok).drop("_pr")
 
 
 def scoped_articles(features: DataFrame) -> DataFrame:

@@ -109,10 +109,11 @@ def q_cardinality(spark, sf):
             (F.countDistinct(col) + F.max(F.col(col).isNull().cast("long"))).cast("long").alias("n_unique"),
         )
 
-    a = st.articles_df(spark, sf)
-    toks = cleanse.add_words(cleanse.tokenise(st.scoped_df(spark, sf)))
-    j1 = st.joined1_df(spark, sf)
-    j2 = st.joined2_df(spark, sf)
+    c = st.run(spark, sf)
+    a = c.articles
+    toks = cleanse.add_words(cleanse.tokenise(c.scoped))
+    j1 = c.joined1()
+    j2 = c.joined2()
     parts = [card(a, "articles", "url"), card(a, "authors", "author"), card(toks, "tokens", "word"),
              card(cleanse.drop_short(toks), "words", "word"),
              card(j1.where(F.length("lemma") > 3), "lemmatised", "word"),
@@ -241,8 +242,8 @@ def q_semi_by_id(spark, sf):
 
 @register("oov_tokens", W('select w.my_id, w."order", w.word from words w anti join lexicon x on w.word = x.word'))
 def q_oov_tokens(spark, sf):
-    lex = cleanse.checked_broadcast(st.lexicon_df(spark, sf))
-    return st.words_df(spark, sf).join(lex, "word", "left_anti").select("my_id", "order", "word")
+    c = st.run(spark, sf)
+    return c.words.join(c.lex, "word", "left_anti").select("my_id", "order", "word")
 
 
 @register("days_since_first", W("select my_id, date, date_min, nb_days from feat2"))
@@ -517,3 +518,232 @@ def q_clean_word_text(spark, sf):
 @register("lemma_text", W("select my_id, lemma_text from texts where lemma_text is not null"))
 def q_lemma_text(spark, sf):
     return cleanse.ordered_text(cleanse.drop_short(st.joined2_df(spark, sf), "lemma"), "my_id", "order", "lemma", "lemma_text")
+
+
+# ---------------------------------------------------------------------------
+# 2.10 Document-feature matrices (rows 45, 55, 61, 88-99)
+# ---------------------------------------------------------------------------
+from corpuslab.operators import dfm  # noqa: E402
+
+
+def _dbl(x: float) -> str:
+    """A Python double as a DuckDB double literal (same rounding as the Spark side)."""
+    return f"cast('{x!r}' as double)"
+
+
+LABEL_N = "(select count(*) from features)"
+DFM_CTES = rf"""
+label_toks AS (
+  select my_id, unnest(l) as term, generate_subscripts(l, 1) - 1 as pos
+  from (select my_id, regexp_split_to_array(lower(topics), '[,\s]+') as l from features)
+),
+label_dfm AS (
+  select my_id, term, count(*) as n, min(pos) as pos from label_toks
+  where term <> '' and term not in ('uncategorized', ',') group by my_id, term
+),
+label_stats AS (select term, sum(n) as total, count(*) as docfreq from label_dfm group by term),
+label_sparse AS (
+  select d.* from label_dfm d join label_stats s on d.term = s.term
+  where s.docfreq >= {_dbl(1 - S.LABEL_SPARSITY)} * {LABEL_N}
+),
+first_seen AS (
+  select term, my_id, pos from (select term, my_id, pos, row_number() over (partition by term order by my_id, pos) as r
+  from label_sparse) where r = 1
+),
+flag_feats0 AS (
+  select term, row_number() over (order by my_id, pos) as position from (select * from first_seen order by my_id, pos limit 9)
+),
+flag_feats AS (
+  select cast(position as bigint) as position, term,
+    case when k = 1 then base else base || '_' || cast(k as varchar) end as flag
+  from (select *, row_number() over (partition by base order by position) as k
+        from (select *, 'topic_' || lpad(substring(term, 1, 3), 3, '_') as base from flag_feats0))
+),
+flag_grid AS (
+  select f.my_id, ff.flag, exists (select 1 from label_sparse s where s.my_id = f.my_id and s.term = ff.term) as v
+  from features f cross join flag_feats ff
+),
+lemma_dfm AS (
+  select my_id, term, count(*) as n from (
+    select my_id, unnest(list_filter(string_split(lemma_text, ' '), lambda x: x <> '')) as term from texts
+    where lemma_text is not null) group by my_id, term
+),
+processed AS (
+  select d.* from lemma_dfm d where d.term not in (select term from stopwords) and length(d.term) >= 3
+    and d.term in (select term from lemma_dfm where term not in (select term from stopwords) group by term
+                   having count(*) > {_dbl(1 - S.CORPUS_SPARSITY)} * (select count(*) from scoped))
+),
+prep_vocab AS (
+  select term, cast(row_number() over (order by term) as bigint) as term_id from (
+    select term from processed group by term
+    having count(*) > 1 and count(*) < {_dbl(S.CORPUS_UPPER_SHARE)} * (select count(distinct my_id) from processed))
+),
+prepped AS (select p.*, v.term_id from processed p join prep_vocab v on p.term = v.term)"""
+
+
+def WD(body: str, *extra: str) -> str:
+    return S.with_base(body, DFM_CTES, *extra)
+
+
+def _label_n(spark, sf):
+    return _feat(spark, sf).agg(F.count(F.lit(1)).alias("_n"))
+
+
+def _label_dfm(spark, sf):
+    return dfm.label_dfm(_feat(spark, sf))
+
+
+def _label_sparse(spark, sf):
+    return dfm.trim_sparsity(_label_dfm(spark, sf), S.LABEL_SPARSITY, _label_n(spark, sf))
+
+
+@register("label_dfm", WD("select my_id, term, n from label_dfm"))
+def q_label_dfm(spark, sf):
+    return _label_dfm(spark, sf).select("my_id", "term", "n")
+
+
+@register("top_terms", WD("select term, sum(n) as n from label_dfm group by term order by n desc, term limit 10"))
+def q_top_terms(spark, sf):
+    return dfm.top_terms(_label_dfm(spark, sf), 10)
+
+
+@register("trim_termfreq", WD(
+    f"select d.my_id, d.term, d.n from label_dfm d join label_stats s on d.term = s.term "
+    f"where s.total >= {_dbl(S.LABEL_MIN_TERMFREQ_SHARE)} * {LABEL_N}"))
+def q_trim_termfreq(spark, sf):
+    n = _feat(spark, sf).count()  # scalar threshold from the row count
+    return dfm.trim_termfreq(_label_dfm(spark, sf), S.LABEL_MIN_TERMFREQ_SHARE * n).select("my_id", "term", "n")
+
+
+@register("trim_docfreq", WD(
+    f"select d.my_id, d.term, d.n from label_dfm d join label_stats s on d.term = s.term "
+    f"where s.docfreq >= {_dbl(S.LABEL_MIN_DOCFREQ_SHARE)} * {LABEL_N}"))
+def q_trim_docfreq(spark, sf):
+    n = _feat(spark, sf).count()
+    return dfm.trim_docfreq(_label_dfm(spark, sf), S.LABEL_MIN_DOCFREQ_SHARE * n).select("my_id", "term", "n")
+
+
+@register("trim_sparsity", WD("select my_id, term, n from label_sparse"))
+def q_trim_sparsity(spark, sf):
+    return _label_sparse(spark, sf).select("my_id", "term", "n")
+
+
+@register("topic_flag_features", WD("select position, term, flag from flag_feats"))
+def q_topic_flag_features(spark, sf):
+    return dfm.flag_features(_label_sparse(spark, sf))
+
+
+@register("topic_flags", WD("pivot flag_grid on flag using bool_or(v) group by my_id"))
+def q_topic_flags(spark, sf):
+    return dfm.topic_flags_wide(_feat(spark, sf), _label_sparse(spark, sf))
+
+
+@register("bind_topic_flags", WD(
+    "select * from (select my_id as fid, url, top_OK from features) f "
+    "join (pivot flag_grid on flag using bool_or(v) group by my_id) g on f.fid = g.my_id"))
+def q_bind_topic_flags(spark, sf):
+    feats = _feat(spark, sf)
+    flags = dfm.topic_flags_wide(feats, _label_sparse(spark, sf))
+    out = feats.select(F.col("my_id").alias("fid"), "url", "top_OK").join(flags, F.col("fid") == F.col("my_id"))
+    return out
+
+
+@register("tfidf_top", WD(
+    f"select term, round(weight, 4) as weight from (select term, total * log10(cast({LABEL_N} as double) / docfreq) as weight "
+    f"from label_stats order by weight desc, term limit 10)"))
+def q_tfidf_top(spark, sf):
+    return dfm.tfidf_top(_label_dfm(spark, sf), _label_n(spark, sf), 10).select("term", F.round("weight", 4).alias("weight"))
+
+
+def _lemma_dfm(spark, sf):
+    return dfm.text_dfm(st.texts_df(spark, sf), "my_id", "lemma_text")
+
+
+@register("text_dfm", WD("select my_id, term, n from lemma_dfm"))
+def q_text_dfm(spark, sf):
+    return _lemma_dfm(spark, sf)
+
+
+@register("top_terms_list", WD(
+    "select '''' || string_agg(term, ''',''' order by n desc, term) || '''' as terms from "
+    "(select term, sum(n) as n from lemma_dfm group by term order by n desc, term limit 100)"))
+def q_top_terms_list(spark, sf):
+    return dfm.top_terms_list(_lemma_dfm(spark, sf), 100)
+
+
+NGRAM_CTE = """
+ng_lists AS (select my_id, list_filter(string_split(lemma_text, ' '), lambda x: x <> '') as l from texts where lemma_text is not null),
+ng_all AS (
+  select my_id, unnest(l) as term from ng_lists
+  union all select my_id, unnest(list_transform(range(1, len(l)), lambda i: l[i] || '_' || l[i + 1])) from ng_lists where len(l) >= 2
+  union all select my_id, unnest(list_transform(range(1, len(l) - 1), lambda i: l[i] || '_' || l[i + 1] || '_' || l[i + 2])) from ng_lists where len(l) >= 3
+)"""
+
+
+@register("ngrams", WD("select my_id, term, count(*) as n from ng_all group by my_id, term", NGRAM_CTE))
+def q_ngrams(spark, sf):
+    return dfm.text_dfm(st.texts_df(spark, sf), "my_id", "lemma_text", ngrams=(1, 2, 3))
+
+
+@register("remove_stopwords", WD("select my_id, term, n from lemma_dfm where term not in (select term from stopwords)"))
+def q_remove_stopwords(spark, sf):
+    return dfm.remove_stopwords(_lemma_dfm(spark, sf)).select("my_id", "term", "n")
+
+
+@register("stopword_union", WD(
+    "select s.term, coalesce(sum(d.n), 0) as n from stopwords s left join lemma_dfm d on s.term = d.term group by s.term"))
+def q_stopword_union(spark, sf):
+    stop = dfm.stopword_table(spark)
+    counts = _lemma_dfm(spark, sf).groupBy("term").agg(F.sum("n").alias("n"))
+    return stop.join(counts, "term", "left").select("term", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+@register("dictionary_map", WD(
+    "select my_id, coalesce(x.lemma, d.term) as term, sum(d.n) as n from "
+    "(select my_id, term, count(*) as n from (select my_id, unnest(string_split(clean_word_text, ' ')) as term from texts) group by 1, 2) d "
+    "left join (select word, min(lemma) as lemma from lexicon2 group by word) x on d.term = x.word group by 1, 2"))
+def q_dictionary_map(spark, sf):
+    c = st.run(spark, sf)
+    words = dfm.text_dfm(st.texts_df(spark, sf, c.corpus()), "my_id", "clean_word_text")
+    return dfm.dictionary_map(words, c.grown_lexicon()).select("my_id", "term", F.col("n").cast("long").alias("n"))
+
+
+def _processed(spark, sf):
+    return st.processed_df(spark, sf)
+
+
+def _prepped(spark, sf):
+    return st.prepped_df(spark, sf)
+
+
+@register("process_corpus", WD("select my_id, term, n from processed"))
+def q_process_corpus(spark, sf):
+    return _processed(spark, sf).select("my_id", "term", "n")
+
+
+@register("prep_documents", WD("select my_id, term, term_id, n from prepped"))
+def q_prep_documents(spark, sf):
+    return _prepped(spark, sf).select("my_id", "term", F.col("term_id").cast("long").alias("term_id"), "n")
+
+
+@register("corpus_triple", WD(
+    "select my_id, string_agg(cast(term_id as varchar) || ':' || cast(n as varchar), ' ' order by term_id) as doc_terms, "
+    "sum(n) as n_tokens from prepped group by my_id"))
+def q_corpus_triple(spark, sf):
+    return dfm.corpus_documents(_prepped(spark, sf)).select("my_id", "doc_terms", F.col("n_tokens").cast("long").alias("n_tokens"))
+
+
+@register("corpus_vocab", WD("select term_id, term from prep_vocab"))
+def q_corpus_vocab(spark, sf):
+    return _prepped(spark, sf).select(F.col("term_id").cast("long").alias("term_id"), "term").distinct()
+
+
+@register("corpus_totals", WD(
+    "select 'lemma_dfm' as stage, sum(n) as n_tokens, count(distinct term) as n_terms, count(distinct my_id) as n_docs from lemma_dfm "
+    "union all select 'processed', sum(n), count(distinct term), count(distinct my_id) from processed "
+    "union all select 'prepped', sum(n), count(distinct term), count(distinct my_id) from prepped"))
+def q_corpus_totals(spark, sf):
+    corpus = st.corpus_df(spark, sf)
+    processed = st.processed_df(spark, sf, corpus)
+    return dfm.corpus_totals({"lemma_dfm": dfm.text_dfm(st.texts_df(spark, sf, corpus), "my_id", "lemma_text"),
+                              "processed": processed, "prepped": st.prepped_df(spark, sf, processed)})

@@ -1,76 +1,130 @@
 """Stage builders shared by the registered queries: the fixture article table
-and everything derived from it, with the fixture thresholds of FIXTURES.md."""
+and everything derived from it, with the fixture thresholds of FIXTURES.md.
+
+Lineage is cut where the analysed script saves its stages: the article
+input, the feature base, the feature table, the lexicon, the corpus with its
+texts, and the processed / prepared document-term tables. Each cut is a Parquet
+table under ``spark.checkpoint.dir`` (shared on a cluster), so a lost executor
+re-reads files instead of recomputing, later aggregates still get column
+pruning, and no plan grows by re-deriving its own inputs.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.operators import cleanse, features
+from corpuslab.operators import cleanse, dfm, features
 from corpuslab.plans import sql as S
-from corpuslab.sources.tables import articles
+from corpuslab.sources import tables
 
 SCOPE = features.ScopeParams(min_channel_rows=None, min_channel_share=S.CHANNEL_SHARE)
 
 
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Materialise ``df`` as a uniquely named Parquet stage in the shared checkpoint folder."""
+    return tables.stage_roundtrip(df, f"{name}-{uuid.uuid4().hex}")
+
+
 def articles_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return articles(spark, sf_dir)
+    """The article input (built from documents/labels/orders/part), written once as Parquet."""
+    return stage(tables.articles(spark, sf_dir), "articles")
+
+
+def _feature_table(spark: SparkSession, sf_dir: str, tighten: bool) -> DataFrame:
+    return features.feature_table(articles_df(spark, sf_dir), SCOPE, tighten=tighten, stage=stage)
 
 
 def features_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The feature table without the topic flags (those are keyed by my_id and joined on demand)."""
-    return features.feature_table(articles_df(spark, sf_dir), SCOPE)
+    """The feature table (tightened scope) without the topic flags, materialised."""
+    return stage(_feature_table(spark, sf_dir, True), "features")
+
 
+def features_first_scope_df(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feature table before the tightened scope rule (``top_OK`` as first defined)."""
+    return stage(_feature_table(spark, sf_dir, False), "features_first")
 
-def scoped_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.scoped_articles(features_df(spark, sf_dir))
 
+def scoped_df(spark: SparkSession, sf_dir: str, feats: DataFrame | None = None) -> DataFrame:
+    return features.scoped_articles(features_df(spark, sf_dir) if feats is None else feats)
 
-def lexicon_df(spark: SparkSession, sf_dir: str, materialise: bool = True) -> DataFrame:
-    """Fixture lexicon; checkpointed in the shared folder so it behaves like a lexicon file."""
-    lex = cleanse.fixture_lexicon(articles_df(spark, sf_dir))
-    return lex.checkpoint() if materialise else lex
 
+def lexicon_df(spark: SparkSession, sf_dir: str, arts: DataFrame | None = None) -> DataFrame:
+    """Fixture lexicon, materialised so that it behaves like a lexicon file (cheap to count)."""
+    return stage(cleanse.fixture_lexicon(articles_df(spark, sf_dir) if arts is None else arts), "lexicon")
 
-def words_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cleanse.word_table(scoped_df(spark, sf_dir))
 
+class Corpus:
+    """Articles, features, lexicon and the scoped word table of one run, each built once."""
 
-def grown_lexicon_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lex = cleanse.checked_broadcast(lexicon_df(spark, sf_dir))
-    return cleanse.augment_lexicon(lex, words_df(spark, sf_dir), S.TOP_GROWTH)
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+        self.articles = articles_df(spark, sf_dir)
+        self.features = stage(features.feature_table(self.articles, SCOPE, stage=stage), "features")
+        self.scoped = features.scoped_articles(self.features)
+        self.lexicon = stage(cleanse.fixture_lexicon(self.articles), "lexicon")
+        self.lex = cleanse.checked_broadcast(self.lexicon)
+        self.words = cleanse.word_table(self.scoped)
 
+    def joined1(self) -> DataFrame:
+        return cleanse.lemmatise(self.words, self.lex)
 
-def texts_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cleanse.clean_corpus(scoped_df(spark, sf_dir), lexicon_df(spark, sf_dir), S.TOP_GROWTH)
+    def growth(self) -> DataFrame:
+        return cleanse.oov_top_words(self.words, self.lex, S.TOP_GROWTH)
 
+    def grown_lexicon(self) -> DataFrame:
+        return cleanse.augment_lexicon(self.lex, self.words, S.TOP_GROWTH)
 
-def corpus_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scoped articles with both text columns attached (the table the topic model reads)."""
-    return cleanse.clean_corpus(scoped_df(spark, sf_dir), lexicon_df(spark, sf_dir), S.TOP_GROWTH, attach=True)
+    def joined2(self) -> DataFrame:
+        return cleanse.lemmatise(self.words, self.grown_lexicon())
 
+    def corpus(self) -> DataFrame:
+        """Scoped articles with both texts attached, materialised (the table the topic model reads)."""
+        texts = cleanse.collapse_texts(self.joined2())
+        return stage(self.scoped.join(texts, "my_id", "left"), "corpus")
 
-def lemma_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(my_id, lemma_text)`` for documents that kept at least one lemma."""
-    return texts_df(spark, sf_dir).where(F.col("lemma_text").isNotNull()).select("my_id", "lemma_text")
 
+def run(spark: SparkSession, sf_dir: str) -> Corpus:
+    return Corpus(spark, sf_dir)
 
-def features_first_scope_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feature table before the tightened scope rule (``top_OK`` as first defined)."""
-    return features.feature_table(articles_df(spark, sf_dir), SCOPE, tighten=False)
+
+def words_df(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(spark, sf_dir).words
+
+
+def grown_lexicon_df(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(spark, sf_dir).grown_lexicon()
 
 
 def joined1_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words left-joined with the fixture lexicon (before growth)."""
-    lex = cleanse.checked_broadcast(lexicon_df(spark, sf_dir))
-    return cleanse.lemmatise(words_df(spark, sf_dir), lex)
+    return run(spark, sf_dir).joined1()
 
 
 def growth_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lex = cleanse.checked_broadcast(lexicon_df(spark, sf_dir))
-    return cleanse.oov_top_words(words_df(spark, sf_dir), lex, S.TOP_GROWTH)
+    return run(spark, sf_dir).growth()
 
 
 def joined2_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words left-joined with the grown lexicon."""
-    return cleanse.lemmatise(words_df(spark, sf_dir), grown_lexicon_df(spark, sf_dir))
+    return run(spark, sf_dir).joined2()
+
+
+def corpus_df(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(spark, sf_dir).corpus()
+
+
+def texts_df(spark: SparkSession, sf_dir: str, corpus: DataFrame | None = None) -> DataFrame:
+    """``(my_id, clean_word_text, lemma_text)`` for the documents that kept at least one word."""
+    c = corpus_df(spark, sf_dir) if corpus is None else corpus
+    return c.where(F.col("clean_word_text").isNotNull()).select("my_id", "clean_word_text", "lemma_text")
+
+
+def processed_df(spark: SparkSession, sf_dir: str, corpus: DataFrame | None = None) -> DataFrame:
+    c = corpus_df(spark, sf_dir) if corpus is None else corpus
+    return stage(dfm.process_corpus(c, S.CORPUS_SPARSITY), "processed")
+
+
+def prepped_df(spark: SparkSession, sf_dir: str, processed: DataFrame | None = None) -> DataFrame:
+    p = processed_df(spark, sf_dir) if processed is None else processed
+    return stage(dfm.prep_documents(p, upper_share=S.CORPUS_UPPER_SHARE), "prepped")
