@@ -147,17 +147,18 @@ def clean_corpus(scoped: DataFrame, lexicon: DataFrame, top_n: int = 600, id_col
     return texts
 
 
-def fixture_lexicon(articles: DataFrame) -> DataFrame:
-    """Stand-in lexicon derived from the corpus (FIXTURES.md section 3).
-
-    Words from every article (dateline strip, split on spaces, URL / e-mail /
-    letters-only cleaning, longer than 3); words whose length is not a multiple
-    of 3 get a suffix-cut lemma.
-    """
+def fixture_words(articles: DataFrame) -> DataFrame:
+    """``(doc_id, word)`` from every article: dateline strip, split on spaces, URL / e-mail /
+    letters-only cleaning, words longer than 3 (FIXTURES.md section 3)."""
     t = articles.select("doc_id", tx.dateline_strip("text").alias("text"))
-    pieces = F.split(F.translate("text", "\n\t\r", "   "), " ")
-    toks = t.select(F.explode(pieces).alias("tok"))
-    words = toks.select(tx.clean_word("tok").alias("word")).where(F.length("word") > 3)
+    toks = t.select("doc_id", F.explode(F.split(F.translate("text", "\n\t\r", "   "), " ")).alias("tok"))
+    return toks.select("doc_id", tx.clean_word("tok").alias("word")).where(F.length("word") > 3)
+
+
+def fixture_lexicon(articles: DataFrame) -> DataFrame:
+    """Stand-in lexicon derived from the corpus (FIXTURES.md section 3): words whose length is
+    not a multiple of 3 get a suffix-cut lemma."""
+    words = fixture_words(articles).select("word")
     return (
         words.where(F.length("word") % 3 != 0)
         .distinct()

@@ -747,3 +747,198 @@ def q_corpus_totals(spark, sf):
     processed = st.processed_df(spark, sf, corpus)
     return dfm.corpus_totals({"lemma_dfm": dfm.text_dfm(st.texts_df(spark, sf, corpus), "my_id", "lemma_text"),
                               "processed": processed, "prepped": st.prepped_df(spark, sf, processed)})
+
+
+# ---------------------------------------------------------------------------
+# 2.11 Reports on the fixed theta / beta stand-ins (rows 11, 28, 39, 46-48, 56, 107-113)
+# ---------------------------------------------------------------------------
+from corpuslab.operators import report  # noqa: E402
+
+K = 10
+CONTRAST = (2, 8)
+FREX_W = 0.7
+MODEL_CTES = f"""
+theta AS (
+  select vec_id as doc_id, cast(topic as integer) as topic, w / sum(w) over (partition by vec_id) as p from (
+    select vec_id, topic, exp(4 * cast(x as double)) as w from (
+      select vec_id, unnest(embedding[1:{K}]) as x, generate_subscripts(embedding[1:{K}], 1) as topic from embeddings))
+),
+beta_k AS (select word as term from fx_words group by word having count(distinct doc_id) >= 20),
+beta_g AS (
+  select cast(doc_id % {K} + 1 as integer) as topic, word as term, count(*) as n from fx_words
+  where word in (select term from beta_k) group by 1, 2
+),
+beta_f AS (select tt.topic, k.term from beta_k k cross join (select distinct topic from beta_g) tt),
+beta AS (
+  select f.topic, f.term, (coalesce(n, 0) + cast(0.5 as double))
+    / sum(coalesce(n, 0) + cast(0.5 as double)) over (partition by f.topic) as p
+  from beta_f f left join beta_g g on f.topic = g.topic and f.term = g.term
+),
+theta_wide AS (
+  select doc_id, {', '.join(f"max(case when topic = {t} then p end) as {report.topic_name(t)}" for t in range(1, K + 1))}
+  from theta group by doc_id
+),
+corr_long AS (
+  select a.topic as topic_a, b.topic as topic_b,
+    case when a.topic = b.topic then 0.0 when corr(a.p, b.p) = 1 then 0.0 else corr(a.p, b.p) end as r
+  from theta a join theta b on a.doc_id = b.doc_id group by 1, 2
+),
+beta_top AS (
+  select topic, term, p, row_number() over (partition by topic order by p desc, term) as rk from beta
+)"""
+
+
+def WM(body: str, *extra: str) -> str:
+    return S.with_base(body, MODEL_CTES, *extra)
+
+
+def _theta(spark, sf):
+    return report.fixture_theta(tables.read_table(spark, sf, "embeddings"), K)
+
+
+def _fx_words(spark, sf, arts=None):
+    return cleanse.fixture_words(st.articles_df(spark, sf) if arts is None else arts)
+
+
+def _beta(spark, sf, arts=None):
+    return report.fixture_beta(_fx_words(spark, sf, arts), K)
+
+
+def _r6(df, *cols):
+    return df.select(*[F.round(c, 6).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+TM = [report.topic_name(t) for t in range(1, K + 1)]
+
+
+@register("rename_topics", WM(f"select doc_id, {', '.join(f'round({c}, 6) as {c}' for c in TM)} from theta_wide"))
+def q_rename_topics(spark, sf):
+    return _r6(report.theta_wide(_theta(spark, sf), K), *TM)
+
+
+@register("bind_theta", WM(
+    f"select a.doc_id, a.url, a.title, {', '.join(f'round(w.{c}, 6) as {c}' for c in TM)} "
+    f"from articles a join theta_wide w on a.doc_id = w.doc_id"))
+def q_bind_theta(spark, sf):
+    meta = st.articles_df(spark, sf).select("doc_id", "url", "title")
+    return _r6(report.bind_theta(meta, _theta(spark, sf), K), *TM)
+
+
+@register("theta_summary", WM(
+    "select topic, round(min(p), 6) as min, round(quantile_cont(p, 0.25), 6) as q1, round(quantile_cont(p, 0.5), 6) as median, "
+    "round(avg(p), 6) as mean, round(quantile_cont(p, 0.75), 6) as q3, round(max(p), 6) as max, count(*) as n from theta group by topic"))
+def q_theta_summary(spark, sf):
+    return _r6(report.theta_summary(_theta(spark, sf)), "min", "q1", "median", "mean", "q3", "max").select(
+        "topic", "min", "q1", "median", "mean", "q3", "max", "n")
+
+
+@register("theta_row_sums", WM("select doc_id, round(sum(p), 6) as row_sum from theta group by doc_id"))
+def q_theta_row_sums(spark, sf):
+    return _r6(report.theta_row_sums(_theta(spark, sf)), "row_sum")
+
+
+@register("topic_prevalence", WM(
+    "select topic, round(avg(p), 6) as prevalence, round(avg(p), 2) as prevalence_2 from theta group by topic"))
+def q_topic_prevalence(spark, sf):
+    return _r6(report.topic_prevalence(_theta(spark, sf)), "prevalence")
+
+
+@register("topic_correlation", WM("select topic_a, topic_b, round(r, 6) as r from corr_long"))
+def q_topic_correlation(spark, sf):
+    return _r6(report.topic_correlation(_theta(spark, sf), K), "r")
+
+
+@register("topic_graph", WM("select topic_a, topic_b, round(r, 6) as r from corr_long where topic_a < topic_b and r > 0.01"))
+def q_topic_graph(spark, sf):
+    return _r6(report.topic_graph(report.topic_correlation(_theta(spark, sf), K), 0.01), "r")
+
+
+@register("theta_histogram", WM(
+    "select topic, cast(least(floor(p * 20), 19) as bigint) as bin, count(*) as n from theta group by 1, 2"))
+def q_theta_histogram(spark, sf):
+    return report.theta_histogram(_theta(spark, sf), 20)
+
+
+@register("topic_exemplars", WM(
+    "select topic, rank, doc_id, round(p, 6) as p, text from (select t.topic, t.doc_id, t.p, a.text, "
+    "row_number() over (partition by t.topic order by t.p desc, t.doc_id) as rank "
+    "from theta t join articles a on t.doc_id = a.doc_id where length(a.text) < 500) where rank <= 3"))
+def q_topic_exemplars(spark, sf):
+    out = report.topic_exemplars(_theta(spark, sf), st.articles_df(spark, sf), 3, 500)
+    return _r6(out.withColumn("rank", F.col("rank").cast("long")), "p")
+
+
+@register("topic_labels", WM("select topic, rk as rank, term, round(p, 6) as p from beta_top where rk <= 7"))
+def q_topic_labels(spark, sf):
+    return _r6(report.topic_labels(_beta(spark, sf), 7).withColumn("rank", F.col("rank").cast("long")), "p")
+
+
+@register("topic_cloud", WM(f"select term, round(p, 6) as p from beta where topic = {CONTRAST[0]} order by p desc, term limit 100"))
+def q_topic_cloud(spark, sf):
+    return _r6(report.topic_cloud(_beta(spark, sf), CONTRAST[0], 100), "p")
+
+
+_A, _B = CONTRAST
+
+
+@register("topic_contrast", WM(
+    f"select side, term, round(p_a, 6) as p_a, round(p_b, 6) as p_b, round(contrast, 6) as contrast from ("
+    f"select * from (select {_A} as side, * from c order by contrast desc, term limit 10) "
+    f"union all select * from (select {_B} as side, * from c order by contrast asc, term limit 10))",
+    f"""two AS (select term, max(case when topic = {_A} then p end) as p_a, max(case when topic = {_B} then p end) as p_b
+      from beta where topic in ({_A}, {_B}) group by term),
+    c AS (select *, (p_a - p_b) / (p_a + p_b) as contrast from two)"""))
+def q_topic_contrast(spark, sf):
+    return _r6(report.topic_contrast(_beta(spark, sf), _A, _B, 10), "p_a", "p_b", "contrast")
+
+
+COHERENCE_CTES = """
+pres AS (select distinct doc_id, word as term from fx_words),
+ctop AS (select topic, term, rk from beta_top where rk <= 10),
+cpairs AS (select a.topic, a.rk as i, b.rk as j, a.term as ti, b.term as tj from ctop a join ctop b on a.topic = b.topic and a.rk > b.rk),
+dterm AS (select t.topic, t.rk, count(*) as d from ctop t join pres p on t.term = p.term group by 1, 2),
+dpair AS (select c.topic, c.i, c.j, count(*) as d from cpairs c join pres pa on pa.term = c.ti
+          join pres pb on pb.term = c.tj and pb.doc_id = pa.doc_id group by 1, 2, 3)"""
+
+
+@register("topic_coherence", WM(
+    "select c.topic, round(sum(ln((coalesce(dp.d, 0) + 1.0) / dj.d)), 6) as coherence from cpairs c "
+    "left join dpair dp on dp.topic = c.topic and dp.i = c.i and dp.j = c.j "
+    "join dterm dj on dj.topic = c.topic and dj.rk = c.j group by c.topic", COHERENCE_CTES))
+def q_topic_coherence(spark, sf):
+    arts = st.articles_df(spark, sf)
+    words = _fx_words(spark, sf, arts).select("doc_id", F.col("word").alias("term"))
+    return _r6(report.topic_coherence(_beta(spark, sf, arts), words, 10), "coherence")
+
+
+FREX_CTES = f"""
+fx AS (select b.topic, b.term, b.p, round(b.p / s.sp, 12) as ex, round(b.p, 12) as fr
+       from beta b join (select term, sum(p) as sp from beta group by term) s on b.term = s.term),
+fxr AS (select *, rank() over (partition by topic order by ex) + (count(*) over (partition by topic, ex) - 1) / 2.0 as rex,
+               rank() over (partition by topic order by fr) + (count(*) over (partition by topic, fr) - 1) / 2.0 as rfr,
+               count(*) over (partition by topic) as tot from fx),
+frex AS (select topic, term, p, 1.0 / ({FREX_W!r} / (rex / tot) + {1 - FREX_W!r} / (rfr / tot)) as frex from fxr)"""
+
+
+@register("topic_exclusivity", WM(
+    "select topic, round(sum(frex), 6) as exclusivity from (select *, row_number() over (partition by topic order by p desc, term) as rk "
+    "from frex) where rk <= 10 group by topic", FREX_CTES))
+def q_topic_exclusivity(spark, sf):
+    return _r6(report.topic_exclusivity(_beta(spark, sf), 10, FREX_W), "exclusivity")
+
+
+@register("topic_frex_labels", WM(
+    "select topic, rank, term, round(frex, 6) as frex from (select *, row_number() over (partition by topic order by frex desc, term) as rank "
+    "from frex) where rank <= 7", FREX_CTES))
+def q_topic_frex_labels(spark, sf):
+    scores = report.frex_scores(_beta(spark, sf), FREX_W)
+    top = report.top_k_per_group(scores, ["topic"], [F.desc("frex"), F.asc("term")], 7, salt_col="term")
+    return _r6(top.select("topic", F.col("rank").cast("long").alias("rank"), "term", "frex"), "frex")
+
+
+@register("topic_summary", WM(
+    "select p.topic, round(p.prevalence, 6) as prevalence, w.top_words from "
+    "(select topic, avg(p) as prevalence from theta group by topic) p join "
+    "(select topic, string_agg(term, ', ' order by rk) as top_words from beta_top where rk <= 3 group by topic) w on p.topic = w.topic"))
+def q_topic_summary(spark, sf):
+    return _r6(report.topic_summary(_theta(spark, sf), _beta(spark, sf), 3), "prevalence")
