@@ -942,3 +942,91 @@ def q_topic_frex_labels(spark, sf):
     "(select topic, string_agg(term, ', ' order by rk) as top_words from beta_top where rk <= 3 group by topic) w on p.topic = w.topic"))
 def q_topic_summary(spark, sf):
     return _r6(report.topic_summary(_theta(spark, sf), _beta(spark, sf), 3), "prevalence")
+
+
+# ---------------------------------------------------------------------------
+# 2.11 Topic models (rows 100-106, 114)
+# ---------------------------------------------------------------------------
+from corpuslab.models import design as mdesign  # noqa: E402
+from corpuslab.models import spectral, topics  # noqa: E402
+from corpuslab.models.docs import doc_arrays, vocab_size  # noqa: E402
+
+CTM_ITER = 50
+STM_ITER = 25
+SEARCH_KS = (10, 15, 20)
+
+
+@register("cooccurrence", WD(
+    "select a.term_id as term_a, b.term_id as term_b, round(sum((a.n * b.n - case when a.term_id = b.term_id then a.n else 0 end) "
+    "/ (dn.nd * (dn.nd - 1.0))), 12) as q from prepped a join prepped b on a.my_id = b.my_id "
+    "join (select my_id, sum(n) as nd from prepped group by my_id having sum(n) >= 2) dn on dn.my_id = a.my_id "
+    "group by 1, 2 having sum((a.n * b.n - case when a.term_id = b.term_id then a.n else 0 end) / (dn.nd * (dn.nd - 1.0))) <> 0"))
+def q_cooccurrence(spark, sf):
+    prepped = st.prepped_df(spark, sf)
+    q = spectral.cooccurrence(doc_arrays(prepped), vocab_size(prepped))
+    return q.select("term_a", "term_b", F.round("q", 12).alias("q"))
+
+
+_KNOTS = ["lo", "lo", "lo", "lo"] + [f"k{i}" for i in range(1, 8)] + ["hi", "hi", "hi", "hi"]
+_SPL = mdesign.spline_sql("cast(f.nb_days as double)", [f"kn.{t}" for t in _KNOTS])
+
+
+@register("prevalence_design", WD(
+    "select f.my_id, " + ", ".join(f"round({e}, 6) as s{i + 1}" for i, e in enumerate(_SPL))
+    + " from features f cross join kn where f.top_OK",
+    "kn AS (select min(nb_days)::double as lo, max(nb_days)::double as hi, "
+    + ", ".join(f"quantile_cont(nb_days, {i / 8!r})::double as k{i}" for i in range(1, 8))
+    + " from features where top_OK)"))
+def q_prevalence_design(spark, sf):
+    meta = _feat(spark, sf).where(F.col("top_OK"))
+    knots = mdesign.spline_knots(meta, "nb_days", 10)
+    cols = mdesign.spline_columns("nb_days", knots, prefix="s")
+    return meta.select("my_id", *[F.round(c, 6).alias(f"s{i + 1}") for i, c in enumerate(cols)])
+
+
+@register("spectral_init")
+def q_spectral_init(spark, sf):
+    """Anchor word of each topic and its share of the topic (rows-only)."""
+    prepped = st.prepped_df(spark, sf)
+    docs, v = topics.model_docs(prepped)
+    beta, anchors = spectral.spectral_init(docs, v, K)
+    rows = [(t + 1, int(a) + 1, float(beta[t, a])) for t, a in enumerate(anchors)]
+    vocab = prepped.select(F.col("term_id").cast("long").alias("term_id"), "term").distinct()
+    return spark.createDataFrame(rows, "topic int, term_id long, p double").join(vocab, "term_id")
+
+
+@register("fit_ctm")
+def q_fit_ctm(spark, sf):
+    """Document-topic shares of the correlated topic model, K = 10, spectral start (rows-only)."""
+    return topics.fit_ctm(st.prepped_df(spark, sf), K, CTM_ITER).theta()
+
+
+def _stm_meta(spark, sf):
+    return _feat(spark, sf).where(F.col("top_OK")).select("my_id", "first_author", "nb_days", "post_lead_type2", "channel")
+
+
+@register("fit_stm")
+def q_fit_stm(spark, sf):
+    """Structural topic model with prevalence ~ first_author + s(nb_days) + post_lead_type2 (rows-only)."""
+    m = topics.fit_stm(st.prepped_df(spark, sf), _stm_meta(spark, sf), K, STM_ITER, content_col=None)
+    return m.theta()
+
+
+@register("fit_stm_content")
+def q_fit_stm_content(spark, sf):
+    """STM with prevalence covariates and content ~ channel: top words of each (channel, topic) (rows-only)."""
+    prepped = st.prepped_df(spark, sf)
+    meta = _stm_meta(spark, sf)
+    m = topics.fit_stm(prepped, meta, K, STM_ITER, content_col="channel")
+    levels = topics.content_levels(meta.join(prepped.select("my_id"), "my_id", "left_semi"), "channel")
+    vocab = prepped.select(F.col("term_id").cast("long").alias("term_id"), "term").distinct()
+    b = m.beta_frame(spark, vocab)
+    lv = spark.createDataFrame([(i, x) for i, x in enumerate(levels)], "level int, channel string")
+    top = report.top_k_per_group(b, ["level", "topic"], [F.desc("p"), F.asc("term")], 7, salt_col="term")
+    return top.join(F.broadcast(lv), "level").select("channel", "topic", "rank", "term", "p")
+
+
+@register("search_k")
+def q_search_k(spark, sf):
+    """Held-out likelihood, bound, exclusivity and coherence for K in (10, 15, 20) (rows-only)."""
+    return topics.search_k(st.prepped_df(spark, sf), SEARCH_KS, STM_ITER)
