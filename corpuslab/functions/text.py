@@ -115,11 +115,15 @@ def normalise_ws(text="text") -> Column:
 
 
 def strip_urls(tok="token") -> Column:
-    return F.regexp_replace(_col(tok), URL_RE, " ")
+    """URL pattern; it needs a literal "://", so tokens without one skip the regex."""
+    t = _col(tok)
+    return F.when(F.instr(t, "://") > 0, F.regexp_replace(t, URL_RE, " ")).otherwise(t)
 
 
 def strip_emails(tok="token") -> Column:
-    return F.regexp_replace(_col(tok), EMAIL_RE, " ")
+    """E-mail pattern; it needs an "@", so tokens without one skip the (backtracking) regex."""
+    t = _col(tok)
+    return F.when(F.instr(t, "@") > 0, F.regexp_replace(t, EMAIL_RE, " ")).otherwise(t)
 
 
 def strip_punct(tok="token") -> Column:

@@ -32,17 +32,29 @@ def fixture_theta(embeddings: DataFrame, k: int = 10, scale: float = 4.0) -> Dat
         "doc_id", (F.col("_t") + 1).cast("int").alias("topic"), (F.col("_x") / F.col("_s")).alias("p"))
 
 
-def fixture_beta(words: DataFrame, k: int = 10, min_docs: int = 20, smooth: float = 0.5) -> DataFrame:
-    """Smoothed term share by ``doc_id % k + 1`` over terms found in at least ``min_docs`` documents."""
-    terms = words.groupBy(F.col("word").alias("term")).agg(F.countDistinct("doc_id").alias("_df")).where(F.col("_df") >= min_docs)
-    g = (words.join(terms.select(F.col("term").alias("word")), "word", "left_semi")
-         .groupBy(((F.col("doc_id") % k) + 1).cast("int").alias("topic"), F.col("word").alias("term"))
-         .agg(F.count(F.lit(1)).alias("n")))
-    topics = g.select("topic").distinct()  # at most k rows
-    grid = terms.select("term").crossJoin(F.broadcast(topics))
-    full = grid.join(g, ["topic", "term"], "left").withColumn("_w", F.coalesce(F.col("n").cast("double"), F.lit(0.0)) + smooth)
-    tot = full.groupBy("topic").agg(F.sum("_w").alias("_t"))  # at most k rows
-    return full.join(F.broadcast(tot), "topic").select("topic", "term", (F.col("_w") / F.col("_t")).alias("p"))
+def doc_word_counts(words: DataFrame) -> DataFrame:
+    """``(doc_id, word, n)``: partial-aggregated word counts per document."""
+    return words.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
+
+
+def fixture_beta(doc_words: DataFrame, k: int = 10, min_docs: int = 20, smooth: float = 0.5) -> DataFrame:
+    """Smoothed term share by ``doc_id % k + 1`` over terms found in at least ``min_docs`` documents.
+
+    ``doc_words`` is ``(doc_id, word, n)``. One aggregate per word gives its
+    document frequency and its count in each of the ``k`` topics; one global
+    aggregate gives the topic totals (a ``k``-value row, broadcast); ``stack``
+    turns each word row into its ``k`` topic rows.
+    """
+    topic = ((F.col("doc_id") % k) + 1).cast("int")
+    per_term = doc_words.groupBy(F.col("word").alias("term")).agg(
+        F.count(F.lit(1)).alias("_df"),
+        *[F.sum(F.when(topic == t, F.col("n")).otherwise(0)).cast("double").alias(f"_n{t}") for t in range(1, k + 1)])
+    per_term = per_term.where(F.col("_df") >= min_docs)
+    tot = per_term.agg(*[F.sum(F.col(f"_n{t}") + smooth).alias(f"_t{t}") for t in range(1, k + 1)],
+                       *[F.sum(f"_n{t}").alias(f"_c{t}") for t in range(1, k + 1)])
+    items = ", ".join(f"cast({t} as int), (_n{t} + {smooth!r}) / _t{t}, _c{t}" for t in range(1, k + 1))
+    long = per_term.crossJoin(F.broadcast(tot)).selectExpr("term", f"stack({k}, {items}) as (topic, p, _c)")
+    return long.where(F.col("_c") > 0).select("topic", "term", "p")
 
 
 # ---------------------------------------------------------------------------

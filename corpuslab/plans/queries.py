@@ -800,8 +800,15 @@ def _fx_words(spark, sf, arts=None):
     return cleanse.fixture_words(st.articles_df(spark, sf) if arts is None else arts)
 
 
-def _beta(spark, sf, arts=None):
-    return report.fixture_beta(_fx_words(spark, sf, arts), K)
+def _fx_doc_words(spark, sf):
+    """Fixture ``(doc_id, word, n)`` table, materialised: beta and the coherence presence both read it."""
+    return st.stage(report.doc_word_counts(_fx_words(spark, sf)), "fx_doc_words")
+
+
+def _beta(spark, sf, doc_words=None):
+    """Fixture beta, materialised like a fitted model (several reports read it more than once)."""
+    dw = _fx_doc_words(spark, sf) if doc_words is None else doc_words
+    return st.stage(report.fixture_beta(dw, K), "fx_beta")
 
 
 def _r6(df, *cols):
@@ -906,9 +913,8 @@ dpair AS (select c.topic, c.i, c.j, count(*) as d from cpairs c join pres pa on
     "left join dpair dp on dp.topic = c.topic and dp.i = c.i and dp.j = c.j "
     "join dterm dj on dj.topic = c.topic and dj.rk = c.j group by c.topic", COHERENCE_CTES))
 def q_topic_coherence(spark, sf):
-    arts = st.articles_df(spark, sf)
-    words = _fx_words(spark, sf, arts).select("doc_id", F.col("word").alias("term"))
-    return _r6(report.topic_coherence(_beta(spark, sf, arts), words, 10), "coherence")
+    dw = _fx_doc_words(spark, sf)
+    return _r6(report.topic_coherence(_beta(spark, sf, dw), dw.select("doc_id", F.col("word").alias("term")), 10), "coherence")
 
 
 FREX_CTES = f"""
