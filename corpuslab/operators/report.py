@@ -154,6 +154,14 @@ def topic_labels(beta: DataFrame, n: int = 7) -> DataFrame:
     return top_k_per_group(beta, ["topic"], [F.desc("p"), F.asc("term")], n, salt_col="term").select("topic", "rank", "term", "p")
 
 
+def topic_lift(beta: DataFrame, doc_words: DataFrame, n: int = 7) -> DataFrame:
+    """Label variant: words with the highest lift ``beta_kv / (share of v among all tokens)`` (row 108)."""
+    freq = doc_words.groupBy(F.col("word").alias("term")).agg(F.sum("n").alias("_c"))
+    total = freq.agg(F.sum("_c").alias("_tot"))
+    lift = beta.join(freq, "term").crossJoin(F.broadcast(total)).withColumn("lift", F.col("p") / (F.col("_c") / F.col("_tot")))
+    return top_k_per_group(lift, ["topic"], [F.desc("lift"), F.asc("term")], n, salt_col="term").select("topic", "rank", "term", "lift")
+
+
 def topic_cloud(beta: DataFrame, topic: int, n: int = 100) -> DataFrame:
     """Word-cloud weights: the ``n`` most probable words of one topic (row 110)."""
     return beta.where(F.col("topic") == topic).orderBy(F.desc("p"), F.asc("term")).limit(n).select("term", "p")

@@ -1036,3 +1036,38 @@ def q_fit_stm_content(spark, sf):
 def q_search_k(spark, sf):
     """Held-out likelihood, bound, exclusivity and coherence for K in (10, 15, 20) (rows-only)."""
     return topics.search_k(st.prepped_df(spark, sf), SEARCH_KS, STM_ITER)
+
+
+# ---------------------------------------------------------------------------
+# Remaining variants: densities of row 42, lift labels (row 108), fitted data (row 106)
+# ---------------------------------------------------------------------------
+def _kde_register(name: str, src_sql: str, col_sql: str, builder):
+    sql = _kde_sql(f"({src_sql})", col_sql).replace("with x as", "with " + S.ARTICLES + ", " + S.FEATURES[1:] + ", x as", 1)
+    register(name, sql)(builder)
+
+
+_kde_register("density_share_digits", "select length(cast(shares as varchar)) as d from articles", "d",
+              lambda spark, sf: _kde_spark(st.articles_df(spark, sf).select(tx.digit_count("shares").alias("d")), "d"))
+_kde_register("density_text_length", "select nb_char_text from feat2 where top_OK", "nb_char_text",
+              lambda spark, sf: _kde_spark(st.features_first_scope_df(spark, sf).where(F.col("top_OK")), "nb_char_text"))
+
+
+@register("topic_labels_lift", WM(
+    "select topic, rank, term, round(lift, 6) as lift from (select b.topic, b.term, b.p / (f.c / t.tot) as lift, "
+    "row_number() over (partition by b.topic order by b.p / (f.c / t.tot) desc, b.term) as rank "
+    "from beta b join (select word as term, count(*) as c from fx_words group by word) f on b.term = f.term "
+    "cross join (select count(*) as tot from fx_words where word in (select term from beta_k)) t) where rank <= 7"))
+def q_topic_labels_lift(spark, sf):
+    dw = _fx_doc_words(spark, sf)
+    beta = _beta(spark, sf, dw)
+    kept = dw.join(beta.select(F.col("term").alias("word")).distinct(), "word", "left_semi")
+    out = report.topic_lift(beta, kept, 7)
+    return _r6(out.withColumn("rank", F.col("rank").cast("long")), "lift")
+
+
+@register("fitted_data")
+def q_fitted_data(spark, sf):
+    """Meta of the modelled documents with the CTM's tm_01..tm_10 columns, joined on my_id (rows-only)."""
+    meta = _feat(spark, sf).where(F.col("top_OK")).select("my_id", "url", "title", "channel", "first_author", "nb_days")
+    model = topics.fit_ctm(st.prepped_df(spark, sf), K, CTM_ITER)
+    return report.bind_theta(meta, model.theta(), K, "my_id")

@@ -29,7 +29,7 @@ def test_query_matches_oracle(spark, con, name):
 def test_every_query_has_callable_and_most_have_oracles():
     assert set(ORACLES) <= set(QUERIES)
     missing = sorted(set(QUERIES) - set(ORACLES))
-    assert missing == sorted(["spectral_init", "fit_ctm", "fit_stm", "fit_stm_content", "search_k"])
+    assert missing == sorted(["spectral_init", "fit_ctm", "fit_stm", "fit_stm_content", "search_k", "fitted_data"])
 
 
 def test_entry(spark):
