@@ -541,7 +541,7 @@ label_dfm AS (
   select my_id, term, count(*) as n, min(pos) as pos from label_toks
   where term <> '' and term not in ('uncategorized', ',') group by my_id, term
 ),
-label_stats AS (select term, sum(n) as total, count(*) as docfreq from label_dfm group by term),
+label_stats AS (select term, cast(sum(n) as bigint) as total, count(*) as docfreq from label_dfm group by term),
 label_sparse AS (
   select d.* from label_dfm d join label_stats s on d.term = s.term
   where s.docfreq >= {_dbl(1 - S.LABEL_SPARSITY)} * {LABEL_N}
@@ -602,7 +602,7 @@ def q_label_dfm(spark, sf):
     return _label_dfm(spark, sf).select("my_id", "term", "n")
 
 
-@register("top_terms", WD("select term, sum(n) as n from label_dfm group by term order by n desc, term limit 10"))
+@register("top_terms", WD("select term, cast(sum(n) as bigint) as n from label_dfm group by term order by n desc, term limit 10"))
 def q_top_terms(spark, sf):
     return dfm.top_terms(_label_dfm(spark, sf), 10)
 
@@ -691,7 +691,7 @@ def q_remove_stopwords(spark, sf):
 
 
 @register("stopword_union", WD(
-    "select s.term, coalesce(sum(d.n), 0) as n from stopwords s left join lemma_dfm d on s.term = d.term group by s.term"))
+    "select s.term, cast(coalesce(sum(d.n), 0) as bigint) as n from stopwords s left join lemma_dfm d on s.term = d.term group by s.term"))
 def q_stopword_union(spark, sf):
     stop = dfm.stopword_table(spark)
     counts = _lemma_dfm(spark, sf).groupBy("term").agg(F.sum("n").alias("n"))
@@ -699,7 +699,7 @@ def q_stopword_union(spark, sf):
 
 
 @register("dictionary_map", WD(
-    "select my_id, coalesce(x.lemma, d.term) as term, sum(d.n) as n from "
+    "select my_id, coalesce(x.lemma, d.term) as term, cast(sum(d.n) as bigint) as n from "
     "(select my_id, term, count(*) as n from (select my_id, unnest(string_split(clean_word_text, ' ')) as term from texts) group by 1, 2) d "
     "left join (select word, min(lemma) as lemma from lexicon2 group by word) x on d.term = x.word group by 1, 2"))
 def q_dictionary_map(spark, sf):
@@ -728,7 +728,7 @@ def q_prep_documents(spark, sf):
 
 @register("corpus_triple", WD(
     "select my_id, string_agg(cast(term_id as varchar) || ':' || cast(n as varchar), ' ' order by term_id) as doc_terms, "
-    "sum(n) as n_tokens from prepped group by my_id"))
+    "cast(sum(n) as bigint) as n_tokens from prepped group by my_id"))
 def q_corpus_triple(spark, sf):
     return dfm.corpus_documents(_prepped(spark, sf)).select("my_id", "doc_terms", F.col("n_tokens").cast("long").alias("n_tokens"))
 
@@ -739,9 +739,9 @@ def q_corpus_vocab(spark, sf):
 
 
 @register("corpus_totals", WD(
-    "select 'lemma_dfm' as stage, sum(n) as n_tokens, count(distinct term) as n_terms, count(distinct my_id) as n_docs from lemma_dfm "
-    "union all select 'processed', sum(n), count(distinct term), count(distinct my_id) from processed "
-    "union all select 'prepped', sum(n), count(distinct term), count(distinct my_id) from prepped"))
+    "select 'lemma_dfm' as stage, cast(sum(n) as bigint) as n_tokens, count(distinct term) as n_terms, count(distinct my_id) as n_docs from lemma_dfm "
+    "union all select 'processed', cast(sum(n) as bigint), count(distinct term), count(distinct my_id) from processed "
+    "union all select 'prepped', cast(sum(n) as bigint), count(distinct term), count(distinct my_id) from prepped"))
 def q_corpus_totals(spark, sf):
     corpus = st.corpus_df(spark, sf)
     processed = st.processed_df(spark, sf, corpus)

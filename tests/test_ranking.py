@@ -45,3 +45,15 @@ def test_partition_count_invariance(spark):
         r = percent_rank_by_histogram(r, "v", "pr")
         results.append(sorted((x.url, x.rn, x.pr) for x in r.collect()))
     assert results[0] == results[1] == results[2]
+
+
+def test_dedupe_never_grows_and_is_idempotent(spark):
+    from corpuslab.operators.features import dedupe_by_key
+
+    rows = [("u1", 1, "a"), ("u1", 1, "a"), ("u2", 2, "b"), ("u2", 3, "c"), ("u3", 4, "d")] * 3
+    df = spark.createDataFrame(rows, "url string, shares long, title string")
+    once = dedupe_by_key(df, "url")
+    twice = dedupe_by_key(once, "url")
+    assert once.count() == 3 <= df.count()
+    assert sorted(once.collect()) == sorted(twice.collect())
+    assert {r.url: r.shares for r in once.collect()}["u2"] == 2  # first by the remaining columns
