@@ -12,6 +12,7 @@ pruning, and no plan grows by re-deriving its own inputs.
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,9 +63,13 @@ class Corpus:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
         self.articles = articles_df(spark, sf_dir)
-        self.features = stage(features.feature_table(self.articles, SCOPE, stage=stage), "features")
+        # the feature table and the lexicon depend only on the articles: their jobs are submitted from two
+        # threads so that Spark runs them side by side on the free cores
+        with ThreadPoolExecutor(max_workers=2) as pool:
+            feats = pool.submit(lambda: stage(features.feature_table(self.articles, SCOPE, stage=stage), "features"))
+            lex = pool.submit(lambda: stage(cleanse.fixture_lexicon(self.articles), "lexicon"))
+            self.features, self.lexicon = feats.result(), lex.result()
         self.scoped = features.scoped_articles(self.features)
-        self.lexicon = stage(cleanse.fixture_lexicon(self.articles), "lexicon")
         self.lex = cleanse.checked_broadcast(self.lexicon)
         self.words = cleanse.word_table(self.scoped)
 
