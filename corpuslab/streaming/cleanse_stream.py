@@ -9,7 +9,6 @@ stream-static joins; nothing here keeps state.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from corpuslab.functions import text as tx
 from corpuslab.operators import cleanse
@@ -28,5 +27,5 @@ def stream_words(articles: DataFrame, lexicon: DataFrame | None = None, id_col:
     t = articles.select(id_col, tx.dateline_strip("text").alias("text"))
     words = cleanse.word_table(t, id_col)
     if lexicon is not None:
-        words = words.join(F.broadcast(lexicon.select("word", "lemma")), "word", "left")
+        words = words.join(cleanse.checked_broadcast(lexicon.select("word", "lemma")), "word", "left")
     return words
