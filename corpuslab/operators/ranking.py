@@ -3,9 +3,11 @@
 ``row_number().over(Window.orderBy(..))``, ``percent_rank()`` and exact
 quantiles over an unpartitioned window move every row into a single partition.
 The forms here keep the work distributed: values are first counted per distinct
-value (a partial aggregate, so hot values cost nothing extra), the counts are
-range-partitioned, each partition computes its local running count, and only
-one row per (group, partition) goes through the small offset window.
+value (a partial aggregate, so hot values cost nothing extra), the key range is
+cut into buckets at split points computed once (so the bucket of a key never
+depends on how a branch of the plan happens to be partitioned), each bucket
+computes its local running count, and only one row per (group, bucket) goes
+through the small offset window.
 """
 
 from __future__ import annotations
@@ -20,45 +22,81 @@ def _parts(df: DataFrame, n: int | None) -> int:
     return n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def split_points(df: DataFrame, col: str, n: int, per_bucket_sample: int = 64) -> list:
+    """At most ``n - 1`` sorted split points of ``col``, computed once and returned as plain values.
+
+    Numbers use ``percentile_approx`` (one aggregate row); other types a
+    deterministic hash sample of about ``per_bucket_sample`` keys per bucket.
+    The points only balance the buckets; every bucket assignment made from
+    them is a pure function of the key, so all branches of a plan agree on it
+    whatever the physical partitioning.
+    """
+    if n <= 1:
+        return []
+    dtype = dict(df.dtypes)[col]
+    base = df.where(F.col(col).isNotNull())
+    if dtype in ("tinyint", "smallint", "int", "bigint", "float", "double") or dtype.startswith("decimal"):
+        probs = [i / n for i in range(1, n)]
+        pts = base.agg(F.percentile_approx(F.col(col).cast("double"), probs, 10000)).first()[0] or []
+        return sorted(set(float(p) for p in pts))
+    total = base.count()
+    modulus = max(1, total // (n * per_bucket_sample))
+    sample = [r[0] for r in base.select(col).where(F.abs(F.xxhash64(col)) % modulus == 0).distinct().orderBy(col).collect()]
+    if not sample:
+        return []
+    return sorted(set(sample[(k * len(sample)) // n] for k in range(1, n)))
+
+
+def bucket_of(col: str, points: list) -> F.Column:
+    """Index of the bucket holding the key: the number of split points strictly below it."""
+    if not points:
+        return F.lit(0)
+    return F.size(F.filter(F.array(*[F.lit(p) for p in points]), lambda s: s < F.col(col)))
+
+
 def add_row_number(df: DataFrame, order_col: str, out_col: str = "row_no", num_partitions: int | None = None) -> DataFrame:
     """1-based row number in ``order_col`` order (the key should be unique).
 
-    Range-partition by the key (bounds from a sample), sort inside each
-    partition, count rows per partition, and add the running offset of the
-    partitions before it. At most one row per partition passes through the
-    offset window, and that table is broadcast (bounded by the partition count).
+    The key range is cut into buckets at split points computed once; rows are
+    numbered inside their bucket by a window partitioned by bucket, and each
+    bucket adds the row count of the buckets before it (one row per bucket
+    goes through that small window; the result is broadcast, bounded by the
+    bucket count).
     """
     n = _parts(df, num_partitions)
-    ranged = (
-        df.repartitionByRange(n, order_col)
-        .sortWithinPartitions(order_col)
-        .withColumn("_pid", F.spark_partition_id())
-        .withColumn("_local", F.monotonically_increasing_id() - F.shiftleft(F.col("_pid").cast("long"), 33))
-    )
+    pts = split_points(df, order_col, n)
+    b = df.withColumn("_b", bucket_of(order_col, pts))
+    local = b.withColumn("_local", F.row_number().over(Window.partitionBy("_b").orderBy(order_col)))
     offsets = (
-        ranged.groupBy("_pid")
+        b.groupBy("_b")
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_off", F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(_UNB, -1)), F.lit(0)))
-        .select("_pid", "_off")
+        .withColumn("_off", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(_UNB, -1)), F.lit(0)))
+        .select("_b", "_off")
     )
-    out = ranged.join(F.broadcast(offsets), "_pid").withColumn(out_col, F.col("_off") + F.col("_local") + F.lit(1))
-    return out.drop("_pid", "_local", "_off")
+    out = local.join(F.broadcast(offsets), "_b").withColumn(out_col, F.col("_off") + F.col("_local"))
+    return out.drop("_b", "_local", "_off")
 
 
 def cumulative_counts(hist: DataFrame, value_col: str, count_col: str, group_cols=(), num_partitions: int | None = None) -> DataFrame:
     """Add ``_before`` (rows of the group with a smaller value) and ``_total`` (rows of the group)
-    to a ``(groups..., value, count)`` histogram, without any single-partition window."""
+    to a ``(groups..., value, count)`` histogram, without any single-partition window.
+
+    Values are bucketed at split points computed once; each (group, bucket)
+    runs its own running sum, and one row per (group, bucket) goes through
+    the window that adds the counts of earlier buckets.
+    """
     g = list(group_cols)
     n = _parts(hist, num_partitions)
-    ranged = hist.repartitionByRange(n, *g, value_col).withColumn("_pid", F.spark_partition_id())
-    w_local = Window.partitionBy("_pid", *g).orderBy(value_col).rowsBetween(_UNB, -1)
-    local = ranged.withColumn("_loc", F.coalesce(F.sum(count_col).over(w_local), F.lit(0)))
-    per = ranged.groupBy(*g, "_pid").agg(F.sum(count_col).alias("_pc"))
+    pts = split_points(hist, value_col, n)
+    b = hist.withColumn("_b", bucket_of(value_col, pts))
+    w_local = Window.partitionBy(*g, "_b").orderBy(value_col).rowsBetween(_UNB, -1)
+    local = b.withColumn("_loc", F.coalesce(F.sum(count_col).over(w_local), F.lit(0)))
+    per = b.groupBy(*g, "_b").agg(F.sum(count_col).alias("_pc"))
     w_grp = Window.partitionBy(*g) if g else Window.partitionBy(F.lit(1))
-    per = per.withColumn("_off", F.coalesce(F.sum("_pc").over(w_grp.orderBy("_pid").rowsBetween(_UNB, -1)), F.lit(0)))
+    per = per.withColumn("_off", F.coalesce(F.sum("_pc").over(w_grp.orderBy("_b").rowsBetween(_UNB, -1)), F.lit(0)))
     per = per.withColumn("_total", F.sum("_pc").over(w_grp)).drop("_pc")
-    out = local.join(per, g + ["_pid"])
-    return out.withColumn("_before", F.col("_loc") + F.col("_off")).drop("_loc", "_off", "_pid")
+    out = local.join(per, g + ["_b"])
+    return out.withColumn("_before", F.col("_loc") + F.col("_off")).drop("_loc", "_off", "_b")
 
 
 def value_histogram(df: DataFrame, value_col: str, group_cols=()) -> DataFrame:

@@ -38,3 +38,16 @@ def test_entry(spark):
     df = e.entry(spark)
     assert df.columns == ["my_id", "clean_word_text", "lemma_text"]
     assert df.count() > 0
+
+
+SF_LARGE = "/root/testdata/sf0.1"
+
+
+@pytest.mark.parametrize("name", ["row_ids", "length_percent_rank", "label_dfm"])
+def test_ids_and_ranks_at_larger_scale(spark, name):
+    """At sf0.1 the inputs of the ranking steps are shuffled and coalesced differently in different branches of a
+    plan; ids and ranks must still equal the single-window SQL."""
+    if not os.path.isdir(SF_LARGE):
+        pytest.skip("test data not present")
+    r = compare(QUERIES[name](spark, SF_LARGE), duck(SF_LARGE), ORACLES[name])
+    assert r["ok"], r
