@@ -47,11 +47,24 @@ def split_points(df: DataFrame, col: str, n: int, per_bucket_sample: int = 64) -
     return sorted(set(sample[(k * len(sample)) // n] for k in range(1, n)))
 
 
+MAX_BUCKETS = 4096
+
+
 def bucket_of(col: str, points: list) -> F.Column:
-    """Index of the bucket holding the key: the number of split points strictly below it."""
-    if not points:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(p) for p in points]), lambda s: s < F.col(col)))
+    """Index of the bucket holding the key: the number of split points strictly below it.
+
+    Built as a balanced tree of comparisons, so a row costs about log2(buckets)
+    comparisons; a null key falls in bucket 0 in every branch of a plan.
+    """
+    c = F.col(col)
+
+    def node(lo: int, hi: int) -> F.Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(c > F.lit(points[mid]), node(mid + 1, hi)).otherwise(node(lo, mid))
+
+    return node(0, len(points))
 
 
 def add_row_number(df: DataFrame, order_col: str, out_col: str = "row_no", num_partitions: int | None = None) -> DataFrame:
@@ -63,7 +76,7 @@ def add_row_number(df: DataFrame, order_col: str, out_col: str = "row_no", num_p
     goes through that small window; the result is broadcast, bounded by the
     bucket count).
     """
-    n = _parts(df, num_partitions)
+    n = min(_parts(df, num_partitions), MAX_BUCKETS)
     pts = split_points(df, order_col, n)
     b = df.withColumn("_b", bucket_of(order_col, pts))
     local = b.withColumn("_local", F.row_number().over(Window.partitionBy("_b").orderBy(order_col)))
@@ -86,7 +99,7 @@ def cumulative_counts(hist: DataFrame, value_col: str, count_col: str, group_col
     the window that adds the counts of earlier buckets.
     """
     g = list(group_cols)
-    n = _parts(hist, num_partitions)
+    n = min(_parts(hist, num_partitions), MAX_BUCKETS)
     pts = split_points(hist, value_col, n)
     b = hist.withColumn("_b", bucket_of(value_col, pts))
     w_local = Window.partitionBy(*g, "_b").orderBy(value_col).rowsBetween(_UNB, -1)

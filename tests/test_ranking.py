@@ -57,3 +57,14 @@ def test_dedupe_never_grows_and_is_idempotent(spark):
     assert once.count() == 3 <= df.count()
     assert sorted(once.collect()) == sorted(twice.collect())
     assert {r.url: r.shares for r in once.collect()}["u2"] == 2  # first by the remaining columns
+
+
+def test_bucket_tree_matches_linear_count(spark):
+    from corpuslab.operators.ranking import bucket_of
+
+    pts = [3.0, 7.5, 10.0, 20.0, 40.0]
+    vals = [None, 0.0, 3.0, 3.5, 7.5, 9.0, 10.0, 15.0, 20.0, 39.0, 40.0, 41.0]
+    df = spark.createDataFrame([(v,) for v in vals], "v double")
+    got = [r.b for r in df.select(bucket_of("v", pts).alias("b")).collect()]
+    want = [0 if v is None else sum(p < v for p in pts) for v in vals]
+    assert got == want
