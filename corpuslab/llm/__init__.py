@@ -3,7 +3,7 @@ pickled by value, so executors need numpy, pyarrow and the named libraries but n
 
 from pyspark import cloudpickle as _cloudpickle
 
-from corpuslab.llm import bpe, graph, ngram_join, packing, textops
+from corpuslab.llm import bpe, decontaminate, graph, langid, logistic, ngram_join, packing, quality, shared, textops
 
-for _m in (bpe, graph, ngram_join, packing, textops):
+for _m in (bpe, decontaminate, graph, langid, logistic, ngram_join, packing, quality, shared, textops):
     _cloudpickle.register_pickle_by_value(_m)

@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm import ngram_join, packing
-from corpuslab.llm.stage import read
+from corpuslab.llm import decontaminate, langid, ngram_join, packing, quality
+from corpuslab.llm.stage import id_remainder, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,3 +43,30 @@ def q_packing(spark, sf):
 @register("op2_ngram_jaccard_join")
 def q_ngram_join(spark, sf):
     return ngram_join.jaccard_classes(read(spark, sf, "documents"), n=4, percent=85)
+
+
+def id_text(docs):
+    """(doc_id, text) of a table of documents."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+@register("op5_spaced_seed_decontamination")
+def q_decontaminate(spark, sf):
+    return decontaminate.overlaps(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
+
+
+@register("op8_compression_quality")
+def q_quality(spark, sf):
+    docs = read(spark, sf, "documents")
+    held_out = id_remainder(F.col("doc_id"), 3) == 1
+    model = quality.fit(docs, read(spark, sf, "labels"), ~held_out)
+    scored = quality.predict(id_text(docs), model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@register("op10_language_filters")
+def q_langid(spark, sf):
+    docs = read(spark, sf, "documents")
+    held_out = id_remainder(F.col("doc_id"), 4) == 2
+    model = langid.fit(docs.where(~held_out))
+    return langid.predict(id_text(docs), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")

@@ -22,6 +22,10 @@ _IS_WORD = np.ones(256, dtype=bool)
 _IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
 
 
+_CLEAN = np.arange(256, dtype=np.uint8)
+_CLEAN[[c for c in range(128) if not chr(c).isalnum()]] = 0x20
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser: a bijection on 64-bit integers with good avalanche."""
     x = x ^ (x >> U64(30))
@@ -36,8 +40,7 @@ def constants(n: int, seed: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(seed)) | U64(1)
 
 
-_BYTE = constants(256, 11)
-_BYTE_LOWER = np.where(_IS_WORD, _BYTE[_LOWER], U64(0))
+_BYTE_LOWER = np.where(_IS_WORD, constants(256, 11)[_LOWER], U64(0))
 _POWER = U64(0x9E3779B97F4A7C15)
 
 
@@ -82,9 +85,14 @@ def _segments(data: np.ndarray, limit: int):
         a = b
 
 
-def words(col, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of a column, in order, and the row offsets into them."""
+def words(col, clean: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of a column, in order, and the row offsets into them.
+
+    With ``clean``, ASCII characters other than letters and digits separate words like white space.
+    """
     data, offsets = column_bytes(col)
+    if clean:
+        data = _CLEAN[data]
     hashes, starts_all = [], []
     for a, b in _segments_rows(data, offsets):
         seg = data[a:b]
@@ -108,7 +116,7 @@ def words(col, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
         if longest > 1:
             power[1:] = _POWER
             np.multiply.accumulate(power, out=power)
-        values = (_BYTE_LOWER if lower else np.where(_IS_WORD, _BYTE, U64(0)))[seg]
+        values = _BYTE_LOWER[seg]
         values *= power[index]
         hashes.append(mix(np.add.reduceat(values, starts)))
         starts_all.append(starts + a)
