@@ -6,8 +6,8 @@ seed. Seeds of all benchmark positions under every mask form a sorted table
 of hashes; the seeds of all document windows are joined to it (a bitmap turns
 most windows away first). A hit names a diagonal (document position less item position), on which
 the two token sequences are compared as a whole: an overlap is the longest
-stretch with at least ``percent`` % equal tokens. It counts if it has
-``min_tokens`` tokens, or the whole item where that is shorter. So an overlap may
+stretch with at least ``percent`` % equal tokens. It counts if ``min_tokens`` of its tokens,
+or ``percent`` % of the item's tokens, are equal. So an overlap may
 hold substitutions around and inside its hits.
 
 A token is a run of letters and digits (ASCII case folded; other ASCII characters separate).
@@ -124,9 +124,10 @@ class SeedTable:
             i += 1
         while j > i and not same[j - 1]:
             j -= 1
-        if j - i < min(self.min_tokens, len(item)):
+        equal = int(same[i:j].sum())
+        if equal < self.min_tokens and 100 * equal < self.percent * len(item):
             return None
-        return a + i + diagonal, a + i, j - i, int(same[i:j].sum())
+        return a + i + diagonal, a + i, j - i, equal
 
 
 def _blocks(benchmark: DataFrame, masks, min_tokens: int, percent: int):

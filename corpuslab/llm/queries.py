@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm import decontaminate, langid, ngram_join, packing, quality
+from corpuslab.llm import decontaminate, langid, metric_join, ngram_join, packing, quality, sharding, warc
 from corpuslab.llm.stage import id_remainder, read
+from corpuslab.session import stage_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,11 +52,36 @@ def id_text(docs):
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+@register("op4_feistel_sharding")
+def q_sharding(spark, sf):
+    placed = sharding.shuffle_into_shards(read(spark, sf, "documents"), shards=40)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_number"
+    )
+
+
 @register("op5_spaced_seed_decontamination")
 def q_decontaminate(spark, sf):
     return decontaminate.overlaps(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
 
 
+OP7_SQL = """
+with p as (select page_id, coalesce(html, '') as html from pages),
+k as (select html, max(page_id) as keeper from p where strlen(html) >= 1000 group by html)
+select p.page_id, cast(strlen(p.html) as bigint) as payload_bytes, sha1(p.html) as payload_digest,
+  case when k.keeper <> p.page_id then 'revisit' else 'response' end as record_type,
+  case when k.keeper <> p.page_id then k.keeper end as refers_to
+from p left join k on p.html = k.html
+"""
+
+
+@register("op7_content_addressed_warc", OP7_SQL)
+def q_warc(spark, sf):
+    path = stage_dir(spark, f"llm-warc-{uuid.uuid4().hex}")
+    warc.write_archive(read(spark, sf, "pages"), path)
+    return warc.read_index(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @register("op8_compression_quality")
 def q_quality(spark, sf):
     docs = read(spark, sf, "documents")
@@ -70,3 +97,21 @@ def q_langid(spark, sf):
     held_out = id_remainder(F.col("doc_id"), 4) == 2
     model = langid.fit(docs.where(~held_out))
     return langid.predict(id_text(docs), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+OP9_SQL = """
+with recursive ok as (select vec_id, label, embedding::double[] as e from embeddings where embedding is not null and label is not null
+  and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link as (select a.vec_id as a, b.vec_id as b from ok a join ok b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  where list_cosine_similarity(a.e, b.e) >= 0.93),
+reach(a, b) as (select a, b from link union select r.a, l.b from reach r join link l on r.b = l.a),
+low as (select a, min(b) as b from reach group by a), deg as (select a, count(*) as n from link group by a)
+select v.vec_id, cast(coalesce(deg.n, 0) as bigint) as n_links, least(v.vec_id, coalesce(low.b, v.vec_id)) as component_id,
+  v.vec_id = least(v.vec_id, coalesce(low.b, v.vec_id)) as kept
+from embeddings v left join low on low.a = v.vec_id left join deg on deg.a = v.vec_id
+"""
+
+
+@register("op9_metric_range_join", OP9_SQL)
+def q_vectors(spark, sf):
+    return metric_join.near_vectors(read(spark, sf, "embeddings"), threshold=0.93)
