@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm import decontaminate, langid, metric_join, ngram_join, packing, quality, sharding, warc
+from corpuslab.llm import decontaminate, langid, metric_join, ngram_join, packing, quality, sharding, toxicity, warc
 from corpuslab.llm.stage import id_remainder, read
 from corpuslab.session import stage_dir
 
@@ -52,6 +52,15 @@ def id_text(docs):
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+@register("op3_convolutional_toxicity")
+def q_toxicity(spark, sf):
+    docs = read(spark, sf, "documents")
+    held_out = id_remainder(F.col("doc_id"), 5) == 0
+    model = toxicity.fit(docs, read(spark, sf, "labels"), ~held_out)
+    scored = toxicity.predict(id_text(docs), model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @register("op4_feistel_sharding")
 def q_sharding(spark, sf):
     placed = sharding.shuffle_into_shards(read(spark, sf, "documents"), shards=40)
