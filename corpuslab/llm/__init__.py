@@ -3,7 +3,7 @@ pickled by value, so executors need numpy, pyarrow and the named libraries but n
 
 from pyspark import cloudpickle as _cloudpickle
 
-from corpuslab.llm import bpe, decontaminate, graph, langid, logistic, metric_join, ngram_join, packing, quality, sharding, shared, textops, toxicity
+from corpuslab.llm import bpe, decontaminate, graph, langid, lm, logistic, metric_join, ngram_join, packing, quality, sharding, shared, textops, toxicity
 
-for _m in (bpe, decontaminate, graph, langid, logistic, metric_join, ngram_join, packing, quality, sharding, shared, textops, toxicity):
+for _m in (bpe, decontaminate, graph, langid, lm, logistic, metric_join, ngram_join, packing, quality, sharding, shared, textops, toxicity):
     _cloudpickle.register_pickle_by_value(_m)

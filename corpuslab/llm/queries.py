@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm import decontaminate, langid, metric_join, ngram_join, packing, quality, sharding, toxicity, warc
+from corpuslab.llm import decontaminate, langid, lm, metric_join, ngram_join, packing, quality, sharding, toxicity, warc
 from corpuslab.llm.stage import id_remainder, read
 from corpuslab.session import stage_dir
 
@@ -74,6 +74,16 @@ def q_decontaminate(spark, sf):
     return decontaminate.overlaps(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
 
 
+@register("op6_brown_class_lm")
+def q_lm(spark, sf):
+    docs = read(spark, sf, "documents")
+    held_out = id_remainder(F.col("doc_id"), 7) == 2
+    model, counts = lm.fit(docs.where(~held_out))
+    return lm.score(docs, model, counts).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score"
+    )
+
+
 OP7_SQL = """
 with p as (select page_id, coalesce(html, '') as html from pages),
 k as (select html, max(page_id) as keeper from p where strlen(html) >= 1000 group by html)

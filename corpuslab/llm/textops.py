@@ -158,6 +158,22 @@ def spans(col) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return data, starts, np.flatnonzero(ok & ~after) + 1, np.searchsorted(starts, offsets).astype(np.int64)
 
 
+def hashed_spans(col):
+    """Hashes of all words with the bytes, word starts, word ends and row offsets of :func:`spans`."""
+    data, starts, ends, off = spans(col)
+    if not len(starts):
+        return np.zeros(0, U64), data, starts, ends, off
+    first = np.zeros(len(data), np.int64)
+    first[starts] = starts
+    index = np.arange(len(data)) - np.maximum.accumulate(first)
+    power = np.ones(int((ends - starts).max()), dtype=U64)
+    power[1:] = _POWER
+    np.multiply.accumulate(power, out=power)
+    value = _BYTE_LOWER[data]  # white space counts 0
+    value *= power[np.minimum(index, len(power) - 1)]
+    return mix(np.add.reduceat(value, starts)), data, starts, ends, off
+
+
 def shingles(col, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct ``n``-word shingle hashes of every row, sorted in each row, and the row offsets into them.
 

@@ -78,9 +78,10 @@ def features(col) -> tuple[np.ndarray, np.ndarray]:
     value *= power[np.minimum(index, len(power) - 1)]  # blanks have value 0
     total = np.concatenate([np.zeros(1, tx.U64), np.cumsum(value, dtype=tx.U64)])
     out = np.empty((len(starts), 1 + len(PREFIXES)), np.int32)
+    salt = tx.constants(1 + len(PREFIXES), 31)
     for k, n in enumerate((None, *PREFIXES)):
         stop = ends if n is None else np.minimum(ends, starts + n)
-        h = tx.mix((total[stop] - total[starts]) + tx.U64(0 if n is None else n) * tx.U64(0x632BE59BD9B4E019))
+        h = tx.mix((total[stop] - total[starts]) + salt[k])
         out[:, k] = (h & tx.U64(BUCKETS - 1)).astype(np.int32)
     return out, off
 
