@@ -7,7 +7,7 @@ extra columns included. Each stage works on all rows its predecessor kept:
 
 * ``language_id`` learns the language filters from the rows' ``lang`` (those not
   held out), predicts each text's language and drops the texts it rejects: those without
-  a letter (null and empty ones too), and those without a known n-gram.
+  a letter (null and empty ones too), and those of ``LONG_ENOUGH`` characters or more without a single known n-gram.
 * ``quality`` learns from the labels that are not held out and drops texts whose score is under ``QUALITY_FLOOR``.
 * ``near_duplicates`` keeps one document, the smallest id, of every group linked
   by a Jaccard similarity of at least 0.8 of five-word shingles; rows
@@ -28,6 +28,7 @@ from corpuslab.llm import langid, ngram_join, packing, quality, stage
 from corpuslab.llm.queries import vocabulary_path
 
 QUALITY_FLOOR = 0.25
+LONG_ENOUGH = 50  # shorter texts say too little to be rejected for unknown n-grams
 BROADCAST_IDS = 1_000_000  # ids of 8 bytes: 8 MB
 
 
@@ -37,7 +38,7 @@ def _columns(docs: DataFrame) -> list:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     learn = docs.where(stage.id_remainder(F.col("doc_id"), 4) != 2)
-    return _judged(docs, lambda d: langid.predict(d, langid.fit(learn)), lambda p: (p["lang_pred"] != langid.UNKNOWN) & (p["score"] > 0))
+    return _judged(docs, lambda d: langid.predict(d, langid.fit(learn)), lambda p: (p["lang_pred"] != langid.UNKNOWN) & ((p["score"] > 0) | (F.length(p["text"]) < LONG_ENOUGH)))
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

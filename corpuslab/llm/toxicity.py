@@ -160,6 +160,8 @@ class Cnn:
 
     def train(self, docs: list[np.ndarray], y: np.ndarray, epochs: int, rng: np.random.Generator) -> None:
         """Adam on the filters and the linear layer; embeddings move where a maximum was taken."""
+        if not docs:
+            return
         params = [*self.filters, self.out]
         m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
         bias_m, bias_v, t = 0.0, 0.0, 0
