@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from corpuslab.functions import text as tx
 from corpuslab.functions.lists import ENTITY_EXCLUSIONS
 
-MAX_BROADCAST_LEXICON_ROWS = 20_000_000
+MAX_BROADCAST_LEXICON_ROWS = 1_000_000  # two short strings a row: some tens of MB
 
 
 def checked_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_LEXICON_ROWS) -> DataFrame:
@@ -96,8 +96,9 @@ def extend_lexicon(lexicon: DataFrame, new_words: DataFrame) -> DataFrame:
 def augment_lexicon(lexicon: DataFrame, words: DataFrame, top_n: int = 600, exclude_entities: bool = False) -> DataFrame:
     """Lexicon grown by the most frequent unmatched words (row 86)."""
     top = oov_top_words(words, lexicon, top_n, exclude_entities)
-    # at most top_n rows: a proven bound
-    return extend_lexicon(lexicon, F.broadcast(top))
+    grown = extend_lexicon(lexicon, top)
+    # a hint inside a union is lost, so the whole is hinted: a counted lexicon and at most top_n rows
+    return F.broadcast(grown) if lexicon.count() <= MAX_BROADCAST_LEXICON_ROWS else grown
 
 
 def _ordered_join(values) -> F.Column:

@@ -24,8 +24,12 @@ def topic_name(k: int, width: int = 2, prefix: str = "tm_") -> str:
 # Fixed model stand-ins (FIXTURES.md section 4)
 # ---------------------------------------------------------------------------
 def fixture_theta(embeddings: DataFrame, k: int = 10, scale: float = 4.0) -> DataFrame:
-    """Softmax of the first ``k`` embedding values, per row: array functions, no shuffle."""
-    w = F.transform(F.slice("embedding", 1, k), lambda x: F.exp(F.lit(scale) * x.cast("double")))
+    """Softmax of ``k`` sums over the whole embedding (positions modulo ``k``), per row: array functions, no shuffle."""
+    def total(t):
+        own = F.filter("embedding", lambda x, i: (i % k) == t)
+        return F.aggregate(own, F.lit(0.0), lambda acc, x: acc + x.cast("double"))
+
+    w = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda t: F.exp(F.lit(scale) * total(t)))
     e = embeddings.select(F.col("vec_id").alias("doc_id"), w.alias("_w"))
     e = e.withColumn("_s", F.aggregate("_w", F.lit(0.0), lambda acc, x: acc + x))
     return e.select("doc_id", F.posexplode("_w").alias("_t", "_x"), "_s").select(

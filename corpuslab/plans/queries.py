@@ -761,7 +761,8 @@ MODEL_CTES = f"""
 theta AS (
   select vec_id as doc_id, cast(topic as integer) as topic, w / sum(w) over (partition by vec_id) as p from (
     select vec_id, topic, exp(4 * cast(x as double)) as w from (
-      select vec_id, unnest(embedding[1:{K}]) as x, generate_subscripts(embedding[1:{K}], 1) as topic from embeddings))
+      select vec_id, sum(cast(x as double)) as x, (pos - 1) % {K} + 1 as topic from (
+        select vec_id, unnest(embedding) as x, generate_subscripts(embedding, 1) as pos from embeddings) group by all))
 ),
 beta_k AS (select word as term from fx_words group by word having count(distinct doc_id) >= 20),
 beta_g AS (

@@ -42,7 +42,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        # Only reached in local tests: a cluster names its shared folder in spark.checkpoint.dir.
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        # a local session: driver and executor threads share one machine
         configured = tempfile.mkdtemp(prefix="corpuslab-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()

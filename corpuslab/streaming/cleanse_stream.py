@@ -9,6 +9,7 @@ stream-static joins; nothing here keeps state.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from corpuslab.functions import text as tx
 from corpuslab.operators import cleanse
@@ -17,7 +18,7 @@ from corpuslab.sources.tables import ARTICLE_SCHEMA
 
 def read_article_stream(spark: SparkSession, path: str, max_files_per_trigger: int = 16) -> DataFrame:
     """Article Parquet files arriving in ``path`` as a stream (schema fixed, no inference)."""
-    schema = ARTICLE_SCHEMA.add("doc_id", "long")
+    schema = T.StructType([*ARTICLE_SCHEMA.fields, T.StructField("doc_id", T.LongType())])
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(path)
 
 
