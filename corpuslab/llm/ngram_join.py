@@ -30,7 +30,7 @@ returns what a heap would, without a Python step per posting.
 
 Defined results: a null or empty text, or one without words, has ``n_shingles``
 0, no links, and its own id as component; texts under ``n`` words have one
-shingle; repeated rows and equal texts are copies in one class; rows with a
+shingle; repeated rows and equal texts are copies in one class; different texts under one id are one node of the links; rows with a
 null ``doc_id`` are members of their class but name no component (a class of
 such rows alone has a null component); an empty table gives no rows; other columns are not read.
 """
@@ -49,6 +49,7 @@ from corpuslab.llm import textops as tx
 from corpuslab.llm.graph import Union
 
 CHUNK_SHINGLES = 1 << 20
+CHUNK_ROWS = 30_000  # with the rows of one more slice still a 16-bit number
 BUCKET_SHINGLES = 1_500_000
 BLOCK = 2_000
 _MU = 0.0085  # DivideSkip's weight of a probe against a merge step
@@ -92,7 +93,7 @@ def _chunk_rows(batches, n: int, bits: int):
         index = np.full(len(order), -1, np.int64)
         index[keep] = np.arange(int(keep.sum()))
         doc = np.repeat(index, size)
-        h, doc = h[doc >= 0], doc[doc >= 0].astype(np.uint32)
+        h, doc = h[doc >= 0], doc[doc >= 0].astype(np.uint16)
         order = np.argsort(h)
         h, doc = h[order], doc[order]
         bucket = (h >> tx.U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
@@ -101,7 +102,7 @@ def _chunk_rows(batches, n: int, bits: int):
         me = task + number
         rows = [(int(k), me, doc[a:b].tobytes(), h[a:b].tobytes(), None) for k, a, b in zip(found, first, ends)]
         home = int(tx.mix(np.array([me], dtype=tx.U64))[0]) % (1 << bits)
-        rows.append((home, me, ids[keep].astype(np.int64).tobytes(), None, size[keep].astype(np.int64).tobytes()))
+        rows.append((home, me, ids[keep].astype(np.int64).tobytes(), None, np.stack([size[keep].astype(np.int64), key[keep, 0].view(np.int64)]).tobytes()))
         cols = list(zip(*rows))
         return pa.RecordBatch.from_arrays(
             [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[2:])],
@@ -114,7 +115,7 @@ def _chunk_rows(batches, n: int, bits: int):
             d = np.stack(tx.digests(h, off), axis=1)
             held.append((batch.column(0).slice(a, b - a).to_numpy(zero_copy_only=False).astype(np.int64), np.diff(off), h, d))
             total += len(h)
-            if total >= CHUNK_SHINGLES:
+            if total >= CHUNK_SHINGLES or sum(len(x[0]) for x in held) >= CHUNK_ROWS:
                 yield chunk()
                 held, total, number = [], 0, number + 1
     if held:
@@ -128,14 +129,14 @@ def _bucket_lists(table: pa.Table) -> pa.Table:
     own = [(c, d, h) for c, d, h in zip(chunk, doc, hsh) if h is not None]
     if own:
         h = np.concatenate([np.frombuffer(x[2], tx.U64) for x in own])
-        d = np.concatenate([np.frombuffer(x[1], np.uint32) for x in own])
+        d = np.concatenate([np.frombuffer(x[1], np.uint16) for x in own])
         src = np.repeat(np.arange(len(own), dtype=np.int32), [len(x[2]) // 8 for x in own])
         order = np.argsort(h)
         s = h[order]
         first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
         df = np.diff(np.append(first, len(s)))
         df = np.repeat(df, df)
-        order, df = order[df > 1], df[df > 1].astype(np.uint32)
+        order, df = order[df > 1], np.minimum(df[df > 1], 0xFFFF).astype(np.uint16)  # only an order of the shingles
         by = np.argsort(src[order], kind="stable")
         order, df = order[by], df[by]
         bound = np.searchsorted(src[order], np.arange(len(own) + 1))
@@ -151,13 +152,14 @@ def _prefix_rows(table: pa.Table, percent: int) -> pa.Table:
     """Documents of a chunk whose prefix holds a shared shingle: id, set size, all shared shingles, the prefix."""
     rows = list(zip(*(table.column(k).to_pylist() for k in ("doc", "hash", "df", "size"))))
     head = next(r for r in rows if r[3] is not None)
-    ids, size = np.frombuffer(head[0], np.int64), np.frombuffer(head[3], np.int64)
+    ids = np.frombuffer(head[0], np.int64)
+    size, d1 = np.frombuffer(head[3], np.int64).reshape(2, -1)
     rows = [r for r in rows if r[3] is None]
-    out = [[], [], [], []]
+    out = [[], [], [], [], []]
     if rows:
-        doc = np.concatenate([np.frombuffer(r[0], np.uint32) for r in rows])
+        doc = np.concatenate([np.frombuffer(r[0], np.uint16) for r in rows])
         h = np.concatenate([np.frombuffer(r[1], tx.U64) for r in rows])
-        df = np.concatenate([np.frombuffer(r[2], np.uint32) for r in rows])
+        df = np.concatenate([np.frombuffer(r[2], np.uint16) for r in rows])
         order = np.lexsort((h, df, doc))
         doc, h = doc[order], h[order]
         bound = np.searchsorted(doc, np.arange(len(ids) + 1))
@@ -170,9 +172,10 @@ def _prefix_rows(table: pa.Table, percent: int) -> pa.Table:
             out[1].append(int(size[i]))
             out[2].append(np.sort(own).tobytes())
             out[3].append(own[: prefix[i]].view(np.int64))
+            out[4].append(int(d1[i]))
     return pa.table(
-        [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.list_(pa.int64()))],
-        names=["doc_id", "n_shingles", "shared", "prefix"],
+        [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.list_(pa.int64())), pa.array(out[4], pa.int64())],
+        names=["doc_id", "n_shingles", "shared", "prefix", "d1"],
     )
 
 
@@ -268,10 +271,11 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     dealt = docs.where("doc_id is not null").mapInArrow(lambda b: _chunk_rows(b, n, bits), "bucket int, chunk long, doc binary, hash binary, size binary")
     lists = dealt.groupBy("bucket").applyInArrow(_bucket_lists, "chunk long, doc binary, hash binary, df binary, size binary")
     active = lists.groupBy("chunk").applyInArrow(
-        lambda t: _prefix_rows(t, percent), "doc_id long, n_shingles long, shared binary, prefix array<long>"
+        lambda t: _prefix_rows(t, percent), "doc_id long, n_shingles long, shared binary, prefix array<long>, d1 long"
     )
-    reps = classes.where("class_id is not null").select(F.col("class_id").alias("doc_id"), "copies")
-    active = stage.written(active.join(reps, "doc_id"), "active")
+    reps = classes.where("class_id is not null").select(F.col("class_id").alias("doc_id"), "n_shingles", "d1", "copies")
+    # a repeated row comes from several chunks
+    active = stage.written(active.join(reps, ["doc_id", "n_shingles", "d1"]).dropDuplicates(["doc_id", "n_shingles", "d1"]).drop("d1"), "active")
 
     postings = active.select("doc_id", F.explode("prefix").alias("token"))
     heads = postings.groupBy("token").agg(F.min("doc_id").alias("head"), F.count("*").alias("df")).where("df > 1")
@@ -283,8 +287,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 
     held = (
         active.drop("prefix")
-        .join(member.withColumnRenamed("node", "doc_id"), "doc_id")
-        .join(group, "component")
+        .join(member.withColumnRenamed("node", "doc_id").join(group, "component"), "doc_id")  # narrow rows first
         .withColumn("blocks", F.ceil(F.col("g") / BLOCK).cast("int"))
         .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

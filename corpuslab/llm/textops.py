@@ -58,15 +58,15 @@ def column_bytes(col) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def slices(col, limit: int = SEGMENT):
-    """Row ranges of a column, each of at most ``limit`` bytes of text unless one row is longer."""
+def slices(col, limit: int = SEGMENT, rows: int = 30_000):
+    """Row ranges of a column, each of at most ``limit`` bytes of text unless one row is longer, and at most ``rows`` rows."""
     n = len(col)
     if n == 0:
         return
     size = np.asarray(pc.fill_null(pc.binary_length(col.cast(pa.large_string())), 0), dtype=np.int64)
     a, total = 0, 0
     for i, s in enumerate(size.tolist()):
-        if i > a and total + s > limit:
+        if i > a and (total + s > limit or i - a >= rows):
             yield a, i
             a, total = i, 0
         total += s
