@@ -220,12 +220,29 @@ def test_lm_base_score_and_normalisation(spark, docs_table):
         assert abs(total - 1) < 1e-6
 
 
-def test_exchange_separates_two_kinds_of_words():
-    b = np.random.default_rng(2).integers(0, 2, (9, 9)).astype(float)
-    b[:4, 4:8] += 10
-    b[4:8, :4] += 10
-    cls = lm.exchange(b, 8, 2)
-    assert len(set(cls[:4])) == 1 and len(set(cls[4:8])) == 1 and cls[0] != cls[4] and cls[8] not in cls[:8]
+def class_likelihood(b, cls):
+    one = np.zeros((len(b), cls.max() + 1))
+    one[np.arange(len(b)), cls] = 1
+    g = one.T @ b @ one
+    return lm._xlogx(g).sum() - lm._xlogx(g.sum(0)).sum() - lm._xlogx(g.sum(1)).sum()
+
+
+def test_exchange_ends_where_no_single_move_helps():
+    b = np.random.default_rng(0).integers(0, 5, (14, 14)).astype(float)
+    cls = lm.exchange(b, 12, 4)
+    for w in range(12):
+        for to in range(4):
+            other = cls.copy()
+            other[w] = to
+            assert class_likelihood(b, other) <= class_likelihood(b, cls) + 1e-6
+
+
+def test_exchange_recovers_planted_classes():
+    rng = np.random.default_rng(0)
+    group, f = rng.integers(0, 4, 60), rng.pareto(1.2, 60) + 1
+    follows = np.where((group[:, None] + 1) % 4 == group[None, :], 1.0, 0.05)
+    cls = lm.exchange(np.pad(rng.poisson(np.outer(f, f) * follows * 5).astype(float), ((0, 1), (0, 1))), 60, 4)
+    assert len(set(zip(cls[:60].tolist(), group.tolist()))) == 4
 
 
 def test_archive_round_trip(spark, tmp_path):
