@@ -20,8 +20,7 @@ counts go back to the chunk. A frequent word costs one entry per chunk.
 
 Defined results: a null or empty text is the end token alone; a null id has
 the remainder of the empty text; repeated rows are counted each and get equal scores; with no training
-row the base is log10(1/2) a token (N = 0, V = 0: (0+1)/(0+1*(0+1)) = 1, log10 0 is avoided by its definition) and the
-score uses uniform classes; an empty table gives no rows; ties in frequency go to the smaller hash; other columns are not read.
+row N = V = 0, every token is unknown, the base is 0 a token, and the score uses uniform classes; an empty table gives no rows; ties in frequency go to the smaller hash; other columns are not read.
 """
 
 from __future__ import annotations
@@ -143,6 +142,13 @@ def _bigram_counts(units_of):
     return run
 
 
+def _packed(batches):
+    """Summed pairs as one row of two arrays per batch, so the driver takes them a partition at a time."""
+    for batch in batches:
+        rows = [[batch.column(k).to_numpy().astype(np.int64).tobytes()] for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in rows], ["pair", "n"])
+
+
 def _xlogx(x):
     return x * np.log(np.maximum(x, 1e-300))
 
@@ -222,7 +228,7 @@ class Model:
             # the class's training mass without its clustered words
             self.mass[s], self.discount[s] = n, d
             self.log_unknown[s] = math.log10(d * v / n) if n else 0.0
-        self.log_base_total = math.log10(max(1, tokens + distinct + 1))
+        self.log_base_total = math.log10(tokens + distinct + 1)
 
     def log_open(self, count: np.ndarray, shape: np.ndarray) -> np.ndarray:
         """Emission of a word of an open class with a training count."""
@@ -248,9 +254,10 @@ def fit(texts: DataFrame, frequent: int = FREQUENT, classes: int = CLASSES, know
         r["shape"]: (r["n"], r["v"], r["n1"], r["n2"])
         for r in rest.groupBy("shape").agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2")).collect()
     }
-    pairs = texts.mapInArrow(_bigram_counts(share(spark, units)), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    pairs = texts.mapInArrow(_bigram_counts(share(spark, units)), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     bigrams = np.zeros((units.size, units.size))
-    bigrams.flat[pairs["pair"].to_numpy(np.int64)] = pairs["n"].to_numpy(np.float64)
+    for r in pairs.mapInArrow(_packed, "pair binary, n binary").toLocalIterator():
+        bigrams.flat[np.frombuffer(r["pair"], np.int64)] = np.frombuffer(r["n"], np.int64)
     return Model(units, bigrams, int(total[0] or 0), int(total[1]), open_stats, classes), counts.select("word", "n")
 
 
