@@ -190,7 +190,7 @@ def _pack_task(batches, vocabulary: str, tiers, end_id: int, step_tokens: int, b
 
     for batch in batches:
         keys, text = batch.column(0), batch.column(1)
-        for a, b in tx.slices(text, 1 << 22):
+        for a, b in tx.slices(text, 1 << 20):
             ids, off = encoder.column(text.slice(a, b - a))
             for i, key in enumerate(keys.slice(a, b - a).to_pylist()):
                 own = np.append(ids[off[i] : off[i + 1]], np.uint32(end_id)).astype("<u4")

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-SEGMENT = 1 << 21  # bytes of text hashed at once; bounds temporaries to a few dozen MB
+SEGMENT = 1 << 20  # bytes of text hashed at once; bounds temporaries to a few dozen MB
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
