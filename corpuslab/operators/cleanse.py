@@ -81,6 +81,30 @@ def oov_top_words(words: DataFrame, lexicon: DataFrame, top_n: int = 600, exclud
     return top
 
 
+def token_audit(counts: DataFrame, lexicon: DataFrame, top_n: int = 600, min_len: int = 3) -> DataFrame:
+    """Rows and distinct words after each cleansing step, ``(stage, n_rows, n_unique)`` (row 6).
+
+    ``counts`` is ``(word, n)`` over all tokens: every step's figures follow from the
+    counts per word, so the texts are read once.
+    """
+    words = drop_short(counts, "word", min_len)
+    top = words.join(lexicon.where(F.col("lemma").isNotNull()).select("word"), "word", "left_anti").orderBy(F.desc("n"), F.asc("word")).limit(top_n)
+
+    def card(df, stage):
+        return df.agg(
+            F.lit(stage).alias("stage"),
+            F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_rows"),
+            F.countDistinct("word").alias("n_unique"),
+        )
+
+    def lemmatised(lex):
+        return drop_short(words.join(lex, "word"), "lemma", min_len)
+
+    first = lemmatised(lexicon.select("word", "lemma"))
+    grown = first.unionByName(lemmatised(top.select("word", F.col("word").alias("lemma"))))
+    return card(counts, "tokens").unionByName(card(words, "words")).unionByName(card(first, "lemmatised")).unionByName(card(grown, "lemmatised_grown"))
+
+
 def lexicon_exclusions(words: DataFrame, col: str = "word", exclusions=ENTITY_EXCLUSIONS) -> DataFrame:
     """Drop the hand-made entity list from the growth words (row 60)."""
     return words.where(~F.col(col).isin(*exclusions))

@@ -42,18 +42,14 @@ def ngram_terms(tokens, n: int):
 def text_dfm(df: DataFrame, id_col: str = "my_id", col: str = "lemma_text", ngrams=(1,)) -> DataFrame:
     """DFM of a space-separated text column, for one or several n-gram sizes (rows 89, 92).
 
-    ``sequence(1, 0)`` would count down in Spark, so documents shorter than
-    the n-gram size are filtered before the n-grams are built.
+    The n-grams of all sizes are built in the row, so the text is read and split once. ``sequence(1, 0)``
+    would count down in Spark, so a document shorter than the n-gram size gives an empty array.
     """
     toks = F.filter(F.split(F.col(col), " "), lambda x: x != F.lit(""))
     base = df.where(F.col(col).isNotNull()).select(id_col, toks.alias("_t"))
-    parts = []
-    for n in ngrams:
-        g = base.where(F.size("_t") >= n).select(id_col, F.explode(ngram_terms(F.col("_t"), n)).alias("term"))
-        parts.append(g)
-    allg = parts[0]
-    for p in parts[1:]:
-        allg = allg.unionByName(p)
+    none = F.array().cast("array<string>")
+    sizes = [F.when(F.size("_t") >= n, ngram_terms(F.col("_t"), n)).otherwise(none) for n in ngrams]
+    allg = base.select(id_col, F.explode(F.concat(*sizes)).alias("term"))
     return allg.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -128,7 +124,8 @@ def dictionary_map(dfm: DataFrame, dictionary: DataFrame, id_col: str = "my_id")
 def flag_features(trimmed: DataFrame, id_col: str = "my_id", keep: int = 9, prefix_len: int = 3) -> DataFrame:
     """The first ``keep`` features in order of first appearance (document order, then position),
     with their column names ``topic_`` + 3-character prefix left-padded with ``_`` (suffix on collision)."""
-    first = trimmed.groupBy("term").agg(F.min(F.struct(id_col, "pos")).alias("_first"))
+    # ids are padded but never cut, so (length, id) is their numeric order
+    first = trimmed.groupBy("term").agg(F.min(F.struct(F.length(id_col).alias("_width"), F.col(id_col), F.col("pos"))).alias("_first"))
     chosen = first.orderBy("_first").limit(keep)
     w = Window.orderBy("_first")  # at most `keep` rows
     chosen = chosen.withColumn("position", F.row_number().over(w))
@@ -140,24 +137,33 @@ def flag_features(trimmed: DataFrame, id_col: str = "my_id", keep: int = 9, pref
     return chosen.select(F.col("position").cast("long").alias("position"), "term", name.alias("flag"))
 
 
+def topic_flags_by_position(docs: DataFrame, trimmed: DataFrame, id_col: str = "my_id", keep: int = 9, feats: DataFrame | None = None) -> DataFrame:
+    """``flag_1 .. flag_<keep>``, one row per document of ``docs``: whether it has the feature of that position."""
+    feats = flag_features(trimmed, id_col, keep) if feats is None else feats
+    hits = trimmed.join(F.broadcast(feats), "term")  # at most `keep` rows
+    wide = hits.groupBy(id_col).agg(*[F.max(F.col("position") == i).alias(f"flag_{i}") for i in range(1, keep + 1)])
+    out = docs.select(id_col).join(wide, id_col, "left")
+    return out.select(id_col, *[F.coalesce(f"flag_{i}", F.lit(False)).alias(f"flag_{i}") for i in range(1, keep + 1)])
+
+
 def topic_flags_long(docs: DataFrame, trimmed: DataFrame, id_col: str = "my_id", keep: int = 9) -> DataFrame:
-    """``(my_id, flag)`` for every present flag (count clamped to 1, i.e. present)."""
+    """``(id, position, flag, present)`` for every document and kept feature."""
     feats = flag_features(trimmed, id_col, keep)
-    return trimmed.join(F.broadcast(feats), "term").select(id_col, "flag").distinct()
+    wide = topic_flags_by_position(docs, trimmed, id_col, keep, feats)
+    cells = F.array(*[F.struct(F.lit(i).cast("long").alias("position"), F.col(f"flag_{i}").alias("present")) for i in range(1, keep + 1)])
+    cells = wide.select(id_col, F.inline(cells))
+    return cells.join(F.broadcast(feats.select("position", "flag")), "position").select(id_col, "position", "flag", "present")
 
 
 def topic_flags_wide(docs: DataFrame, trimmed: DataFrame, id_col: str = "my_id", keep: int = 9) -> DataFrame:
     """One boolean column per kept feature, one row per document of ``docs`` (rows 27, 91).
 
-    The ``keep`` column names are data: they are read back to the driver
-    (``keep`` short strings) to declare the pivot.
+    The ``keep`` column names are data: they are read back to the driver (``keep`` short strings).
     """
     feats = flag_features(trimmed, id_col, keep)
-    names = [r["flag"] for r in feats.orderBy("position").collect()]
-    present = topic_flags_long(docs, trimmed, id_col, keep).withColumn("_v", F.lit(True))
-    wide = present.groupBy(id_col).pivot("flag", names).agg(F.first("_v"))
-    out = docs.select(id_col).join(wide, id_col, "left")
-    return out.select(id_col, *[F.coalesce(F.col(f"`{n}`"), F.lit(False)).alias(n) for n in names])
+    names = {r["position"]: r["flag"] for r in feats.collect()}
+    wide = topic_flags_by_position(docs, trimmed, id_col, keep, feats)
+    return wide.select(id_col, *[F.col(f"flag_{i}").alias(names[i]) for i in sorted(names)])
 
 
 # ---------------------------------------------------------------------------

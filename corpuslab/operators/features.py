@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.functions import text as tx
 from corpuslab.functions.lists import EXCLUDED_LEAD_TYPES
-from corpuslab.operators.ranking import add_row_number, percent_rank_by_histogram
+from corpuslab.operators.ranking import add_row_number, cumulative_counts, percent_rank_by_histogram, value_histogram
 
 
 @dataclass(frozen=True)
@@ -57,9 +57,13 @@ def kept_lead_types(df: DataFrame, col: str = "post_lead_type", excluded=EXCLUDE
     return df.select(col).where(F.col(col).isNotNull() & ~F.col(col).isin(*excluded)).distinct()
 
 
-def in_list(df: DataFrame, col: str, values: DataFrame, value_col: str, out_col: str) -> DataFrame:
-    """R ``%in%`` as a null-safe flag: TRUE/FALSE, never null; a null value matches a null list entry (row 15)."""
+def in_list(df: DataFrame, col: str, values: DataFrame, value_col: str, out_col: str, bounded: bool = False) -> DataFrame:
+    """R ``%in%`` as a null-safe flag: TRUE/FALSE, never null; a null value matches a null list entry (row 15).
+
+    ``bounded`` says that the list is short by construction; it is then broadcast.
+    """
     vals = values.select(F.col(value_col).alias("_val")).distinct().withColumn("_hit", F.lit(True))
+    vals = F.broadcast(vals) if bounded else vals
     j = df.join(vals, df[col].eqNullSafe(vals["_val"]), "left")
     return j.withColumn(out_col, F.coalesce(F.col("_hit"), F.lit(False))).drop("_val", "_hit")
 
@@ -77,7 +81,8 @@ def add_scope_flag(df: DataFrame, p: ScopeParams = ScopeParams()) -> DataFrame:
     "lead type not null and not excluded", so that half needs no join.
     """
     chans = frequent_values(df, "channel", p.min_channel_rows, p.min_channel_share)
-    flagged = in_list(df, "channel", chans, "channel", "_chan_ok")
+    # at most 1 / share values can each hold that share of the rows
+    flagged = in_list(df, "channel", chans, "channel", "_chan_ok", bounded=p.min_channel_share is not None)
     lead_ok = F.col("post_lead_type").isNotNull() & ~F.col("post_lead_type").isin(*EXCLUDED_LEAD_TYPES)
     text_ok = F.col("text").isNotNull() & (F.length("text") > 0)
     return flagged.withColumn("top_OK", F.col("_chan_ok") & lead_ok & text_ok).drop("_chan_ok")
@@ -185,13 +190,14 @@ def tighten_scope(df: DataFrame, p: ScopeParams = ScopeParams()) -> DataFrame:
     return ranked.withColumn("top_OK", F.col("top_OK") & ok).drop("_pr")
 
 
-def length_ranks(df: DataFrame, out_col: str = "_pr") -> DataFrame:
-    """``(_v = nchar(text), percent rank)`` per distinct text length (row 51, histogram form)."""
-    from corpuslab.operators.ranking import cumulative_counts, value_histogram
+def length_ceiling(df: DataFrame, p: ScopeParams, col: str = "nb_char_text") -> DataFrame:
+    """One row: the greatest length whose percent rank is below the ceiling, null if none is.
 
-    cum = cumulative_counts(value_histogram(df.select(F.length("text").alias("_len")), "_len"), "_v", "_c")
-    pr = F.when(F.col("_total") > 1, F.col("_before") / (F.col("_total") - F.lit(1))).otherwise(F.lit(float("nan")))
-    return cum.select("_v", pr.alias(out_col))
+    The percent rank grows with the length, so the rank rule is a comparison with this value.
+    """
+    cum = cumulative_counts(value_histogram(df, col), "_v", "_c")
+    below = (F.col("_total") > 1) & (F.col("_before") / (F.col("_total") - F.lit(1)) < F.lit(p.max_length_percent_rank))
+    return cum.where(below).agg(F.max("_v").alias("_ceiling"))
 
 
 def feature_table(articles: DataFrame, p: ScopeParams = ScopeParams(), topic_flags: DataFrame | None = None,
@@ -226,10 +232,9 @@ def feature_table(articles: DataFrame, p: ScopeParams = ScopeParams(), topic_fla
         t = t.join(topic_flags, "my_id", "left")
     if not tighten:
         return t
-    ranks = length_ranks(base, "_pr")
-    t = t.join(ranks, F.length("text") == F.col("_v"), "left").drop("_v")
-    ok = tx.null_false((F.length("text") > p.min_text_length) & (F.col("_pr") < p.max_length_percent_rank))
-    return t.withColumn("top_OK", F.col("top_OK") & ok).drop("_pr")
+    t = t.crossJoin(F.broadcast(length_ceiling(base, p)))
+    ok = tx.null_false((F.col("nb_char_text") > p.min_text_length) & (F.col("nb_char_text") <= F.col("_ceiling")))
+    return t.withColumn("top_OK", F.col("top_OK") & ok).drop("_ceiling")
 
 
 def scoped_articles(features: DataFrame) -> DataFrame:

@@ -4,9 +4,9 @@
 quantiles over an unpartitioned window move every row into a single partition.
 The forms here keep the work distributed: values are first counted per distinct
 value (a partial aggregate, so hot values cost nothing extra), the key range is
-cut into buckets at split points computed once (so the bucket of a key never
-depends on how a branch of the plan happens to be partitioned), each bucket
-computes its local running count, and only one row per (group, bucket) goes
+cut into ranges whose numbers are written with the rows (so the range of a key
+never depends on how a branch of the plan happens to be partitioned), each range
+computes its local running count, and only one row per (group, range) goes
 through the small offset window.
 """
 
@@ -15,70 +15,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslab.sources.tables import stage_roundtrip
+
 _UNB = Window.unboundedPreceding
 
 
-def _parts(df: DataFrame, n: int | None) -> int:
-    return n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+#: Rows of one bucket: at least ``SMALL_BUCKET`` (below that a further task costs more than it saves), at most about ``BUCKET_ROWS``.
+SMALL_BUCKET = 1_000
+BUCKET_ROWS = 1_000_000
 
 
-def split_points(df: DataFrame, col: str, n: int, per_bucket_sample: int = 64) -> list:
-    """At most ``n - 1`` sorted split points of ``col``, computed once and returned as plain values.
+def bucketed(df: DataFrame, col: str, num_partitions: int | None = None) -> DataFrame:
+    """``df`` cut into ranges of ``col``, the number of the range in ``_b``, written once.
 
-    Numbers use ``percentile_approx`` (one aggregate row); other types a
-    deterministic hash sample of about ``per_bucket_sample`` keys per bucket.
-    The points only balance the buckets; every bucket assignment made from
-    them is a pure function of the key, so all branches of a plan agree on it
-    whatever the physical partitioning.
-    """
-    if n <= 1:
-        return []
-    dtype = dict(df.dtypes)[col]
-    base = df.where(F.col(col).isNotNull())
-    if dtype in ("tinyint", "smallint", "int", "bigint", "float", "double") or dtype.startswith("decimal"):
-        probs = [i / n for i in range(1, n)]
-        pts = base.agg(F.percentile_approx(F.col(col).cast("double"), probs, 10000)).first()[0] or []
-        return sorted(set(float(p) for p in pts))
-    total = base.count()
-    modulus = max(1, total // (n * per_bucket_sample))
-    sample = [r[0] for r in base.select(col).where(F.abs(F.xxhash64(col)) % modulus == 0).distinct().orderBy(col).collect()]
-    if not sample:
-        return []
-    return sorted(set(sample[(k * len(sample)) // n] for k in range(1, n)))
-
-
-MAX_BUCKETS = 4096
-
-
-def bucket_of(col: str, points: list) -> F.Column:
-    """Index of the bucket holding the key: the number of split points strictly below it.
-
-    Built as a balanced tree of comparisons, so a row costs about log2(buckets)
-    comparisons; a null key falls in bucket 0 in every branch of a plan.
+    The ranges are those of ``repartitionByRange``; as the table is written with
+    its ``_b``, every branch of a later plan reads the same numbers, however it is
+    partitioned. Equal keys share a range, nulls lie in the first. The number of
+    ranges grows with the rows, so a range stays small at any size. Pass narrow rows: they are shuffled once.
     """
-    c = F.col(col)
-
-    def node(lo: int, hi: int) -> F.Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(c > F.lit(points[mid]), node(mid + 1, hi)).otherwise(node(lo, mid))
-
-    return node(0, len(points))
+    n = num_partitions
+    if n is None:
+        df = stage_roundtrip(df, "rank-keys")
+        rows = df.count()
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        n = max(rows // BUCKET_ROWS + 1, min(parts, rows // SMALL_BUCKET + 1))
+    return stage_roundtrip(df.repartitionByRange(n, col).withColumn("_b", F.spark_partition_id()), "rank-buckets")
 
 
 def add_row_number(df: DataFrame, order_col: str, out_col: str = "row_no", num_partitions: int | None = None) -> DataFrame:
-    """1-based row number in ``order_col`` order (the key should be unique).
+    """1-based row number in ``order_col`` order, nulls first; the key should be unique (rows of one key share a number).
 
-    The key range is cut into buckets at split points computed once; rows are
-    numbered inside their bucket by a window partitioned by bucket, and each
-    bucket adds the row count of the buckets before it (one row per bucket
-    goes through that small window; the result is broadcast, bounded by the
-    bucket count).
+    Only the keys are numbered: cut into ranges, numbered inside their range by a window partitioned by
+    range, plus the count of the ranges before (one row per range goes through that small window and is
+    broadcast). Other columns are attached by one join on the key.
     """
-    n = min(_parts(df, num_partitions), MAX_BUCKETS)
-    pts = split_points(df, order_col, n)
-    b = df.withColumn("_b", bucket_of(order_col, pts))
+    b = bucketed(df.select(order_col).distinct(), order_col, num_partitions)
     local = b.withColumn("_local", F.row_number().over(Window.partitionBy("_b").orderBy(order_col)))
     offsets = (
         b.groupBy("_b")
@@ -86,22 +57,23 @@ def add_row_number(df: DataFrame, order_col: str, out_col: str = "row_no", num_p
         .withColumn("_off", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(_UNB, -1)), F.lit(0)))
         .select("_b", "_off")
     )
-    out = local.join(F.broadcast(offsets), "_b").withColumn(out_col, F.col("_off") + F.col("_local"))
-    return out.drop("_b", "_local", "_off")
+    numbered = local.join(F.broadcast(offsets), "_b").select(order_col, (F.col("_off") + F.col("_local")).alias(out_col))
+    if df.columns == [order_col]:
+        return numbered
+    # a null key matches nothing in the join; it sorts first, so its number is 1
+    return df.join(numbered, order_col, "left").withColumn(out_col, F.coalesce(out_col, F.lit(1).cast("long")))
 
 
 def cumulative_counts(hist: DataFrame, value_col: str, count_col: str, group_cols=(), num_partitions: int | None = None) -> DataFrame:
     """Add ``_before`` (rows of the group with a smaller value) and ``_total`` (rows of the group)
     to a ``(groups..., value, count)`` histogram, without any single-partition window.
 
-    Values are bucketed at split points computed once; each (group, bucket)
-    runs its own running sum, and one row per (group, bucket) goes through
-    the window that adds the counts of earlier buckets.
+    Values are cut into ranges (:func:`bucketed`); each (group, range)
+    runs its own running sum, and one row per (group, range) goes through
+    the window that adds the counts of earlier ranges.
     """
     g = list(group_cols)
-    n = min(_parts(hist, num_partitions), MAX_BUCKETS)
-    pts = split_points(hist, value_col, n)
-    b = hist.withColumn("_b", bucket_of(value_col, pts))
+    b = bucketed(hist, value_col, num_partitions)
     w_local = Window.partitionBy(*g, "_b").orderBy(value_col).rowsBetween(_UNB, -1)
     local = b.withColumn("_loc", F.coalesce(F.sum(count_col).over(w_local), F.lit(0)))
     per = b.groupBy(*g, "_b").agg(F.sum(count_col).alias("_pc"))

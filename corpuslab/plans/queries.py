@@ -110,14 +110,10 @@ def q_cardinality(spark, sf):
         )
 
     c = st.run(spark, sf)
-    a = c.articles
     toks = cleanse.add_words(cleanse.tokenise(c.scoped))
-    j1 = c.joined1()
-    j2 = c.joined2()
-    parts = [card(a, "articles", "url"), card(a, "authors", "author"), card(toks, "tokens", "word"),
-             card(cleanse.drop_short(toks), "words", "word"),
-             card(j1.where(F.length("lemma") > 3), "lemmatised", "word"),
-             card(j2.where(F.length("lemma") > 3), "lemmatised_grown", "word")]
+    counts = st.stage(toks.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "word-counts")
+    parts = [card(c.articles, "articles", "url"), card(c.articles, "authors", "author"),
+             cleanse.token_audit(counts, c.lex, S.TOP_GROWTH)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -547,11 +543,12 @@ label_sparse AS (
   where s.docfreq >= {_dbl(1 - S.LABEL_SPARSITY)} * {LABEL_N}
 ),
 first_seen AS (
-  select term, my_id, pos from (select term, my_id, pos, row_number() over (partition by term order by my_id, pos) as r
+  select term, my_id, pos from (select term, my_id, pos, row_number() over (partition by term order by cast(my_id as bigint), pos) as r
   from label_sparse) where r = 1
 ),
 flag_feats0 AS (
-  select term, row_number() over (order by my_id, pos) as position from (select * from first_seen order by my_id, pos limit 9)
+  select term, row_number() over (order by cast(my_id as bigint), pos) as position
+  from (select * from first_seen order by cast(my_id as bigint), pos limit 9)
 ),
 flag_feats AS (
   select cast(position as bigint) as position, term,
@@ -560,7 +557,7 @@ flag_feats AS (
         from (select *, 'topic_' || lpad(substring(term, 1, 3), 3, '_') as base from flag_feats0))
 ),
 flag_grid AS (
-  select f.my_id, ff.flag, exists (select 1 from label_sparse s where s.my_id = f.my_id and s.term = ff.term) as v
+  select f.my_id, ff.position, ff.flag, exists (select 1 from label_sparse s where s.my_id = f.my_id and s.term = ff.term) as present
   from features f cross join flag_feats ff
 ),
 lemma_dfm AS (
@@ -585,16 +582,22 @@ def WD(body: str, *extra: str) -> str:
     return S.with_base(body, DFM_CTES, *extra)
 
 
-def _label_n(spark, sf):
-    return _feat(spark, sf).agg(F.count(F.lit(1)).alias("_n"))
+def _labels(spark, sf):
+    """The label column of the feature table, written once: the label queries read it several times."""
+    return st.stage(_feat(spark, sf).select("my_id", "topics"), "labels")
 
 
-def _label_dfm(spark, sf):
-    return dfm.label_dfm(_feat(spark, sf))
+def _n(df):
+    return df.agg(F.count(F.lit(1)).alias("_n"))
 
 
-def _label_sparse(spark, sf):
-    return dfm.trim_sparsity(_label_dfm(spark, sf), S.LABEL_SPARSITY, _label_n(spark, sf))
+def _label_dfm(spark, sf, labels=None):
+    return dfm.label_dfm(_feat(spark, sf) if labels is None else labels)
+
+
+def _label_sparse(spark, sf, labels=None):
+    labels = _labels(spark, sf) if labels is None else labels
+    return dfm.trim_sparsity(dfm.label_dfm(labels), S.LABEL_SPARSITY, _n(labels))
 
 
 @register("label_dfm", WD("select my_id, term, n from label_dfm"))
@@ -611,16 +614,18 @@ def q_top_terms(spark, sf):
     f"select d.my_id, d.term, d.n from label_dfm d join label_stats s on d.term = s.term "
     f"where s.total >= {_dbl(S.LABEL_MIN_TERMFREQ_SHARE)} * {LABEL_N}"))
 def q_trim_termfreq(spark, sf):
-    n = _feat(spark, sf).count()  # scalar threshold from the row count
-    return dfm.trim_termfreq(_label_dfm(spark, sf), S.LABEL_MIN_TERMFREQ_SHARE * n).select("my_id", "term", "n")
+    labels = _labels(spark, sf)
+    n = labels.count()  # scalar threshold from the row count
+    return dfm.trim_termfreq(_label_dfm(spark, sf, labels), S.LABEL_MIN_TERMFREQ_SHARE * n).select("my_id", "term", "n")
 
 
 @register("trim_docfreq", WD(
     f"select d.my_id, d.term, d.n from label_dfm d join label_stats s on d.term = s.term "
     f"where s.docfreq >= {_dbl(S.LABEL_MIN_DOCFREQ_SHARE)} * {LABEL_N}"))
 def q_trim_docfreq(spark, sf):
-    n = _feat(spark, sf).count()
-    return dfm.trim_docfreq(_label_dfm(spark, sf), S.LABEL_MIN_DOCFREQ_SHARE * n).select("my_id", "term", "n")
+    labels = _labels(spark, sf)
+    n = labels.count()
+    return dfm.trim_docfreq(_label_dfm(spark, sf, labels), S.LABEL_MIN_DOCFREQ_SHARE * n).select("my_id", "term", "n")
 
 
 @register("trim_sparsity", WD("select my_id, term, n from label_sparse"))
@@ -633,26 +638,35 @@ def q_topic_flag_features(spark, sf):
     return dfm.flag_features(_label_sparse(spark, sf))
 
 
-@register("topic_flags", WD("pivot flag_grid on flag using bool_or(v) group by my_id"))
+FLAGS_SQL = ", ".join(f"coalesce(bool_or(g.present and g.position = {i}), false) as flag_{i}" for i in range(1, 10))
+
+
+@register("topic_flag_grid", WD("select my_id, position, flag, present from flag_grid"))
+def q_topic_flag_grid(spark, sf):
+    labels = _labels(spark, sf)
+    return dfm.topic_flags_long(labels, _label_sparse(spark, sf, labels))
+
+
+@register("topic_flags", WD(f"select f.my_id, {FLAGS_SQL} from features f left join flag_grid g on f.my_id = g.my_id group by f.my_id"))
 def q_topic_flags(spark, sf):
-    return dfm.topic_flags_wide(_feat(spark, sf), _label_sparse(spark, sf))
+    labels = _labels(spark, sf)
+    return dfm.topic_flags_by_position(labels, _label_sparse(spark, sf, labels))
 
 
 @register("bind_topic_flags", WD(
-    "select * from (select my_id as fid, url, top_OK from features) f "
-    "join (pivot flag_grid on flag using bool_or(v) group by my_id) g on f.fid = g.my_id"))
+    f"select f.my_id, f.url, f.top_OK, {FLAGS_SQL} from features f left join flag_grid g on f.my_id = g.my_id group by f.my_id, f.url, f.top_OK"))
 def q_bind_topic_flags(spark, sf):
-    feats = _feat(spark, sf)
-    flags = dfm.topic_flags_wide(feats, _label_sparse(spark, sf))
-    out = feats.select(F.col("my_id").alias("fid"), "url", "top_OK").join(flags, F.col("fid") == F.col("my_id"))
-    return out
+    feats = st.stage(_feat(spark, sf).select("my_id", "url", "top_OK", "topics"), "label-features")
+    flags = dfm.topic_flags_by_position(feats, _label_sparse(spark, sf, feats))
+    return feats.select("my_id", "url", "top_OK").join(flags, "my_id")
 
 
 @register("tfidf_top", WD(
     f"select term, round(weight, 4) as weight from (select term, total * log10(cast({LABEL_N} as double) / docfreq) as weight "
     f"from label_stats order by weight desc, term limit 10)"))
 def q_tfidf_top(spark, sf):
-    return dfm.tfidf_top(_label_dfm(spark, sf), _label_n(spark, sf), 10).select("term", F.round("weight", 4).alias("weight"))
+    labels = _labels(spark, sf)
+    return dfm.tfidf_top(_label_dfm(spark, sf, labels), _n(labels), 10).select("term", F.round("weight", 4).alias("weight"))
 
 
 def _lemma_dfm(spark, sf):
@@ -798,7 +812,7 @@ def _theta(spark, sf):
 
 
 def _fx_words(spark, sf, arts=None):
-    return cleanse.fixture_words(st.articles_df(spark, sf) if arts is None else arts)
+    return cleanse.fixture_words(tables.article_texts(spark, sf) if arts is None else arts)
 
 
 def _fx_doc_words(spark, sf):
@@ -1008,22 +1022,25 @@ def q_fit_ctm(spark, sf):
     return topics.fit_ctm(st.prepped_df(spark, sf), K, CTM_ITER).theta()
 
 
-def _stm_meta(spark, sf):
-    return _feat(spark, sf).where(F.col("top_OK")).select("my_id", "first_author", "nb_days", "post_lead_type2", "channel")
+def _stm_inputs(spark, sf):
+    """The prepared document-term table and the covariates, from one run of the chain."""
+    c = st.run(spark, sf)
+    prepped = st.prepped_df(spark, sf, st.processed_df(spark, sf, c.corpus()))
+    return prepped, c.features.where(F.col("top_OK")).select("my_id", "first_author", "nb_days", "post_lead_type2", "channel")
 
 
 @register("fit_stm")
 def q_fit_stm(spark, sf):
     """Structural topic model with prevalence ~ first_author + s(nb_days) + post_lead_type2 (rows-only)."""
-    m = topics.fit_stm(st.prepped_df(spark, sf), _stm_meta(spark, sf), K, STM_ITER, content_col=None)
+    prepped, meta = _stm_inputs(spark, sf)
+    m = topics.fit_stm(prepped, meta, K, STM_ITER, content_col=None)
     return m.theta()
 
 
 @register("fit_stm_content")
 def q_fit_stm_content(spark, sf):
     """STM with prevalence covariates and content ~ channel: top words of each (channel, topic) (rows-only)."""
-    prepped = st.prepped_df(spark, sf)
-    meta = _stm_meta(spark, sf)
+    prepped, meta = _stm_inputs(spark, sf)
     m = topics.fit_stm(prepped, meta, K, STM_ITER, content_col="channel")
     levels = topics.content_levels(meta.join(prepped.select("my_id"), "my_id", "left_semi"), "channel")
     vocab = prepped.select(F.col("term_id").cast("long").alias("term_id"), "term").distinct()
@@ -1068,7 +1085,8 @@ def q_topic_labels_lift(spark, sf):
 
 @register("fitted_data")
 def q_fitted_data(spark, sf):
-    """Meta of the modelled documents with the CTM's tm_01..tm_10 columns, joined on my_id (rows-only)."""
-    meta = _feat(spark, sf).where(F.col("top_OK")).select("my_id", "url", "title", "channel", "first_author", "nb_days")
-    model = topics.fit_ctm(st.prepped_df(spark, sf), K, CTM_ITER)
+    """All metadata of the modelled documents with the CTM's tm_01..tm_10 columns, joined on my_id (rows-only)."""
+    c = st.run(spark, sf)
+    meta = c.features.where(F.col("top_OK"))
+    model = topics.fit_ctm(st.prepped_df(spark, sf, st.processed_df(spark, sf, c.corpus())), K, CTM_ITER)
     return report.bind_theta(meta, model.theta(), K, "my_id")

@@ -12,9 +12,9 @@ from corpuslab.functions.lists import CUSTOM_STOPWORDS, EXCLUDED_LEAD_TYPES, SNO
 # Fixture thresholds (FIXTURES.md section 6).
 CHANNEL_SHARE = 0.12
 TOP_GROWTH = 60
-LABEL_MIN_TERMFREQ_SHARE = 0.03
-LABEL_MIN_DOCFREQ_SHARE = 0.1
-LABEL_SPARSITY = 0.90
+LABEL_MIN_TERMFREQ_SHARE = 0.13
+LABEL_MIN_DOCFREQ_SHARE = 0.125
+LABEL_SPARSITY = 0.875
 CORPUS_SPARSITY = 0.99
 CORPUS_UPPER_SHARE = 0.3
 
@@ -46,7 +46,7 @@ select concat('http://example.com/', d.source, '/', cast(d.doc_id as varchar)) a
     when 2 then concat('Flo ', d.source, ', Gus Orr')
     when 3 then null else concat('Hal ', d.source) end as author,
   strftime(o.o_orderdate, '%m/%d/%Y') as date,
-  lower(concat(p.p_type, ',', replace(p.p_name, ' ', ','), ',uncategorized')) as topics,
+  lower(p.p_type || ',' || replace(p.p_name, ' ', ',') || ',uncategorized') as topics,
   case when d.doc_id % 10 = 9 then null else d.lang end as channel,
   'article' as content_type,
   case when l.toxic = 1 then 'Longform' when l.quality = 0 then 'Full Width'
@@ -55,8 +55,8 @@ select concat('http://example.com/', d.source, '/', cast(d.doc_id as varchar)) a
     else 'Gallery' end as post_lead_type,
   'us' as geo, 'src' as sourced_from, d.doc_id as doc_id
 from documents d left join labels l on d.doc_id = l.doc_id
-  join orders o on o.o_orderkey = d.doc_id
-  join part p on p.p_partkey = d.doc_id % 40
+  left join orders o on o.o_orderkey = d.doc_id
+  left join part p on p.p_partkey = o.o_orderkey % (select count(*) from part)
 )"""
 
 FEATURES = (

@@ -1,8 +1,8 @@
 """Stage builders shared by the registered queries: the fixture article table
 and everything derived from it, with the fixture thresholds of FIXTURES.md.
 
-Lineage is cut where the analysed script saves its stages: the article
-input, the feature base, the feature table, the lexicon, the corpus with its
+Lineage is cut where a table is read more than once: the feature base, and
+in the cleansing chain the articles, the feature table, the lexicon, the corpus with its
 texts, and the processed / prepared document-term tables. Each cut is a Parquet
 table under ``spark.checkpoint.dir`` (shared on a cluster), so a lost executor
 re-reads files instead of recomputing, later aggregates still get column
@@ -11,7 +11,6 @@ pruning, and no plan grows by re-deriving its own inputs.
 
 from __future__ import annotations
 
-import uuid
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,13 +24,13 @@ SCOPE = features.ScopeParams(min_channel_rows=None, min_channel_share=S.CHANNEL_
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Materialise ``df`` as a uniquely named Parquet stage in the shared checkpoint folder."""
-    return tables.stage_roundtrip(df, f"{name}-{uuid.uuid4().hex}")
+    """Materialise ``df`` as a Parquet stage in the shared checkpoint folder."""
+    return tables.stage_roundtrip(df, name)
 
 
 def articles_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The article input (built from documents/labels/orders/part), written once as Parquet."""
-    return stage(tables.articles(spark, sf_dir), "articles")
+    """The article input (built from documents/labels/orders/part), lazy: a query scans the columns it uses."""
+    return tables.articles(spark, sf_dir)
 
 
 def _feature_table(spark: SparkSession, sf_dir: str, tighten: bool) -> DataFrame:
@@ -39,13 +38,13 @@ def _feature_table(spark: SparkSession, sf_dir: str, tighten: bool) -> DataFrame
 
 
 def features_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The feature table (tightened scope) without the topic flags, materialised."""
-    return stage(_feature_table(spark, sf_dir, True), "features")
+    """The feature table (tightened scope) without the topic flags, lazy over its written base."""
+    return _feature_table(spark, sf_dir, True)
 
 
 def features_first_scope_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feature table before the tightened scope rule (``top_OK`` as first defined)."""
-    return stage(_feature_table(spark, sf_dir, False), "features_first")
+    return _feature_table(spark, sf_dir, False)
 
 
 def scoped_df(spark: SparkSession, sf_dir: str, feats: DataFrame | None = None) -> DataFrame:
@@ -54,7 +53,7 @@ def scoped_df(spark: SparkSession, sf_dir: str, feats: DataFrame | None = None)
 
 def lexicon_df(spark: SparkSession, sf_dir: str, arts: DataFrame | None = None) -> DataFrame:
     """Fixture lexicon, materialised so that it behaves like a lexicon file (cheap to count)."""
-    return stage(cleanse.fixture_lexicon(articles_df(spark, sf_dir) if arts is None else arts), "lexicon")
+    return stage(cleanse.fixture_lexicon(tables.article_texts(spark, sf_dir) if arts is None else arts), "lexicon")
 
 
 class Corpus:
@@ -62,12 +61,12 @@ class Corpus:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
-        self.articles = articles_df(spark, sf_dir)
+        self.articles = stage(articles_df(spark, sf_dir), "articles")  # read by the features and by the lexicon
         # the feature table and the lexicon depend only on the articles: their jobs are submitted from two
         # threads so that Spark runs them side by side on the free cores
         with ThreadPoolExecutor(max_workers=2) as pool:
             feats = pool.submit(lambda: stage(features.feature_table(self.articles, SCOPE, stage=stage), "features"))
-            lex = pool.submit(lambda: stage(cleanse.fixture_lexicon(self.articles), "lexicon"))
+            lex = pool.submit(lambda: stage(cleanse.fixture_lexicon(tables.article_texts(spark, sf_dir)), "lexicon"))
             self.features, self.lexicon = feats.result(), lex.result()
         self.scoped = features.scoped_articles(self.features)
         self.lex = cleanse.checked_broadcast(self.lexicon)

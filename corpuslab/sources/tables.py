@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,30 +47,38 @@ def load_lexicon(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFr
     return reader.parquet(path)
 
 
+def _article_text() -> Column:
+    m7 = F.col("doc_id") % 7
+    return (
+        F.when(m7 == 0, F.concat(F.lit("LAS VEGAS — "), "text"))
+        .when(m7 == 1, F.concat(F.lit("AB\rC - http://x.example/y\tme.s@x.org "), "text"))
+        .when(m7 == 2, F.concat(F.lit("Wi-Fi "), "text"))
+        .otherwise(F.col("text"))
+    )
+
+
+def article_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, text)`` of the article view: a scan of documents alone."""
+    return read_table(spark, sf_dir, "documents").select("doc_id", _article_text().alias("text"))
+
+
 def articles(spark: SparkSession, sf_dir: str, keep_doc_id: bool = True) -> DataFrame:
     """The article table built from the driver's tables (see FIXTURES.md section 2).
 
-    documents, labels and orders are all joined on the document key, so one
-    hash partitioning by that key serves both joins at scale; ``part`` is cut to
-    the 40 part keys the rule can reach before it is broadcast (a fixed bound).
+    The view is lazy, so a query reads only the columns it uses. ``orders`` and ``part``
+    meet first, as narrow rows; documents, labels and those rows then join on the
+    document key, so one hash partitioning by that key serves both joins at scale.
+    Left joins keep every document.
     """
     d = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     lab = read_table(spark, sf_dir, "labels").select(
         F.col("doc_id").alias("l_doc_id"), "quality", "toxic"
     )
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderdate")
-    p = (
-        read_table(spark, sf_dir, "part")
-        .where((F.col("p_partkey") >= 0) & (F.col("p_partkey") < 40))
-        .select("p_partkey", "p_name", "p_type")
-    )
-    m7, m6, m10, m3, m4 = (F.col("doc_id") % k for k in (7, 6, 10, 3, 4))
-    text = (
-        F.when(m7 == 0, F.concat(F.lit("LAS VEGAS — "), "text"))
-        .when(m7 == 1, F.concat(F.lit("AB\rC - http://x.example/y\tme.s@x.org "), "text"))
-        .when(m7 == 2, F.concat(F.lit("Wi-Fi "), "text"))
-        .otherwise(F.col("text"))
-    )
+    p = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
+    parts = p.agg(F.count(F.lit(1)).alias("_parts"))
+    o = o.crossJoin(F.broadcast(parts)).join(p, F.col("o_orderkey") % F.col("_parts") == F.col("p_partkey"), "left")
+    m6, m10, m3, m4 = (F.col("doc_id") % k for k in (6, 10, 3, 4))
     author = (
         F.when(m6 == 0, F.concat(F.lit("Ann "), "source", F.lit(" and Bob Ray")))
         .when(m6 == 1, F.concat(F.lit("Cy "), "source", F.lit(" & Di Fox, Ed Lee")))
@@ -86,14 +96,13 @@ def articles(spark: SparkSession, sf_dir: str, keep_doc_id: bool = True) -> Data
     )
     j = (
         d.join(lab, d.doc_id == lab.l_doc_id, "left")
-        .join(o, d.doc_id == o.o_orderkey, "inner")
-        .join(F.broadcast(p), (d.doc_id % 40) == p.p_partkey, "inner")
+        .join(o, d.doc_id == o.o_orderkey, "left")
     )
     cols = [
         F.concat(F.lit("http://example.com/"), "source", F.lit("/"), F.col("doc_id").cast("string")).alias("url"),
         F.floor("o_totalprice").cast("long").alias("shares"),
         F.col("p_name").alias("title"),
-        text.alias("text"),
+        _article_text().alias("text"),
         author.alias("author"),
         F.date_format("o_orderdate", "MM/dd/yyyy").alias("date"),
         F.lower(F.concat("p_type", F.lit(","), F.replace("p_name", F.lit(" "), F.lit(",")), F.lit(",uncategorized"))).alias("topics"),
@@ -115,15 +124,15 @@ def articles_with_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_roundtrip(df: DataFrame, name: str) -> DataFrame:
-    """Write a stage as Parquet under the shared checkpoint folder and read it back (row 3).
+    """Write a stage as Parquet into a new folder under the shared checkpoint folder and read it back (row 3).
 
     This cuts the lineage: a lost executor re-reads the written files instead
     of recomputing the stage.
     """
     spark = df.sparkSession
-    path = stage_dir(spark, name)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    path = stage_dir(spark, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def list_columns(df: DataFrame) -> DataFrame:

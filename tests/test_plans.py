@@ -30,3 +30,29 @@ def test_row_number_has_one_bounded_single_partition_step(spark):
     plan = _plan(add_row_number(df, "k", "rn"))
     assert plan.count("SinglePartition") == 1  # only the per-bucket offsets (one row per bucket)
     assert "Window [row_number()" in plan and "_b" in plan
+
+
+def test_counts_scan_only_their_columns(spark):
+    from corpuslab.operators import explore
+
+    df = explore.group_count(st.articles_df(spark, "/root/testdata/sf0.001"), "channel")
+    assert "text" not in _plan(df).replace("context", "")
+
+
+def test_article_view_keeps_every_document(spark):
+    sf = "/root/testdata/sf0.001"
+    a = st.articles_df(spark, sf)
+    assert a.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert a.where("title is null or shares is null").count() == 0
+
+
+def test_rejoin_broadcasts_the_grown_lexicon(spark):
+    c = st.run(spark, "/root/testdata/sf0.001")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = _plan(cleanse.lemmatise(c.words, c.grown_lexicon()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # the only exchange by word is the count of unmatched words
+    assert "SortMergeJoin" not in joined

@@ -59,12 +59,19 @@ def test_dedupe_never_grows_and_is_idempotent(spark):
     assert {r.url: r.shares for r in once.collect()}["u2"] == 2  # first by the remaining columns
 
 
-def test_bucket_tree_matches_linear_count(spark):
-    from corpuslab.operators.ranking import bucket_of
-
-    pts = [3.0, 7.5, 10.0, 20.0, 40.0]
-    vals = [None, 0.0, 3.0, 3.5, 7.5, 9.0, 10.0, 15.0, 20.0, 39.0, 40.0, 41.0]
-    df = spark.createDataFrame([(v,) for v in vals], "v double")
-    got = [r.b for r in df.select(bucket_of("v", pts).alias("b")).collect()]
-    want = [0 if v is None else sum(p < v for p in pts) for v in vals]
-    assert got == want
+def test_ranges_grow_with_the_rows_and_keep_key_order(spark):
+    from corpuslab.operators.ranking import bucketed
+
+    df = spark.range(0, 5000).selectExpr("cast(if(id % 50 = 0, null, id * 7919 % 600) as double) as v")
+    b = bucketed(df, "v")
+    assert b.count() == 5000
+    rows = b.groupBy("_b").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("_b").collect()
+    assert len(rows) > 1 and all(x.hi < y.lo for x, y in zip(rows, rows[1:]))  # a key lies in one range
+    assert b.where("v is null").select("_b").distinct().collect()[0][0] == rows[0]["_b"]
+    assert bucketed(df.limit(0), "v").count() == 0
+
+
+def test_row_number_of_a_null_key_and_of_equal_keys(spark):
+    df = spark.createDataFrame([(None, 1), ("b", 2), ("a", 3), ("b", 4)], "k string, x int")
+    got = {(r.k, r.x): r.rn for r in add_row_number(df, "k", "rn").collect()}
+    assert got == {(None, 1): 1, ("a", 3): 2, ("b", 2): 3, ("b", 4): 3}
