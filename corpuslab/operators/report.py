@@ -220,9 +220,9 @@ def topic_coherence(beta: DataFrame, doc_terms: DataFrame, m: int = 10, id_col:
     """
     top = top_k_per_group(beta, ["topic"], [F.desc("p"), F.asc("term")], m, salt_col="term").select(
         "topic", F.col("term").alias(term_col), "rank")
-    present = doc_terms.select(id_col, term_col).distinct()
-    hits = present.join(F.broadcast(top), term_col)  # top: topics x m rows
-    masks = hits.groupBy(id_col, "topic").agg(F.sum(F.expr("shiftleft(cast(1 as bigint), rank - 1)")).alias("mask"))
+    hits = doc_terms.select(id_col, term_col).join(F.broadcast(top), term_col)  # top: topics x m rows
+    # a bitwise or takes a repeated term once, so the terms need no distinct before the join
+    masks = hits.groupBy(id_col, "topic").agg(F.bit_or(F.expr("shiftleft(cast(1 as bigint), cast(rank - 1 as int))")).alias("mask"))
     hist = masks.groupBy("topic", "mask").agg(F.count(F.lit(1)).alias("c"))
     pairs = [(i, j) for i in range(2, m + 1) for j in range(1, i)]
     bit = lambda r: (F.shiftright(F.col("mask"), r - 1) % 2) == 1
