@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from corpuslab.functions import text as tx
 from corpuslab.functions.lists import EXCLUDED_LEAD_TYPES
 from corpuslab.operators.ranking import add_row_number, cumulative_counts, percent_rank_by_histogram, value_histogram
+from corpuslab.sources.tables import stage_roundtrip
 
 
 @dataclass(frozen=True)
@@ -88,17 +89,28 @@ def add_scope_flag(df: DataFrame, p: ScopeParams = ScopeParams()) -> DataFrame:
     return flagged.withColumn("top_OK", F.col("_chan_ok") & lead_ok & text_ok).drop("_chan_ok")
 
 
-def dedupe_by_key(df: DataFrame, key: str = "url", order_cols: list[str] | None = None) -> DataFrame:
-    """Keep one row per key: the one that is first by ``order_cols`` (default: all other columns) (row 36).
+def dedupe_by_key(df: DataFrame, key: str = "url", order_cols: list[str] | None = None, wide=("text",),
+                  id_col: str | None = None, width: int = 5) -> DataFrame:
+    """Keep one row per key: the one that is first by ``order_cols`` (default: all other columns but the ``wide`` ones),
+    then by the hash of the whole row (row 36). With ``id_col`` the kept rows get their id of :func:`add_row_ids`.
 
-    A ``min`` over a struct is a partial aggregate: a hot key is combined on
-    the map side, so no task ever holds all copies of one key.
+    The choice is made on narrow rows (key, order columns, hash), written once; the whole
+    rows then meet it in one join on key and hash, so copies of a hot key that lose are spread over the
+    tasks. Exact copies of a winner are combined on the map side. A null key is a key like others.
     """
-    others = [c for c in df.columns if c != key]
-    order_cols = order_cols or others
-    rest = [c for c in others if c not in order_cols]
-    best = F.min(F.struct(*[F.col(c) for c in order_cols + rest])).alias("_r")
-    return df.groupBy(key).agg(best).select(key, *[F.col("_r." + c).alias(c) for c in order_cols + rest]).select(*df.columns)
+    order = order_cols or [c for c in df.columns if c != key and c not in wide]
+    hashed = df.withColumn("_h", F.xxhash64(*[F.col(c) for c in df.columns]))
+    best = F.min(F.struct(*[F.col(c) for c in order], F.col("_h"))).getField("_h")
+    won = hashed.groupBy(F.col(key).alias("_key")).agg(best.alias("_best"), F.count(F.lit(1)).alias("_n"))
+    won = stage_roundtrip(won, "dedupe-keys")
+    if id_col is not None:
+        won = add_row_ids(won, "_key", id_col, width)
+    out = df.columns + ([] if id_col is None else [id_col])
+    kept = hashed.join(won, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_h") == F.col("_best")))
+    once = kept.where("_n = 1").select(*out)
+    if won.where("_n > 1").isEmpty():
+        return once
+    return once.unionByName(kept.where("_n > 1").select(*out).dropDuplicates([key]))
 
 
 def add_row_ids(df: DataFrame, order_col: str = "url", out_col: str = "my_id", width: int = 5) -> DataFrame:
@@ -213,8 +225,7 @@ def feature_table(articles: DataFrame, p: ScopeParams = ScopeParams(), topic_fla
     ``topic_flags`` (wide, keyed by ``my_id``) is joined on the id, never bound by position.
     """
     base = add_scope_flag(articles, p)  # channel counts come from the input table, as in the script
-    base = dedupe_by_key(base, "url")
-    base = add_row_ids(base, "url", "my_id", p.id_width)
+    base = dedupe_by_key(base, "url", id_col="my_id", width=p.id_width)
     base = base.withColumn("author", F.lower("author")).withColumn("top_partner", tx.has_coauthor("author"))
     base = add_text_stats(base).withColumn("first_author", tx.first_author("author"))
     base = add_lead_type_class(base)
