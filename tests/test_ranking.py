@@ -75,3 +75,29 @@ def test_row_number_of_a_null_key_and_of_equal_keys(spark):
     df = spark.createDataFrame([(None, 1), ("b", 2), ("a", 3), ("b", 4)], "k string, x int")
     got = {(r.k, r.x): r.rn for r in add_row_number(df, "k", "rn").collect()}
     assert got == {(None, 1): 1, ("a", 3): 2, ("b", 2): 3, ("b", 4): 3}
+
+
+def test_dedupe_numbers_the_kept_rows_and_keeps_null_keys(spark):
+    from corpuslab.operators.features import dedupe_by_key
+
+    rows = [("b", 2, "same")] * 500 + [("b", 1, "first"), ("a", 5, None), (None, 7, "x"), (None, 7, "x"), ("c", None, "n"), ("c", 3, "m")]
+    df = spark.createDataFrame(rows, "url string, shares long, text string").repartition(7)
+    got = sorted(dedupe_by_key(df, "url", id_col="my_id").collect(), key=lambda r: r.my_id)
+    assert [(r.url, r.shares, r.text, r.my_id) for r in got] == [
+        (None, 7, "x", "00001"), ("a", 5, None, "00002"), ("b", 1, "first", "00003"), ("c", None, "n", "00004")]
+    by_most = dedupe_by_key(df, "url", order_cols=["text"]).collect()
+    assert {r.url: r.text for r in by_most}["c"] == "m"
+    assert dedupe_by_key(df.limit(0), "url", id_col="my_id").collect() == []
+
+
+def test_series_flag_is_the_same_beyond_the_broadcast_bound(spark, monkeypatch):
+    from corpuslab.operators import features
+
+    rows = [(str(i), "hot", "x") for i in range(50)] + [("90", "rare", "x"), ("91", None, "x"), ("92", None, "x"), ("93", None, "x"), ("94", "hot", "y")]
+    df = spark.createDataFrame(rows, "my_id string, title string, author string")
+    few = sorted(features.add_series_flag(df, id_col="my_id").collect())
+    monkeypatch.setattr(features, "SERIES_BROADCAST", 0)
+    many = sorted(features.add_series_flag(df, id_col="my_id").select(*df.columns, "top_series").collect())
+    assert few == many and {r.my_id for r in few if not r.top_series} == {"90"}
+    both = {r.my_id: r.top_series for r in features.add_series_flag(df, by_author=True, id_col="my_id").collect()}
+    assert both["0"] and both["91"] and not both["94"]
