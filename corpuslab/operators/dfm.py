@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslab.functions.lists import CUSTOM_STOPWORDS, LABEL_REMOVALS, SNOWBALL_ENGLISH
+from corpuslab.sources.tables import stage_roundtrip
+
+BROADCAST_TERMS = 1_000_000  # a short string and two numbers a term: some tens of MB
+HOT_TERMS = 10_000
 
 LABEL_SPLIT_RE = r"[,\s]+"
 
@@ -61,8 +65,26 @@ def term_stats(dfm: DataFrame, id_col: str = "my_id") -> DataFrame:
     return dfm.groupBy("term").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("docfreq"))
 
 
+def join_terms(dfm: DataFrame, vocab: DataFrame, weight: str = "docfreq") -> DataFrame:
+    """``dfm`` joined with ``vocab`` (one row for each ``term`` to keep) on the term; ``weight`` (the rows of a term) is dropped.
+
+    The vocabulary is written and counted. Up to ``BROADCAST_TERMS`` terms it is broadcast. Beyond, its
+    ``HOT_TERMS`` most frequent terms are, and only the rows of the other terms are shuffled by term, so no frequent term lands in one task.
+    """
+    vocab = stage_roundtrip(vocab, "vocabulary")
+    n = vocab.count()
+    if n <= BROADCAST_TERMS:
+        return dfm.join(F.broadcast(vocab.drop(weight)), "term")
+    hot = stage_roundtrip(vocab.orderBy(F.desc(weight), "term").limit(HOT_TERMS), "hot-terms")
+    names = F.broadcast(hot.select("term"))
+    often = dfm.join(F.broadcast(hot.drop(weight)), "term")
+    seldom = dfm.join(names, "term", "left_anti").join(vocab.drop(weight).join(names, "term", "left_anti"), "term")
+    return often.unionByName(seldom)
+
+
 def _keep_terms(dfm: DataFrame, kept: DataFrame) -> DataFrame:
-    return dfm.join(kept.select("term"), "term", "left_semi")
+    """Rows of ``dfm`` whose term is in ``kept`` (term, docfreq)."""
+    return join_terms(dfm, kept.select("term", "docfreq")).select(*dfm.columns)
 
 
 def trim_termfreq(dfm: DataFrame, min_termfreq: float) -> DataFrame:
@@ -113,8 +135,9 @@ def remove_stopwords(dfm: DataFrame) -> DataFrame:
 
 def dictionary_map(dfm: DataFrame, dictionary: DataFrame, id_col: str = "my_id") -> DataFrame:
     """Replace each feature by its dictionary value (first value by name when a key has several), re-aggregate (row 94)."""
-    d = dictionary.groupBy(F.col("word").alias("term")).agg(F.min("lemma").alias("_to"))
-    m = dfm.join(d, "term", "left").withColumn("term", F.coalesce("_to", "term"))
+    d = dictionary.where("word is not null").groupBy(F.col("word").alias("term")).agg(F.min("lemma").alias("_to"))
+    d = term_stats(dfm).select("term", "docfreq").join(d, "term", "left")  # every term that occurs
+    m = join_terms(dfm, d).withColumn("term", F.coalesce("_to", "term"))
     return m.groupBy(id_col, "term").agg(F.sum("n").alias("n"))
 
 
@@ -196,9 +219,8 @@ def prep_documents(processed: DataFrame, upper_share: float | None = None, upper
         stats = stats.crossJoin(F.broadcast(n_docs)).withColumn("_up", F.lit(upper_share) * F.col("_n"))
     else:
         stats = stats.withColumn("_up", F.lit(float("inf") if upper_thresh is None else upper_thresh))
-    kept = stats.where((F.col("docfreq") > F.lit(lower_thresh)) & (F.col("docfreq") < F.col("_up"))).select("term")
-    vocab = vocabulary_index(kept)
-    return processed.join(vocab, "term")
+    kept = stage_roundtrip(stats.where((F.col("docfreq") > F.lit(lower_thresh)) & (F.col("docfreq") < F.col("_up"))).select("term", "docfreq"), "kept-terms")
+    return join_terms(processed, vocabulary_index(kept).join(kept, "term"))
 
 
 def vocabulary_index(terms: DataFrame) -> DataFrame:

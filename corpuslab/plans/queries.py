@@ -6,6 +6,7 @@ a lazy DataFrame whose column names and types match the oracle's.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.plans import sql as S
 from corpuslab.plans import stages as st
+from corpuslab.session import stage_dir
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -56,14 +58,21 @@ def _feat(spark, sf):
 # ---------------------------------------------------------------------------
 # 2.1 Sources, sinks, catalog (rows 1-6)
 # ---------------------------------------------------------------------------
-@register("load_articles", W("select * from articles"))
+def _written(df, name):
+    """Path of a table written for the loaders."""
+    path = stage_dir(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return path
+
+
+@register("load_articles", W(f"select {', '.join(tables.ARTICLE_COLUMNS)} from articles"))
 def q_load_articles(spark, sf):
-    return st.articles_df(spark, sf)
+    return tables.load_articles(spark, _written(st.articles_df(spark, sf).drop("doc_id"), "article-file"))
 
 
 @register("load_lexicon", W("select word, lemma from lexicon"))
 def q_load_lexicon(spark, sf):
-    return st.lexicon_df(spark, sf)
+    return tables.load_lexicon(spark, _written(cleanse.fixture_lexicon(tables.article_texts(spark, sf)), "lexicon-file"))
 
 
 @register("stage_roundtrip", W(f"select {', '.join(FEATURE_COLS)} from features"))
@@ -1073,8 +1082,9 @@ def q_fit_stm_content(spark, sf):
 
 @register("search_k")
 def q_search_k(spark, sf):
-    """Held-out likelihood, bound, exclusivity and coherence for K in (10, 15, 20) (rows-only)."""
-    return topics.search_k(st.prepped_df(spark, sf), SEARCH_KS, STM_ITER)
+    """Held-out likelihood, bound, exclusivity and coherence for K in (10, 15, 20), both covariates given (rows-only)."""
+    prepped, meta = _stm_inputs(spark, sf)
+    return topics.search_k(prepped, SEARCH_KS, STM_ITER, meta=meta, content_col="channel")
 
 
 # ---------------------------------------------------------------------------

@@ -43,7 +43,7 @@ def load_lexicon(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFr
     """Any two-column ``(word, lemma)`` table (row 2)."""
     reader = spark.read.schema(LEXICON_SCHEMA)
     if fmt == "csv":
-        return reader.option("header", "true").csv(path)
+        return reader.option("header", "true").option("escape", '"').csv(path)
     return reader.parquet(path)
 
 

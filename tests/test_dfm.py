@@ -48,3 +48,21 @@ def test_ngrams(spark):
     df = spark.createDataFrame([("d1", "aaaa bbbb cccc")], "my_id string, lemma_text string")
     terms = sorted(r.term for r in dfm.text_dfm(df, ngrams=(1, 2, 3)).collect())
     assert terms == ["aaaa", "aaaa_bbbb", "aaaa_bbbb_cccc", "bbbb", "bbbb_cccc", "cccc"]
+
+
+def test_vocabulary_joins_are_the_same_beyond_the_broadcast_bound(spark, monkeypatch):
+    from corpuslab.operators import dfm
+
+    rows = [(f"{i:03d}", t, 1 + i % 3) for i in range(60) for t in ["hot", f"w{i % 20}", f"x{i % 7}", f"once{i}"]]
+    d = spark.createDataFrame(rows, "my_id string, term string, n long")
+    words = spark.createDataFrame([("hot", "warm"), ("hot", "zeal"), ("w1", "w2"), ("x3", None), ("unused", "u"), (None, "n")], "word string, lemma string")
+
+    def results():
+        return [sorted(map(tuple, df.select(*sorted(df.columns)).collect())) for df in (
+            dfm.trim_docfreq(d, 3), dfm.trim_termfreq(d, 6), dfm.prep_documents(d, upper_thresh=50), dfm.dictionary_map(d, words))]
+
+    few = results()
+    monkeypatch.setattr(dfm, "BROADCAST_TERMS", 0)
+    monkeypatch.setattr(dfm, "HOT_TERMS", 2)
+    assert results() == few and all(few)
+    assert ("000", 1, "warm") in few[3] and not any(t == "hot" for _, _, t in few[3])

@@ -81,3 +81,17 @@ def test_in_list_matches_null(spark):
     vals = spark.createDataFrame([(None,), ("t1",)], "title string")
     got = [r.hit for r in features.in_list(df, "title", vals, "title", "hit").orderBy(F.asc_nulls_first("title")).collect()]
     assert got == [True, True, False]
+
+
+def test_loaders_read_what_was_written(spark, tmp_path):
+    from corpuslab.sources import tables
+
+    lex = spark.createDataFrame([("words", "word"), ("a,b", 'q"x'), ("none", None)], tables.LEXICON_SCHEMA)
+    lex.write.option("header", "true").option("escape", '"').csv(str(tmp_path / "csv"))
+    lex.write.parquet(str(tmp_path / "parquet"))
+    for fmt in ("csv", "parquet"):
+        got = tables.load_lexicon(spark, str(tmp_path / fmt), fmt)
+        assert got.schema == tables.LEXICON_SCHEMA and sorted(got.collect(), key=str) == sorted(lex.collect(), key=str)
+    row = tuple(f"v{i}" if f.dataType.simpleString() == "string" else i for i, f in enumerate(tables.ARTICLE_SCHEMA.fields))
+    spark.createDataFrame([row], tables.ARTICLE_SCHEMA).withColumn("other", F.lit(1)).write.parquet(str(tmp_path / "articles"))
+    assert tables.load_articles(spark, str(tmp_path / "articles")).collect() == [row]
