@@ -55,6 +55,15 @@ BLOCK = 2_000
 _MU = 0.0085  # DivideSkip's weight of a probe against a merge step
 
 
+def _packed(h: np.ndarray) -> bytes:
+    """Ascending hashes as differences, byte plane by byte plane: the high planes are zeros, which a shuffle's compression removes."""
+    return np.diff(h, prepend=tx.U64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked(b: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(b, np.uint8).reshape(8, -1).T.copy().view(tx.U64).ravel(), dtype=tx.U64)
+
+
 def _set_rows(batches, n: int):
     """(doc_id, n_shingles, d1, d2) of every row."""
     for batch in batches:
@@ -100,7 +109,7 @@ def _chunk_rows(batches, n: int, bits: int):
         found, first = np.unique(bucket, return_index=True)
         ends = np.append(first[1:], len(h))
         me = task + number
-        rows = [(int(k), me, doc[a:b].tobytes(), h[a:b].tobytes(), None) for k, a, b in zip(found, first, ends)]
+        rows = [(int(k), me, doc[a:b].tobytes(), _packed(h[a:b]), None) for k, a, b in zip(found, first, ends)]
         home = int(tx.mix(np.array([me], dtype=tx.U64))[0]) % (1 << bits)
         rows.append((home, me, ids[keep].astype(np.int64).tobytes(), None, np.stack([size[keep].astype(np.int64), key[keep, 0].view(np.int64)]).tobytes()))
         cols = list(zip(*rows))
@@ -128,7 +137,7 @@ def _bucket_lists(table: pa.Table) -> pa.Table:
     out = [(c, d, None, None, s) for c, d, h, s in zip(chunk, doc, hsh, size) if h is None]
     own = [(c, d, h) for c, d, h in zip(chunk, doc, hsh) if h is not None]
     if own:
-        h = np.concatenate([np.frombuffer(x[2], tx.U64) for x in own])
+        h = np.concatenate([_unpacked(x[2]) for x in own])
         d = np.concatenate([np.frombuffer(x[1], np.uint16) for x in own])
         src = np.repeat(np.arange(len(own), dtype=np.int32), [len(x[2]) // 8 for x in own])
         order = np.argsort(h)
@@ -143,7 +152,7 @@ def _bucket_lists(table: pa.Table) -> pa.Table:
         for k, (c, _, _) in enumerate(own):
             a, b = bound[k], bound[k + 1]
             if b > a:
-                out.append((c, d[order[a:b]].tobytes(), h[order[a:b]].tobytes(), df[a:b].tobytes(), None))
+                out.append((c, d[order[a:b]].tobytes(), _packed(h[order[a:b]]), df[a:b].tobytes(), None))
     cols = list(zip(*out)) or [()] * 5
     return pa.table([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["chunk", "doc", "hash", "df", "size"])
 
@@ -158,7 +167,7 @@ def _prefix_rows(table: pa.Table, percent: int) -> pa.Table:
     out = [[], [], [], [], []]
     if rows:
         doc = np.concatenate([np.frombuffer(r[0], np.uint16) for r in rows])
-        h = np.concatenate([np.frombuffer(r[1], tx.U64) for r in rows])
+        h = np.concatenate([_unpacked(r[1]) for r in rows])
         df = np.concatenate([np.frombuffer(r[2], np.uint16) for r in rows])
         order = np.lexsort((h, df, doc))
         doc, h = doc[order], h[order]
