@@ -1122,15 +1122,11 @@ def _fitted_inputs(spark, sf):
 
 @register("fitted_data")
 def q_fitted_data(spark, sf):
-    """The finished article table of the modelled documents with the CTM's tm_01..tm_10 columns, joined on my_id (rows-only)."""
-    meta, prepped = _fitted_inputs(spark, sf)
-    return report.bind_theta(meta, topics.fit_ctm(prepped, K, CTM_ITER).theta(), K, "my_id")
-
-
-@register("fitted_data_stm")
-def q_fitted_data_stm(spark, sf):
-    """The same for the structural model with prevalence covariates (rows-only)."""
+    """The finished article table of the modelled documents with the tm_01..tm_10 columns of both models (``model``: ctm, and stm
+    with prevalence covariates), joined on my_id (rows-only)."""
     meta, prepped = _fitted_inputs(spark, sf)
+    meta = st.stage(meta, "article-table")
     covariates = meta.select("my_id", "first_author", "nb_days", "post_lead_type2", "channel")
-    model = topics.fit_stm(prepped, covariates, K, STM_ITER, content_col=None)
-    return report.bind_theta(meta, model.theta(), K, "my_id")
+    fits = {"ctm": topics.fit_ctm(prepped, K, CTM_ITER), "stm": topics.fit_stm(prepped, covariates, K, STM_ITER, content_col=None)}
+    ctm, stm = (report.bind_theta(meta, m.theta(), K, "my_id").withColumn("model", F.lit(name)) for name, m in fits.items())
+    return ctm.unionByName(stm)
