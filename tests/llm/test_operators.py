@@ -220,6 +220,48 @@ def test_lm_base_score_and_normalisation(spark, docs_table):
         assert abs(total - 1) < 1e-6
 
 
+def test_lm_gives_every_training_word_a_class_by_its_neighbours(spark):
+    rng = np.random.default_rng(1)
+    rare = {g: [f"{g}{i}x" for i in range(300)] for g in "pq"}  # equal last bytes: the shape does not tell the groups apart
+    texts = []
+    for _ in range(400):
+        t = []
+        for _ in range(6):
+            g = "pq"[rng.integers(2)]
+            t += [f"{g}left{rng.integers(3)}", rare[g][min(299, int(rng.pareto(0.5)))], f"{g}right{rng.integers(3)}"]
+        texts.append((" ".join(t),))
+    model, counts = lm.fit(spark.createDataFrame(texts, "text string"), frequent=24, classes=6)
+    rows = {r.word: r for r in counts.collect()}
+    assert all(0 <= r.cls < model.k for r in rows.values()) and len(rows) == model.distinct - 1  # without the end of text
+    import pyarrow as pa
+
+    seen = Counter(w for (t,) in texts for w in t.split())
+    of = {w: rows[int(lm.sequence(pa.array([w]))[0][:1].view(np.int64)[0])] for w in seen}
+    found = {g: {of[w].cls for w in rare[g] if w in of} for g in "pq"}
+    assert not found["p"] & found["q"]
+    assert model.placed == len(of) - 24 and model.moved <= lm.FEW * model.placed
+    for c in range(model.k):  # emissions of a class sum to one
+        n = np.array([r.n for r in rows.values() if r.cls == c])
+        assert abs((10.0 ** model.log_emission(n, np.full(len(n), c))).sum() - 1) < 1e-6
+    assert np.allclose((10.0**model.log_next).sum(1), 1)
+
+
+def test_best_class_is_the_largest_gain_of_the_likelihood():
+    rng = np.random.default_rng(2)
+    matrix, vectors, cls = rng.integers(50, 400, (4, 10)).astype(float), rng.integers(0, 40, (30, 10)), rng.integers(-1, 4, 30)
+    vectors[:8] = 0
+    vectors[range(8), [0, 1, 4, 0, 1, 4, 2, 2]] = vectors[range(8), [5, 9, 6, 5, 9, 6, 7, 7]] = 1  # seen once
+    entry, slot = np.nonzero(vectors)
+    got = lm.best_class(matrix, entry, slot, vectors[entry, slot], cls)
+    assert (lm.placed(matrix, np.bincount(entry), slot, vectors[entry, slot], cls) == got).all()
+    likelihood = lambda m: lm._xlogx(m).sum() - lm._xlogx(m[:, :5].sum(1)).sum() - lm._xlogx(m[:, 5:].sum(1)).sum()
+    for w, v in enumerate(vectors):
+        rest = matrix.copy()
+        if cls[w] >= 0:
+            rest[cls[w]] -= v
+        assert got[w] == max(range(4), key=lambda c: likelihood(rest + np.eye(4)[c][:, None] * v))
+
+
 def class_likelihood(b, cls):
     one = np.zeros((len(b), cls.max() + 1))
     one[np.arange(len(b)), cls] = 1
