@@ -43,6 +43,7 @@ PRIOR = 20.0
 SWEEPS = 20
 CHUNK_WORDS = 2_000_000
 RANGE_WORDS = 300_000
+ASKED_WORDS = 2_000_000  # words that one lookup task is asked for
 ENTRIES = 4_000_000  # neighbour counts of one hash range, before they are summed
 ROUNDS = 2
 FIRST_SWEEPS = 2  # of the rounds before the last
@@ -353,7 +354,8 @@ def _answered(chunks: DataFrame, table: DataFrame, distinct: int, apply, schema:
     range's parts, which repeat its counts, by the words that chunks ask for.
     """
     bits = _split(distinct, RANGE_WORDS)
-    parts = 1
+    asked = chunks.agg(F.sum("asked")).first()[0] or 0
+    parts = 1 << _split(asked, ASKED_WORDS << bits)
     low = F.shiftrightunsigned("word", 64 - bits).cast("int") if bits else F.lit(0)
     table = table.select("word", "n", "cls", F.explode(F.sequence(low * parts, low * parts + (parts - 1))).alias("bucket"))
     asks = chunks.select("chunk", "words").mapInArrow(_asks(bits, parts), "bucket int, chunk long, words binary")

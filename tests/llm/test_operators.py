@@ -262,6 +262,21 @@ def test_best_class_is_the_largest_gain_of_the_likelihood():
         assert got[w] == max(range(4), key=lambda c: likelihood(rest + np.eye(4)[c][:, None] * v))
 
 
+def test_lm_lookup_sends_words_only_and_bounds_its_groups(spark, docs_table, monkeypatch):
+    docs = docs_table.select("doc_id", "text")
+    model, counts = lm.fit(docs.where("doc_id <> 2"), frequent=5, classes=3, known=5)
+    want = Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in lm.score(docs, model, counts).collect())
+    monkeypatch.setattr(lm, "CHUNK_WORDS", 20)
+    monkeypatch.setattr(lm, "RANGE_WORDS", 20)
+    monkeypatch.setattr(lm, "ASKED_WORDS", 20)
+    groups, real = [], lm._asks
+    monkeypatch.setattr(lm, "_asks", lambda bits, parts: groups.append((bits, parts)) or real(bits, parts))
+    docs = docs.crossJoin(spark.range(8).select(F.col("id").alias("copy"))).repartition(8, "copy").drop("copy")
+    got = Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in lm.score(docs, model, counts).collect())
+    assert got == Counter({k: 8 * n for k, n in want.items()})
+    assert groups[0][0] > 0 and groups[0][1] > 1  # ranges are cut by the vocabulary, and further by what the chunks ask
+
+
 def class_likelihood(b, cls):
     one = np.zeros((len(b), cls.max() + 1))
     one[np.arange(len(b)), cls] = 1
