@@ -11,7 +11,8 @@ extra columns included. Each stage works on all rows its predecessor kept:
 * ``quality`` learns from the labels that are not held out and drops texts whose score is under ``QUALITY_FLOOR``.
 * ``near_duplicates`` keeps one document, the smallest id, of every group linked
   by a Jaccard similarity of at least 0.8 of five-word shingles; rows
-  without words, and rows without an id, stay; of rows repeated under one id one stays.
+  without words, and rows without an id, stay; of rows repeated under one id with equal sets one stays. Different
+  texts under one id are judged each by itself.
 * ``decontaminate`` drops documents that overlap a benchmark item.
 * ``pack`` cuts and packs the rest into sequences; it returns the pieces.
 
@@ -53,15 +54,21 @@ def _judged(docs: DataFrame, predict, keep) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = stage.written(ngram_join.jaccard_classes(docs, n=5, percent=80).select("doc_id", "component_id"), "classes-of-documents")
-    drop = classes.where("doc_id <> component_id").select("doc_id").distinct()
-    twice = classes.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    away, again = (df.withColumnRenamed("doc_id", "__id") for df in (drop.unionByName(twice), twice))
-    if away.count() <= BROADCAST_IDS:  # beyond, a shuffle join
-        away, again = F.broadcast(away), F.broadcast(again)
+    sets = stage.written(ngram_join.kept_sets(docs, n=5, percent=80).where("doc_id is not null"), "sets-of-documents")
+    key = ["doc_id", "n_shingles", "d1", "d2"]
+    of_id = sets.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("n"), F.min("keeps").alias("keeps"), (F.min(F.struct(*key)) != F.max(F.struct(*key))).alias("mixed"))
+    away = stage.written(of_id.where("n > 1 or not keeps"), "ids-of-copies")  # ids that not just all rows of stay
+    again, mixed = away.where("n > 1 and keeps and not mixed").select("__id"), away.where("mixed").select("__id")
+    several = mixed.count()
+    small = F.broadcast if away.count() <= BROADCAST_IDS else (lambda df: df)  # beyond, a shuffle join
     on = F.col("doc_id") == F.col("__id")
-    kept = docs.join(away, on, "left_anti")
-    return kept.unionByName(docs.join(again, on, "left_semi").dropDuplicates(["doc_id"]))
+    kept = docs.join(small(away.select("__id")), on, "left_anti")
+    kept = kept.unionByName(docs.join(small(again), on, "left_semi").dropDuplicates(["doc_id"]))
+    if several:  # ids under which different texts occur: each text stays or goes by itself
+        rows = docs.join(small(mixed), on, "left_semi").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*_columns(docs)).alias("row"))
+        stay = sets.where("keeps").join(small(mixed), on, "left_semi").select(*key).distinct()
+        kept = kept.unionByName(ngram_join.with_sets(rows, 5).join(stay, key, "left_semi").dropDuplicates(key).select("row.*"))
+    return kept
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -265,8 +265,59 @@ def _search_rows(table: pa.Table, percent: int) -> pa.Table:
     return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], names=["a", "b", "links"])
 
 
-def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, n_links, class_id (smallest id with an equal set)."""
+def with_sets(docs: DataFrame, n: int) -> DataFrame:
+    """``docs`` (doc_id, text, row) as (doc_id, n_shingles, d1, d2, row): the key of each row's own set."""
+    kind = docs.schema["row"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            sets = list(_set_rows([pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text")], ["doc_id", "text"])], n))
+            done = 0
+            for s in sets:
+                yield pa.RecordBatch.from_arrays([*s.columns, batch.column("row").slice(done, s.num_rows)], [*s.schema.names, "row"])
+                done += s.num_rows
+
+    return docs.mapInArrow(run, f"doc_id long, n_shingles long, d1 long, d2 long, row {kind}")
+
+
+def _own_nodes(classes: DataFrame) -> DataFrame:
+    """``classes`` with ``node``: their smallest id, or an unused number where a class of another set has that id already."""
+    key = F.struct("n_shingles", "d1", "d2")
+    first = classes.where("class_id is not null").groupBy("class_id").agg(F.min(key).alias("first"), F.count("*").alias("sets")).where("sets > 1")
+    first = stage.written(first.select("class_id", "first"), "shared-ids")
+    if first.isEmpty():
+        return classes.withColumn("node", F.col("class_id"))
+    again = classes.join(first, "class_id").where(key != F.col("first")).select("class_id", "n_shingles", "d1", "d2")
+    salt = 0
+    while True:
+        named = again.withColumn("node", F.xxhash64(F.lit(salt), "class_id", "n_shingles", "d1", "d2"))
+        nodes = classes.where("class_id is not null").select(F.col("class_id").alias("node")).distinct().unionByName(named.select("node"))
+        if nodes.groupBy("node").count().where("count > 1").isEmpty():
+            return classes.join(named, ["class_id", "n_shingles", "d1", "d2"], "left").withColumn("node", F.coalesce("node", "class_id"))
+        salt += 1
+
+
+def _winners(classes: DataFrame, linked: DataFrame) -> DataFrame:
+    """(node, first) of all linked classes; ``first`` is the group's class of the smallest id, of several sets the smallest."""
+    member = linked.unionByName(linked.select(F.col("component").alias("node"), "component").distinct())
+    member = member.join(classes, "node").select("node", "component", F.struct("class_id", "n_shingles", "d1", "d2").alias("key"))
+    return member.join(member.groupBy("component").agg(F.min("key").alias("first")), "component").select("node", "first")
+
+
+def kept_sets(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, its set's n_shingles, d1, d2, and whether a row of this id and set stays of its linked group.
+
+    Unlike :func:`jaccard_classes`, different sets under one id are nodes of their own.
+    """
+    sizes, classes, linked, _ = _linked(docs, n, percent, apart=True)
+    key = F.struct("class_id", "n_shingles", "d1", "d2")
+    classes = classes.join(_winners(classes, linked), "node", "left").select("n_shingles", "d1", "d2", "class_id", F.coalesce(F.col("first") == key, F.lit(True)).alias("wins"))
+    keeps = (F.col("n_shingles") == 0) | F.col("doc_id").isNull() | (F.col("wins") & (F.col("doc_id") == F.col("class_id")))
+    return sizes.join(classes, ["n_shingles", "d1", "d2"], "left").select("doc_id", "n_shingles", "d1", "d2", keeps.alias("keeps"))
+
+
+def _linked(docs: DataFrame, n: int, percent: int, apart: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The sets of all rows, their classes with a node each, the components of the nodes, and (node, links)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sizes = stage.written(docs.mapInArrow(lambda b: _set_rows(b, n), "doc_id long, n_shingles long, d1 long, d2 long"), "sets")
@@ -275,6 +326,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
         sizes.where("n_shingles > 0").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
     )
     classes = stage.written(classes, "classes")
+    classes = stage.written(_own_nodes(classes), "nodes") if apart else classes.withColumn("node", F.col("class_id"))
 
     bits = max(0, math.ceil(math.log2(max(1, total / BUCKET_SHINGLES))))
     dealt = docs.where("doc_id is not null").mapInArrow(lambda b: _chunk_rows(b, n, bits), "bucket int, chunk long, doc binary, hash binary, size binary")
@@ -282,9 +334,9 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     active = lists.groupBy("chunk").applyInArrow(
         lambda t: _prefix_rows(t, percent), "doc_id long, n_shingles long, shared binary, prefix array<long>, d1 long"
     )
-    reps = classes.where("class_id is not null").select(F.col("class_id").alias("doc_id"), "n_shingles", "d1", "copies")
+    reps = classes.where("class_id is not null").select(F.col("class_id").alias("doc_id"), "n_shingles", "d1", "copies", "node")
     # a repeated row comes from several chunks
-    active = stage.written(active.join(reps, ["doc_id", "n_shingles", "d1"]).dropDuplicates(["doc_id", "n_shingles", "d1"]).drop("d1"), "active")
+    active = stage.written(active.join(reps, ["doc_id", "n_shingles", "d1"]).dropDuplicates(["doc_id", "n_shingles", "d1"]).drop("d1", "doc_id").withColumnRenamed("node", "doc_id"), "active")
 
     postings = active.select("doc_id", F.explode("prefix").alias("token"))
     heads = postings.groupBy("token").agg(F.min("doc_id").alias("head"), F.count("*").alias("df")).where("df > 1")
@@ -313,10 +365,16 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
         held.groupBy("key", "i", "j").applyInArrow(lambda t: _search_rows(t, percent), "a long, b long, links long"), "links"
     )
     linked = graph.components(found.where("b is not null").select("a", "b"))
-    degree = found.where("links is not null").groupBy("a").agg(F.sum("links").alias("links"))
+    degree = found.where("links is not null").groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "node")
+    return sizes, classes, linked, degree
+
+
+def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, n_links, class_id (smallest id with an equal set)."""
+    sizes, classes, linked, degree = _linked(docs, n, percent, apart=False)
     classes = (
-        classes.join(linked.withColumnRenamed("node", "class_id"), "class_id", "left")
-        .join(degree.withColumnRenamed("a", "class_id"), "class_id", "left")
+        classes.join(linked, "node", "left")
+        .join(degree, "node", "left")
         .select(
             "n_shingles", "d1", "d2", "class_id",
             F.coalesce("component", "class_id").alias("component_id"),

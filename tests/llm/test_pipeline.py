@@ -21,6 +21,16 @@ def test_near_duplicate_stage_keeps_one_of_each_group(spark, docs_table):
     assert Counter(r.doc_id for r in kept.collect()) == Counter([*ids, None])
 
 
+def test_near_duplicates_judges_different_texts_of_one_id_apart(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    near = lambda t: t + " end"
+    rows = [(1, a), (5, near(a)), (5, b), (5, b), (7, near(b)), (8, c), (8, d), (9, near(c)), (8, near(d)), (10, ""), (None, a)]
+    kept = cp.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
+    got = Counter(map(tuple, kept.collect()))
+    assert {k: n for k, n in got.items() if k[1] not in (d, near(d))} == {(1, a): 1, (5, b): 1, (8, c): 1, (10, ""): 1, (None, a): 1}
+    assert sum(n for k, n in got.items() if k[1] in (d, near(d))) == 1
+
+
 def test_filter_stages_keep_columns_and_rows(spark, docs_table):
     for stage in (cp.language_id, cp.quality_filter, cp.decontaminate):
         out = stage(spark, docs_table, SF)
