@@ -1,4 +1,4 @@
-"""The ten registered queries of this subpackage: each reads its whole table through its operator and derives the result's columns."""
+"""The registered queries of this subpackage: each reads its whole table through its operator and derives the result's columns."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm import decontaminate, langid, lm, metric_join, ngram_join, packing, quality, sharding, toxicity, warc
+from corpuslab.llm import decontaminate, langid, lm, metric_join, ngram_join, packing, quality, sharding, token_counts, toxicity, warc
 from corpuslab.llm.stage import id_remainder, read
 from corpuslab.session import stage_dir
 
@@ -134,3 +134,8 @@ from embeddings v left join low on low.a = v.vec_id left join deg on deg.a = v.v
 @register("op9_metric_range_join", OP9_SQL)
 def q_vectors(spark, sf):
     return metric_join.near_vectors(read(spark, sf, "embeddings"), threshold=0.93)
+
+
+@register("op12_heap_token_counts")
+def q_token_counts(spark, sf):
+    return token_counts.token_counts(read(spark, sf, "documents"), vocabulary_path(), limit=1024)
