@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm import decontaminate, langid, lm, metric_join, ngram_join, packing, quality, sharding, token_counts, toxicity, warc
+from corpuslab.llm import conversation_repair, decontaminate, langid, lm, metric_join, ngram_join, packing, quality, sharding, token_counts, toxicity, warc
 from corpuslab.llm.stage import id_remainder, read
 from corpuslab.session import stage_dir
 
@@ -139,3 +139,49 @@ def q_vectors(spark, sf):
 @register("op12_heap_token_counts")
 def q_token_counts(spark, sf):
     return token_counts.token_counts(read(spark, sf, "documents"), vocabulary_path(), limit=1024)
+
+
+OP13_SQL = r"""
+with recursive crc_table as (select list_transform(range(256), lambda b: list_reduce(range(8),
+    lambda x, k: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end, b)) as tab),
+given as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    list_transform(string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''), lambda c: ascii(c)::bigint) as bytes from conversations),
+marked as (select g.*, xor(list_reduce(bytes, lambda x, b: xor(x >> 8, tab[(xor(x, b) & 255) + 1]), 4294967295), 4294967295) % 20 as hurt from given g, crc_table),
+rows_ as (select conv_id, turn, case when hurt = 4 then 'user' else role end as role,
+    case hurt when 1 then '' when 2 then translate(text, '.!?', '') else text end as text
+    from marked, unnest(range(case hurt when 0 then 0 when 3 then 2 else 1 end)) where hurt <> 0),
+seen as (select *, md5(length(role)::varchar || ':' || role || text) as digest, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as vis from rows_),
+placed as (select *, row_number() over (partition by conv_id order by turn nulls first, digest) as rn,
+    lag(left(role, 1)) over (partition by conv_id order by turn nulls first, digest) || left(role, 1) as pair from seen),
+firsts as (select *, min(rn) over (partition by conv_id, role, text) as lead_rn from placed),
+faulty as (select *, vis = '' as blank, vis <> '' and rn > lead_rn as dup, vis <> '' and rn = lead_rn and right(vis, 1) not in ('.', '!', '?') as cut, left(role, 1) as ini from firsts),
+counted as (select conv_id, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, sum(blank::bigint) as blank,
+    sum(dup::bigint) as duplicate, sum(cut::bigint) as truncated, sum((pair not in ('su', 'ua', 'au'))::bigint) as illegal from faulty group by conv_id),
+steps(q, ini, q2) as (values (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3), (0, '', 0), (1, '', 1), (2, '', 2), (3, '', 3)),
+forced(q, q2) as (values (0, 2), (1, 2), (2, 3), (3, 2)),
+inserts(q, more, q2) as (values (0, '', 0), (1, '', 1), (2, '', 2), (3, '', 3), (0, 'I', 2), (0, 'II', 3), (1, 'I', 2), (1, 'II', 3), (2, 'I', 3), (3, 'I', 2)),
+edits as (select conv_id, rn, q, q as q2, 'D' as edit, 4 as cost from faulty, (select distinct q from forced)
+    union all select f.conv_id, f.rn, s.q, s.q2, 'K', 3 * f.cut::int from faulty f join steps s on s.ini = f.ini where not f.blank and not f.dup
+    union all select f.conv_id, f.rn, s.q, s.q2, 'R', 3 + 3 * f.cut::int from faulty f, forced s where not f.blank and not f.dup),
+search(conv_id, i, q, best) as (select conv_id, 0::bigint, 0, {'cost': 0, 'audit': ''} from counted
+    union all select s.conv_id, s.i + 1, e.q2, min({'cost': s.best.cost + 3 * length(x.more)::int + e.cost, 'audit': s.best.audit || x.more || e.edit})
+    from search s join inserts x on x.q = s.q join edits e on e.conv_id is not distinct from s.conv_id and e.rn = s.i + 1 and e.q = x.q2 group by s.conv_id, s.i, e.q2),
+ended as (select s.conv_id, min({'cost': s.best.cost + 3 * length(x.more)::int, 'audit': s.best.audit || x.more}) as best
+    from search s join counted c on c.conv_id is not distinct from s.conv_id and c.n = s.i join inserts x on x.q = s.q and x.q2 in (0, 3) group by s.conv_id),
+letters as (select conv_id, p, substr(best.audit, p::int, 1) as edit from ended, unnest(range(1, length(best.audit) + 1)) as t(p)),
+numbered as (select *, sum((edit <> 'I')::int) over w as rn, sum((edit <> 'D')::int) over w as place from letters window w as (partition by conv_id order by p)),
+lines as (select b.conv_id, b.p, b.edit, b.place, f.role, f.text, f.ini from numbered b left join faulty f on f.conv_id is not distinct from b.conv_id and f.rn = b.rn and b.edit <> 'I' where b.edit <> 'D'),
+led as (select *, max(case when place = 1 and edit = 'K' and ini = 's' then 1 else 0 end) over (partition by conv_id) as lead from lines),
+told as (select conv_id, sha256(string_agg(case when edit = 'K' then role when (place - lead) % 2 = 1 then 'user' else 'assistant' end || ':' || coalesce(text, ''),
+    chr(10) order by p)) as sha from led group by conv_id)
+select i.conv_id, coalesce(c.gaps, 0)::bigint as gaps, coalesce(c.blank, 0)::bigint as blank, coalesce(c.duplicate, 0)::bigint as duplicate,
+  coalesce(c.truncated, 0)::bigint as truncated, coalesce(c.illegal, 0)::bigint as illegal, coalesce(e.best.cost, 0)::bigint as cost,
+  coalesce(e.best.audit, '') as audit, coalesce(t.sha, sha256('')) as repaired_sha256
+from (select distinct conv_id from conversations) i left join counted c on c.conv_id is not distinct from i.conv_id
+left join ended e on e.conv_id is not distinct from i.conv_id left join told t on t.conv_id is not distinct from i.conv_id
+"""
+
+
+@register("op13_conversation_repair", OP13_SQL)
+def q_conversation_repair(spark, sf):
+    return conversation_repair.damage_and_repair(read(spark, sf, "conversations"))
