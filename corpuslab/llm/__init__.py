@@ -3,7 +3,7 @@ pickled by value, so executors need numpy, pyarrow and the named libraries but n
 
 from pyspark import cloudpickle as _cloudpickle
 
-from corpuslab.llm import bpe, conversation_repair, decontaminate, graph, langid, lm, logistic, metric_join, ngram_join, packing, quality, sharding, shared, textops, token_counts, toxicity
+from corpuslab.llm import bpe, conversation_repair, decontaminate, graph, langid, lm, logistic, metric_join, ngram_join, packing, quality, ranked_search, sharding, shared, textops, token_counts, toxicity
 
-for _m in (bpe, conversation_repair, decontaminate, graph, langid, lm, logistic, metric_join, ngram_join, packing, quality, sharding, shared, textops, token_counts, toxicity):
+for _m in (bpe, conversation_repair, decontaminate, graph, langid, lm, logistic, metric_join, ngram_join, packing, quality, ranked_search, sharding, shared, textops, token_counts, toxicity):
     _cloudpickle.register_pickle_by_value(_m)

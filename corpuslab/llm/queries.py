@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm import conversation_repair, decontaminate, langid, lm, metric_join, ngram_join, packing, quality, sharding, token_counts, toxicity, warc
+from corpuslab.llm import conversation_repair, decontaminate, langid, lm, metric_join, ngram_join, packing, quality, ranked_search, sharding, token_counts, toxicity, warc
 from corpuslab.llm.stage import id_remainder, read
 from corpuslab.session import stage_dir
 
@@ -185,3 +185,24 @@ left join ended e on e.conv_id is not distinct from i.conv_id left join told t o
 @register("op13_conversation_repair", OP13_SQL)
 def q_conversation_repair(spark, sf):
     return conversation_repair.damage_and_repair(read(spark, sf, "conversations"))
+
+
+OP11_SQL = r"""
+with terms as (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term, row from (select doc_id, text, row_number() over () as row from documents)),
+tf as (select row, doc_id, term, count(*) as tf from terms group by all),
+size as (select row, sum(tf)::bigint as n from tf group by row),
+total as (select count(*) as n, sum(n)::bigint as l from size),
+asked as (select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+weight as (select term, floor(1000 * ln((2 * t.n + 2)::double / (2 * count(*) + 1)))::bigint as w from tf, total t where term in (select term from asked) group by term, t.n),
+scored as (select a.item_id, f.row, f.doc_id, sum(w.w * ((1000000000 * f.tf) // (1000 * f.tf + 8 * (10 + (90 * s.n * t.n) // t.l))))::bigint as score
+    from asked a join weight w on a.term = w.term join tf f on f.term = a.term join size s on s.row = f.row, total t group by all),
+ranked as (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scored where score > 0)
+select item_id, rank::int as rank, doc_id, score from ranked where rank <= 10
+"""
+
+
+@register("op11_geometric_blocks_search", OP11_SQL)
+def q_ranked_search(spark, sf):
+    return ranked_search.search(read(spark, sf, "documents"), read(spark, sf, "benchmark"), k=10)
