@@ -263,10 +263,11 @@ def _pass(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
 def search(docs: DataFrame, items: DataFrame, k: int = 10, pass_terms: int = PASS_TERMS) -> DataFrame:
     """``(item_id, rank, doc_id, score)``: the ``k`` documents of the highest score above 0 of every item, equal scores by ascending id."""
     pairs = written(item_terms(items), "item-terms")
-    passes = max(1, -(-pairs.count() // pass_terms))
-    out = None
+    passes = -(-pairs.count() // pass_terms)
+    out = docs.sparkSession.createDataFrame([], "item_id long, doc_id long, score long")
     for p in range(passes):
-        found = _pass(docs, pairs.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == p), k)
-        out = found if out is None else out.unionByName(found)
+        own = pairs.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == p)
+        if passes == 1 or not own.isEmpty():
+            out = out.unionByName(_pass(docs, own, k))
     top = top_k_per_group(out, ["item_id"], [F.desc("score"), F.asc_nulls_last("doc_id")], k, salt_col="doc_id", salts=16)
     return top.select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
