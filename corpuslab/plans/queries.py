@@ -1018,21 +1018,30 @@ def q_cooccurrence(spark, sf):
     return q.select("term_a", "term_b", F.round("q", 12).alias("q"))
 
 
-_KNOTS = ["lo", "lo", "lo", "lo"] + [f"k{i}" for i in range(1, 8)] + ["hi", "hi", "hi", "hi"]
-_SPL = mdesign.spline_sql("cast(f.nb_days as double)", [f"kn.{t}" for t in _KNOTS])
-
-
 @register("prevalence_design", WD(
-    "select f.my_id, " + ", ".join(f"round({e}, 6) as s{i + 1}" for i, e in enumerate(_SPL))
-    + " from features f cross join kn where f.top_OK",
+    "select w.*, case when a.r > 0 then (case when n.na <= n.nl then 10 else 9 + n.nl end) + a.r end::int as author_column, "
+    "case when l.r > 0 then (case when n.na <= n.nl then 9 + n.na else 10 end) + l.r end::int as lead_column "
+    "from (select my_id, " + ", ".join(f"round(max(case when i = {j + 1} then v end), 6) as s{j}" for j in range(1, 11)) + " from b3 group by my_id) w "
+    "join rk a on a.my_id = w.my_id and a.f = 0 join rk l on l.my_id = w.my_id and l.f = 1 cross join nlev n",
     "kn AS (select min(nb_days)::double as lo, max(nb_days)::double as hi, "
     + ", ".join(f"quantile_cont(nb_days, {i / 8!r})::double as k{i}" for i in range(1, 8))
-    + " from features where top_OK)"))
+    + " from features where top_OK), " + S.SPLINE_BASIS + """,
+    rk AS (select my_id, 0 as f, dense_rank() over (order by coalesce(first_author, 'NA')) - 1 as r from features where top_OK
+           union all select my_id, 1, dense_rank() over (order by coalesce(post_lead_type2, 'NA')) - 1 from features where top_OK),
+    nlev AS (select max(case when f = 0 then r + 1 end) as na, max(case when f = 1 then r + 1 end) as nl from rk)"""))
 def q_prevalence_design(spark, sf):
-    meta = _feat(spark, sf).where(F.col("top_OK"))
-    knots = mdesign.spline_knots(meta, "nb_days", 10)
-    cols = mdesign.spline_columns("nb_days", knots, prefix="s")
-    return meta.select("my_id", *[F.round(c, 6).alias(f"s{i + 1}") for i, c in enumerate(cols)])
+    """The sparse design unpacked: the spline's columns, and the column number of each document's author and lead type."""
+    meta = _feat(spark, sf).where(F.col("top_OK")).select("my_id", "first_author", "post_lead_type2", "nb_days")
+    design = mdesign.sparse_design(meta, ("first_author", "post_lead_type2"), "nb_days")
+    span = {r["factor"]: (r["a"], r["b"]) for r in design.levels.groupBy("factor").agg(F.min("col").alias("a"), F.max("col").alias("b")).collect()}
+    entry = F.map_from_arrays("xi", "xv")
+    spline = [F.round(F.coalesce(F.try_element_at(entry, F.lit(i)), F.lit(0.0)), 6).alias(f"s{i}") for i in range(1, 11)]
+
+    def column(f):  # null where the level is the factor's first
+        lo, hi = span[f]
+        return F.get(F.filter("xi", lambda x: x.between(lo, hi)), F.lit(0)) if lo is not None else F.lit(None).cast("int")
+
+    return design.rows(meta).select("my_id", *spline, column(0).alias("author_column"), column(1).alias("lead_column"))
 
 
 @register("spectral_init")

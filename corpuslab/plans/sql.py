@@ -176,3 +176,25 @@ def with_base(body: str, *extra: str) -> str:
     """Full CTE chain plus ``body`` (a final SELECT)."""
     ctes = [ARTICLES, FEATURES, TOKENS, STOPWORDS, *extra]
     return "WITH " + ",".join(ctes) + "\n" + body
+
+
+def _spline_basis(degree: int = 3, inner: int = 7) -> str:
+    """CTEs ``b0 .. b3``: the B-spline basis of ``nb_days`` as rows ``(my_id, x, i, v)``, one degree after the other, over the knots of ``kn``."""
+    ends = degree + 1
+    knots = ["lo"] * ends + [f"k{i}" for i in range(1, inner + 1)] + ["hi"] * ends
+    last = len(knots)
+    ctes = [
+        f"knots AS (select [{', '.join(knots)}] as t from kn)",
+        f"""b0 AS (select my_id, x, i, case when t[i] < t[i + 1] and x >= t[i] and (x < t[i + 1] or (x = t[{last}] and t[i + 1] = t[{last}])) then 1.0 else 0.0 end as v
+            from (select my_id, nb_days::double as x from features where top_OK), knots, unnest(range(1, {last})) as g(i))""",
+    ]
+    for p in range(1, degree + 1):
+        ctes.append(
+            f"""b{p} AS (select a.my_id, a.x, a.i, coalesce((a.x - t[a.i]) / nullif(t[a.i + {p}] - t[a.i], 0) * a.v, 0)
+            + coalesce((t[a.i + {p + 1}] - a.x) / nullif(t[a.i + {p + 1}] - t[a.i + 1], 0) * n.v, 0) as v
+            from b{p - 1} a join b{p - 1} n on n.my_id = a.my_id and n.i = a.i + 1, knots)"""
+        )
+    return ", ".join(ctes)
+
+
+SPLINE_BASIS = _spline_basis()

@@ -54,3 +54,11 @@ def stage_dir(spark: SparkSession, name: str) -> str:
     """A folder under the shared checkpoint location for written intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/corpuslab-stages/{name}"
+
+
+def remove_stage(spark: SparkSession, path: str) -> None:
+    """Remove a written intermediate table below the shared checkpoint folder, on whatever file system it lies."""
+    if not path.startswith(ensure_checkpoint_dir(spark).rstrip("/") + "/corpuslab-stages/"):
+        raise ValueError(f"{path} is not an intermediate table")
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
