@@ -1011,7 +1011,7 @@ SEARCH_KS = (10, 15, 20)
     "select a.term_id as term_a, b.term_id as term_b, round(sum((a.n * b.n - case when a.term_id = b.term_id then a.n else 0 end) "
     "/ (dn.nd * (dn.nd - 1.0))), 12) as q from prepped a join prepped b on a.my_id = b.my_id "
     "join (select my_id, sum(n) as nd from prepped group by my_id having sum(n) >= 2) dn on dn.my_id = a.my_id "
-    "group by 1, 2 having sum((a.n * b.n - case when a.term_id = b.term_id then a.n else 0 end) / (dn.nd * (dn.nd - 1.0))) <> 0"))
+    "where a.term_id <= b.term_id group by 1, 2 having sum((a.n * b.n - case when a.term_id = b.term_id then a.n else 0 end) / (dn.nd * (dn.nd - 1.0))) <> 0"))
 def q_cooccurrence(spark, sf):
     prepped = st.prepped_df(spark, sf)
     q = spectral.cooccurrence(doc_arrays(prepped), vocab_size(prepped))
@@ -1049,10 +1049,11 @@ def q_spectral_init(spark, sf):
     """Anchor word of each topic and its share of the topic (rows-only)."""
     prepped = st.prepped_df(spark, sf)
     docs, v = topics.model_docs(prepped)
-    beta, anchors = spectral.spectral_init(docs, v, K)
-    rows = [(t + 1, int(a) + 1, float(beta[t, a])) for t, a in enumerate(anchors)]
+    start = spectral.spectral_start(docs, v, K)
+    anchors = spark.createDataFrame([(t + 1, int(a) + 1) for t, a in enumerate(start.anchors)], "topic int, term_id long")
     vocab = prepped.select(F.col("term_id").cast("long").alias("term_id"), "term").distinct()
-    return spark.createDataFrame(rows, "topic int, term_id long, p double").join(vocab, "term_id")
+    found = start.frame().join(F.broadcast(anchors), ["topic", "term_id"]).join(vocab, "term_id")
+    return found.withColumn("unfinished_words", F.lit(start.unfinished))
 
 
 @register("fit_ctm")
