@@ -367,13 +367,14 @@ def _kde_sql(src: str, col: str) -> str:
         quantile_cont(v, 0.25) as q1, quantile_cont(v, 0.75) as q3 from x),
   b as (select n, 0.9 * (case when least(sd, (q3 - q1) / 1.34) > 0 then least(sd, (q3 - q1) / 1.34)
           when sd > 0 then sd else 1.0 end) * pow(cast(n as double), -0.2) as bw, mn, mx from s),
-  g as (select n, bw, mn - 3 * bw as lo, (mx + 3 * bw - (mn - 3 * bw)) / 511 as step from b),
-  h as (select v, count(*) as c from x group by v),
-  grid as (select cast(i as bigint) as i, lo + i * step as gx, n, bw from g cross join range(512) t(i))
-select grid.i, round(grid.gx, 4) as x,
-  round(sum(h.c * exp(-0.5 * ((grid.gx - h.v) / grid.bw) * ((grid.gx - h.v) / grid.bw)))
-        / (grid.n * grid.bw * sqrt(2 * pi())), 12) as density
-from grid cross join h group by grid.i, grid.gx, grid.n, grid.bw"""
+  g as (select n, bw, mn - 3 * bw as lo, (mx + 3 * bw - (mn - 3 * bw)) / 511 as step, mn - 7 * bw as low, (mx + 7 * bw - (mn - 7 * bw)) / 511 as delta from b),
+  near as (select floor((v - low) / delta)::bigint as j, (v - low) / delta - floor((v - low) / delta) as f from x cross join g),
+  mass as (select j, sum(m) as m from (select j, 1 - f as m from near union all select j + 1, f from near) group by j),
+  rough as (select i as k, sum(m * exp(-0.5 * pow((i - j) * delta / bw, 2))) / (any_value(n) * any_value(bw) * sqrt(2 * pi())) as y
+        from range(512) t(i) cross join g cross join mass group by i),
+  points as (select i, lo + i * step as px, (lo + i * step - low) / delta as p from range(512) t(i) cross join g)
+select cast(i as bigint) as i, round(px, 4) as x, round(r.y * (1 - (p - floor(p))) + q.y * (p - floor(p)), 12) as density
+from points join rough r on r.k = floor(p) join rough q on q.k = floor(p) + 1"""
 
 
 def _kde_spark(df, col):
