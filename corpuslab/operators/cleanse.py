@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from corpuslab.functions import text as tx
 from corpuslab.functions.lists import ENTITY_EXCLUSIONS
+from corpuslab.sources.tables import stage_roundtrip
 
 MAX_BROADCAST_LEXICON_ROWS = 1_000_000  # two short strings a row: some tens of MB
+HOT_SHARE = 4  # a word that fills a quarter of an average shuffle partition is hot
 
 
 def checked_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_LEXICON_ROWS) -> DataFrame:
@@ -57,9 +59,32 @@ def word_table(scoped: DataFrame, id_col: str = "my_id", min_len: int = 3, codep
     return drop_short(add_words(tokenise(scoped, id_col), codepoints_first), "word", min_len)
 
 
-def lemmatise(words: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Left join on ``word``; a word with two lemmas fans out (rows 20, 21)."""
-    return words.join(lexicon.select("word", "lemma"), "word", "left")
+def hot_words(words: DataFrame) -> DataFrame:
+    """``(word, n)`` of the words that alone would fill ``1 / HOT_SHARE`` of an average shuffle partition, found by one partial count. Written.
+
+    There are at most ``HOT_SHARE`` times the number of shuffle partitions of them, whatever the data.
+    """
+    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = stage_roundtrip(words.where(F.col("word").isNotNull()).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "word-counts")
+    total = counts.agg(F.sum("n").alias("_all"))
+    hot = counts.crossJoin(F.broadcast(total)).where(F.col("n") * F.lit(HOT_SHARE * parts) >= F.col("_all"))
+    return stage_roundtrip(hot.select("word", "n"), "hot-words")
+
+
+def lemmatise(words: DataFrame, lexicon: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+    """Left join on ``word``; a word with two lemmas fans out (rows 20, 21).
+
+    With ``hot`` (:func:`hot_words`, for a lexicon too large to broadcast) the hot words meet their own lexicon rows by a
+    broadcast behind a count, and only the other words are shuffled, so no task gets much more than the others.
+    """
+    lexicon = lexicon.select("word", "lemma")
+    if hot is None:
+        return words.join(lexicon, "word", "left")
+    names = F.broadcast(hot.select("word"))
+    known = stage_roundtrip(lexicon.join(names, "word", "left_semi"), "hot-lemmas")
+    often = words.join(names, "word", "left_semi").join(checked_broadcast(known), "word", "left")
+    seldom = words.join(names, "word", "left_anti").join(lexicon, "word", "left")
+    return often.unionByName(seldom)
 
 
 def oov_words(joined: DataFrame) -> DataFrame:
@@ -67,14 +92,17 @@ def oov_words(joined: DataFrame) -> DataFrame:
     return joined.where(F.col("lemma").isNull())
 
 
-def oov_top_words(words: DataFrame, lexicon: DataFrame, top_n: int = 600, exclude_entities: bool = False) -> DataFrame:
+def oov_top_words(words: DataFrame, lexicon: DataFrame, top_n: int = 600, exclude_entities: bool = False, large: bool = False) -> DataFrame:
     """The ``top_n`` most frequent out-of-vocabulary words (count desc, word asc) (rows 55, 86).
 
     Anti join against the lexicon words that carry a lemma, partial count per
-    word, then a distributed top-k: nothing is collected.
+    word, then a distributed top-k: nothing is collected. Against a ``large`` lexicon the words are counted first, so each is shuffled once.
     """
     known = lexicon.where(F.col("lemma").isNotNull()).select("word").distinct()
-    counts = words.join(known, "word", "left_anti").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    counts = words if large else words.join(known, "word", "left_anti")
+    counts = counts.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    if large:
+        counts = counts.join(known, "word", "left_anti")
     top = counts.orderBy(F.desc("n"), F.asc("word")).limit(top_n)
     if exclude_entities:
         top = lexicon_exclusions(top)
@@ -119,10 +147,10 @@ def extend_lexicon(lexicon: DataFrame, new_words: DataFrame) -> DataFrame:
 
 def augment_lexicon(lexicon: DataFrame, words: DataFrame, top_n: int = 600, exclude_entities: bool = False) -> DataFrame:
     """Lexicon grown by the most frequent unmatched words (row 86)."""
-    top = oov_top_words(words, lexicon, top_n, exclude_entities)
-    grown = extend_lexicon(lexicon, top)
+    large = lexicon.count() > MAX_BROADCAST_LEXICON_ROWS
+    grown = extend_lexicon(lexicon, oov_top_words(words, lexicon, top_n, exclude_entities, large))
     # a hint inside a union is lost, so the whole is hinted: a counted lexicon and at most top_n rows
-    return F.broadcast(grown) if lexicon.count() <= MAX_BROADCAST_LEXICON_ROWS else grown
+    return grown if large else F.broadcast(grown)
 
 
 def _ordered_join(values) -> F.Column:
@@ -153,23 +181,48 @@ def ordered_text(df: DataFrame, id_col: str, order_col: str, value_col: str, out
     return df.groupBy(id_col).agg(_ordered_join(v).alias(out_col))
 
 
-def clean_corpus(scoped: DataFrame, lexicon: DataFrame, top_n: int = 600, id_col: str = "my_id",
-                 exclude_entities: bool = False, attach: bool = False) -> DataFrame:
-    """Whole cleansing chain (row 87): tokens -> words -> lexicon join -> growth -> re-join -> texts.
+class Chain:
+    """The cleansing chain over scoped articles and a lexicon (row 87): tokens -> words -> lexicon join -> growth -> re-join -> texts.
 
-    ``lexicon`` should be materialised (file or checkpoint); it is broadcast
-    behind a row-count check. The word table is recomputed for the second
-    join instead of being cached, so a lost executor costs a recomputation
+    ``lexicon`` should be materialised (file or checkpoint). It is broadcast behind a row-count check; beyond that, hot words are joined apart.
+    The word table is recomputed for the second join instead of being cached, so a lost executor costs a recomputation
     and not a cached copy of the whole corpus.
     """
-    lex = checked_broadcast(lexicon)
-    words = word_table(scoped, id_col)
-    grown = augment_lexicon(lex, words, top_n, exclude_entities)
-    joined = lemmatise(words, grown)
-    texts = collapse_texts(joined, id_col)
-    if attach:
-        return scoped.join(texts, id_col, "left")
-    return texts
+
+    def __init__(self, scoped: DataFrame, lexicon: DataFrame, top_n: int = 600, id_col: str = "my_id", exclude_entities: bool = False):
+        self.scoped, self.top_n, self.id_col, self.exclude_entities = scoped, top_n, id_col, exclude_entities
+        self.words = word_table(scoped, id_col)
+        self.large = lexicon.count() > MAX_BROADCAST_LEXICON_ROWS
+        self.lexicon = lexicon if self.large else F.broadcast(lexicon)
+        self._hot: DataFrame | None = None
+
+    @property
+    def hot(self) -> DataFrame | None:
+        if self.large and self._hot is None:
+            self._hot = hot_words(self.words)
+        return self._hot
+
+    def joined(self) -> DataFrame:
+        return lemmatise(self.words, self.lexicon, self.hot)
+
+    def growth(self) -> DataFrame:
+        return oov_top_words(self.words, self.lexicon, self.top_n, self.exclude_entities, self.large)
+
+    def grown_lexicon(self) -> DataFrame:
+        return augment_lexicon(self.lexicon, self.words, self.top_n, self.exclude_entities)
+
+    def rejoined(self) -> DataFrame:
+        return lemmatise(self.words, self.grown_lexicon(), self.hot)
+
+    def texts(self) -> DataFrame:
+        return collapse_texts(self.rejoined(), self.id_col)
+
+
+def clean_corpus(scoped: DataFrame, lexicon: DataFrame, top_n: int = 600, id_col: str = "my_id",
+                 exclude_entities: bool = False, attach: bool = False) -> DataFrame:
+    """Both texts of every document that keeps a word, through :class:`Chain`; with ``attach`` as columns of ``scoped``."""
+    texts = Chain(scoped, lexicon, top_n, id_col, exclude_entities).texts()
+    return scoped.join(texts, id_col, "left") if attach else texts
 
 
 def fixture_words(articles: DataFrame) -> DataFrame:

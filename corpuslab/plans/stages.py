@@ -69,24 +69,24 @@ class Corpus:
             lex = pool.submit(lambda: stage(cleanse.fixture_lexicon(tables.article_texts(spark, sf_dir)), "lexicon"))
             self.features, self.lexicon = feats.result(), lex.result()
         self.scoped = features.scoped_articles(self.features)
-        self.lex = cleanse.checked_broadcast(self.lexicon)
-        self.words = cleanse.word_table(self.scoped)
+        self.chain = cleanse.Chain(self.scoped, self.lexicon, S.TOP_GROWTH)
+        self.lex, self.words = self.chain.lexicon, self.chain.words
 
     def joined1(self) -> DataFrame:
-        return cleanse.lemmatise(self.words, self.lex)
+        return self.chain.joined()
 
     def growth(self) -> DataFrame:
-        return cleanse.oov_top_words(self.words, self.lex, S.TOP_GROWTH)
+        return self.chain.growth()
 
     def grown_lexicon(self) -> DataFrame:
-        return cleanse.augment_lexicon(self.lex, self.words, S.TOP_GROWTH)
+        return self.chain.grown_lexicon()
 
     def joined2(self) -> DataFrame:
-        return cleanse.lemmatise(self.words, self.grown_lexicon())
+        return self.chain.rejoined()
 
     def corpus(self) -> DataFrame:
         """Scoped articles with both texts attached, materialised (the table the topic model reads)."""
-        texts = cleanse.collapse_texts(self.joined2())
+        texts = self.chain.texts()
         return stage(self.scoped.join(texts, "my_id", "left"), "corpus")
 
 

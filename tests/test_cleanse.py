@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.functions import text as tx
 from corpuslab.operators import cleanse
+from corpuslab.sources import tables
 
 DOCS = [
     ("00001", "Running quickly, the runners ran http://a.b/c to me@x.org\tand waited\nwaited"),
@@ -76,3 +77,55 @@ def test_order_is_dense_and_idempotent_steps(spark):
     assert w.where(tx.letters_only("w") != F.col("w")).count() == 0
     n = scoped.select(tx.normalise_ws("text").alias("t"))
     assert n.where(tx.normalise_ws("t") != F.col("t")).count() == 0
+
+
+def _zipf(spark, n=40_000):
+    """Words with frequencies like 1 / rank, a third of them one word; a lexicon where some words have several lemmas."""
+    rank = F.floor(F.exp(F.rand(7) * 8.0))
+    word = F.when(F.rand(8) < 0.33, F.lit("word1")).otherwise(F.concat(F.lit("word"), rank.cast("string")))
+    words = spark.range(0, n, 1, 6).select(F.col("id").cast("string").alias("my_id"), F.lit(1).alias("order"), word.alias("word"))
+    lemmas = [(f"word{i}", f"lemma{i}_{j}") for i in range(1, 2000) if i % 5 for j in range(1 + (i % 3 == 1))] + [("word7", None)]
+    return words, spark.createDataFrame(lemmas, "word string, lemma string")
+
+
+def test_hot_words_are_joined_apart(spark, monkeypatch):
+    words, lexicon = _zipf(spark)
+    words = words.unionByName(spark.createDataFrame([("none", 1, None)], words.schema))
+    words = tables.stage_roundtrip(words, "zipf-words")
+    monkeypatch.setattr(cleanse, "MAX_BROADCAST_LEXICON_ROWS", 100)
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        hot = cleanse.hot_words(words)
+        assert 1 <= hot.count() <= cleanse.HOT_SHARE * int(spark.conf.get("spark.sql.shuffle.partitions")) and hot.where("word = 'word1'").count() == 1
+        joined = cleanse.lemmatise(words, lexicon, hot)
+        plain = words.join(lexicon, "word", "left")
+        cols = ["my_id", "order", "word", "lemma"]
+        assert joined.select(cols).exceptAll(plain.select(cols)).count() == 0 and joined.count() == plain.count()
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" in plan
+        seldom = words.join(hot.select("word"), "word", "left_anti").where("word is not null").join(lexicon, "word", "left")
+        tasks = sorted(r["count"] for r in seldom.groupBy(F.spark_partition_id()).count().collect())
+        assert tasks[-1] <= 2 * tasks[len(tasks) // 2]
+        raw = sorted(r["count"] for r in plain.groupBy(F.spark_partition_id()).count().collect())
+        assert raw[-1] > 2 * raw[len(raw) // 2]  # what the split is for
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_chain_gives_the_same_texts_beyond_the_broadcast_bound(spark, monkeypatch):
+    arts = tables.article_texts(spark, "/root/testdata/sf0.001").select(F.col("doc_id").cast("string").alias("my_id"), "text")
+    lexicon = tables.stage_roundtrip(cleanse.fixture_lexicon(tables.article_texts(spark, "/root/testdata/sf0.001")), "lexicon")
+    small = {tuple(r) for r in cleanse.clean_corpus(arts, lexicon, 30).collect()}
+    monkeypatch.setattr(cleanse, "HOT_SHARE", 100)
+    for least in (cleanse.MAX_BROADCAST_LEXICON_ROWS, 100):
+        monkeypatch.setattr(cleanse, "MAX_BROADCAST_LEXICON_ROWS", least)
+        assert {tuple(r) for r in cleanse.clean_corpus(arts, lexicon, 30).collect()} == small
+    chain = cleanse.Chain(arts, lexicon, 30, exclude_entities=True)
+    assert chain.large and chain.hot.count() > 0
+    grown = {r.word for r in chain.growth().collect()}
+    assert not grown & set(cleanse.ENTITY_EXCLUSIONS)  # the entity list applied
+
