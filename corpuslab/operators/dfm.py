@@ -23,14 +23,31 @@ LABEL_SPLIT_RE = r"[,\s]+"
 # ---------------------------------------------------------------------------
 # Building
 # ---------------------------------------------------------------------------
+def row_counts(df: DataFrame, id_col: str, values: str, term=lambda x: x, extra=lambda x: {}) -> DataFrame:
+    """``(id, term, n)`` from an array column, counted inside the row: the array is sorted and its runs are measured, nothing is shuffled.
+
+    ``term`` reads the term of an entry, ``extra`` further columns from the first (smallest) entry of a run. One row of ``df`` is one document.
+    """
+    ordered = df.select(id_col, F.sort_array(values).alias("_s")).where(F.size("_s") > 0)
+
+    def at(i):
+        return F.get(F.col("_s"), i)
+
+    begins = F.filter(F.sequence(F.lit(0), F.size("_s") - 1), lambda i: (i == 0) | (term(at(i)) != term(at(i - 1))))
+    runs = ordered.select(id_col, "_s", begins.alias("_b")).select(
+        id_col, "_s", F.explode(F.transform("_b", lambda i, k: F.struct(i.alias("i"), (F.coalesce(F.get(F.col("_b"), k + 1), F.size("_s")) - i).alias("n")))).alias("_r"))
+    first = at(F.col("_r.i"))
+    return runs.select(id_col, term(first).alias("term"), F.col("_r.n").cast("long").alias("n"), *[c.alias(k) for k, c in extra(first).items()])
+
+
 def label_dfm(df: DataFrame, id_col: str = "my_id", col: str = "topics", removals=LABEL_REMOVALS) -> DataFrame:
     """DFM of a comma-delimited label column: lower case, word tokens, removals dropped (row 88).
 
-    Also returns ``pos`` of the first occurrence, which fixes the feature order.
+    Also returns ``pos`` of the first occurrence, which fixes the feature order. Counted in the row (:func:`row_counts`).
     """
-    toks = df.select(id_col, F.posexplode(F.split(F.lower(F.col(col)), LABEL_SPLIT_RE)).alias("pos", "term"))
-    toks = toks.where((F.col("term") != "") & ~F.col("term").isin(*removals))
-    return toks.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("pos"))
+    toks = F.transform(F.split(F.lower(F.col(col)), LABEL_SPLIT_RE), lambda x, i: F.struct(x.alias("term"), i.alias("pos")))
+    kept = F.filter(toks, lambda x: (x["term"] != "") & ~x["term"].isin(*removals))
+    return row_counts(df.select(id_col, kept.alias("_v")), id_col, "_v", lambda x: x["term"], lambda x: {"pos": x["pos"]})
 
 
 def ngram_terms(tokens, n: int):
@@ -46,15 +63,14 @@ def ngram_terms(tokens, n: int):
 def text_dfm(df: DataFrame, id_col: str = "my_id", col: str = "lemma_text", ngrams=(1,)) -> DataFrame:
     """DFM of a space-separated text column, for one or several n-gram sizes (rows 89, 92).
 
-    The n-grams of all sizes are built in the row, so the text is read and split once. ``sequence(1, 0)``
+    The n-grams of all sizes are built and counted in the row (:func:`row_counts`), so the text is read and split once and nothing is shuffled. ``sequence(1, 0)``
     would count down in Spark, so a document shorter than the n-gram size gives an empty array.
     """
     toks = F.filter(F.split(F.col(col), " "), lambda x: x != F.lit(""))
     base = df.where(F.col(col).isNotNull()).select(id_col, toks.alias("_t"))
     none = F.array().cast("array<string>")
     sizes = [F.when(F.size("_t") >= n, ngram_terms(F.col("_t"), n)).otherwise(none) for n in ngrams]
-    allg = base.select(id_col, F.explode(F.concat(*sizes)).alias("term"))
-    return allg.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("n"))
+    return row_counts(base.select(id_col, F.concat(*sizes).alias("_v")), id_col, "_v")
 
 
 # ---------------------------------------------------------------------------

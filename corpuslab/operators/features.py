@@ -88,18 +88,20 @@ def add_scope_flag(df: DataFrame, p: ScopeParams = ScopeParams()) -> DataFrame:
     # at most 1 / share values can each hold that share of the rows
     flagged = in_list(df, "channel", chans, "channel", "_chan_ok", bounded=p.min_channel_share is not None)
     lead_ok = F.col("post_lead_type").isNotNull() & ~F.col("post_lead_type").isin(*EXCLUDED_LEAD_TYPES)
-    text_ok = F.col("text").isNotNull() & (F.length("text") > 0)
+    length = F.length("text") if "text" in df.columns else F.col("nb_char_text")
+    text_ok = length.isNotNull() & (length > 0)
     return flagged.withColumn("top_OK", F.col("_chan_ok") & lead_ok & text_ok).drop("_chan_ok")
 
 
 def dedupe_by_key(df: DataFrame, key: str = "url", order_cols: list[str] | None = None, wide=("text",),
-                  id_col: str | None = None, width: int = 5) -> DataFrame:
+                  id_col: str | None = None, width: int = 5, copies_col: str | None = None) -> DataFrame:
     """Keep one row per key: the one that is first by ``order_cols`` (default: all other columns but the ``wide`` ones),
     then by the hash of the whole row (row 36). With ``id_col`` the kept rows get their id of :func:`add_row_ids`.
 
     The choice is made on narrow rows (key, order columns, hash), written once; the whole
     rows then meet it in one join on key and hash, so copies of a hot key that lose are spread over the
     tasks. Exact copies of a winner are combined on the map side. A null key is a key like others.
+    ``copies_col`` names a column for the number of rows that the key had.
     """
     order = order_cols or [c for c in df.columns if c != key and c not in wide]
     hashed = df.withColumn("_h", F.xxhash64(*[F.col(c) for c in df.columns]))
@@ -108,7 +110,7 @@ def dedupe_by_key(df: DataFrame, key: str = "url", order_cols: list[str] | None
     won = stage_roundtrip(won, "dedupe-keys")
     if id_col is not None:
         won = add_row_ids(won, "_key", id_col, width)
-    out = df.columns + ([] if id_col is None else [id_col])
+    out = df.columns + ([] if id_col is None else [id_col]) + ([] if copies_col is None else [F.col("_n").alias(copies_col)])
     kept = hashed.join(won, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_h") == F.col("_best")))
     once = kept.where("_n = 1").select(*out)
     if won.where("_n > 1").isEmpty():
@@ -199,8 +201,8 @@ def add_series_flag(df: DataFrame, min_rows: int = 2, by_author: bool = False, i
 
 
 def add_length_percent_rank(df: DataFrame, out_col: str = "length_pr") -> DataFrame:
-    """``percent_rank(nchar(text))`` over the whole table, nulls ignored (row 51)."""
-    with_len = df.withColumn("_len", F.length("text"))
+    """``percent_rank(nchar(text))`` over the whole table, nulls ignored (row 51); a table without its texts has their lengths."""
+    with_len = df.withColumn("_len", F.length("text") if "text" in df.columns else F.col("nb_char_text").cast("int"))
     return percent_rank_by_histogram(with_len, "_len", out_col).drop("_len")
 
 
@@ -224,28 +226,51 @@ def tighten_scope(df: DataFrame, p: ScopeParams = ScopeParams(), lengths: DataFr
     return t.withColumn("top_OK", F.col("top_OK") & ok).drop("_ceiling")
 
 
+def without_text(articles: DataFrame) -> DataFrame:
+    """The articles with length and hash (``nb_char_text``, ``_text``) in place of the text."""
+    return articles.withColumn("nb_char_text", tx.text_length("text")).withColumn("_text", F.xxhash64("text")).drop("text")
+
+
+def attach_text(rows: DataFrame, articles: DataFrame, key: str = "url") -> DataFrame:
+    """``rows`` of :func:`without_text` with their texts again, by key and hash of the text, in one join.
+
+    Texts of keys that occurred several times (``_copies``) are first made unique; the others need no step of their own.
+    """
+    texts = articles.select(F.col(key).alias("_key"), F.xxhash64("text").alias("_hash"), "text")
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_text") == F.col("_hash"))
+    out = [*[c for c in rows.columns if c not in ("_text", "_copies")], "text"]
+    once = rows.where("_copies = 1").join(texts, same).select(*out)
+    several = rows.where("_copies > 1")
+    if several.isEmpty():
+        return once
+    again = several.join(texts, same).dropDuplicates([key])  # one row a key is left of them
+    return once.unionByName(again.select(*out))
+
+
 def feature_table(articles: DataFrame, p: ScopeParams = ScopeParams(), topic_flags: DataFrame | None = None,
-                  tighten: bool = True, stage=None) -> DataFrame:
+                  tighten: bool = True, stage=None, text: bool = True) -> DataFrame:
     """All derived columns of the exploration / feature stage.
 
     Row-level columns are computed in one pass into a base table (scope flag,
     de-duplication, ids, author, lengths, label count, lead-type class). Every
     global aggregate the script uses (minimum date, series titles, length
     ranks) is computed from that base and joined back, so no branch re-derives
-    another. ``stage(df, name)`` may materialise the base (e.g.
-    :func:`corpuslab.sources.tables.stage_roundtrip`); by default it stays lazy.
+    another. The base holds no text, only its length and hash; with ``text`` the texts join once, at the end. ``stage(df, name)`` may
+    materialise the base (e.g. :func:`corpuslab.sources.tables.stage_roundtrip`); by default it stays lazy.
     ``topic_flags`` (wide, keyed by ``my_id``) is joined on the id, never bound by position.
     """
-    base = add_scope_flag(articles, p)  # channel counts come from the input table, as in the script
-    base = dedupe_by_key(base, "url", id_col="my_id", width=p.id_width)
-    base = add_lead_type_class(add_text_stats(add_author_features(base)))
+    order = [c for c in articles.columns if c not in ("url", "text")] + ["top_OK"]
+    base = add_scope_flag(without_text(articles), p)  # channel counts come from the input table, as in the script
+    base = dedupe_by_key(base, "url", order_cols=order, id_col="my_id", width=p.id_width, copies_col="_copies")
+    base = add_lead_type_class(add_author_features(base).withColumn("nb_topics", tx.topic_count("topics")))
     if stage is not None:
         base = stage(base, "feature_base")
     t = add_series_flag(base, p.series_min_rows, id_col="my_id")
     t = add_days_since_first(t, p.chronological_min_date, dates=base)
     if topic_flags is not None:
         t = t.join(topic_flags, "my_id", "left")
-    return tighten_scope(t, p, base) if tighten else t
+    t = tighten_scope(t, p, base) if tighten else t
+    return attach_text(t, articles) if text else t.drop("_text", "_copies")
 
 
 def scoped_articles(features: DataFrame) -> DataFrame:

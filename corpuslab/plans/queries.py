@@ -51,8 +51,8 @@ FEATURE_COLS = ARTICLE_COLS + ["top_OK", "my_id", "top_partner", "date_min", "nb
                                "nb_topics", "first_author", "post_lead_type2", "top_series"]
 
 
-def _feat(spark, sf):
-    return st.features_df(spark, sf)
+def _feat(spark, sf, text=False):
+    return st.features_df(spark, sf, text)
 
 
 # ---------------------------------------------------------------------------
@@ -77,12 +77,12 @@ def q_load_lexicon(spark, sf):
 
 @register("stage_roundtrip", W(f"select {', '.join(FEATURE_COLS)} from features"))
 def q_stage_roundtrip(spark, sf):
-    return tables.stage_roundtrip(_feat(spark, sf).select(*FEATURE_COLS), "feature_table")
+    return tables.stage_roundtrip(_feat(spark, sf, text=True).select(*FEATURE_COLS), "feature_table")
 
 
 @register("feature_table", W(f"select {', '.join(FEATURE_COLS)} from features"))
 def q_feature_table(spark, sf):
-    return _feat(spark, sf).select(*FEATURE_COLS)
+    return _feat(spark, sf, text=True).select(*FEATURE_COLS)
 
 
 @register("list_columns", W(" union all ".join(
@@ -162,7 +162,7 @@ def q_scope_filter(spark, sf):
     "where not coalesce(length(f.text) > 200 and p.pr < 0.95, false)"))
 def q_filter_complement(spark, sf):
     t = features.add_length_percent_rank(st.features_first_scope_df(spark, sf), "_pr")
-    rule = tx.null_false((F.length("text") > 200) & (F.col("_pr") < 0.95))
+    rule = tx.null_false((F.col("nb_char_text") > 200) & (F.col("_pr") < 0.95))
     return t.where(~rule).select("my_id")
 
 
@@ -177,7 +177,8 @@ def q_filter_null_lemma(spark, sf):
 def q_in_list(spark, sf):
     a = st.articles_df(spark, sf)
     chans = features.frequent_values(a, "channel", None, S.CHANNEL_SHARE)
-    return features.in_list(a, "channel", chans, "channel", "channel_ok").select("url", "channel", "channel_ok")
+    # at most 1 / share channels can hold that share of the rows
+    return features.in_list(a, "channel", chans, "channel", "channel_ok", bounded=True).select("url", "channel", "channel_ok")
 
 
 @register("not_in_list", W(
@@ -219,10 +220,7 @@ def q_lemma_rejoin(spark, sf):
 
 @register("join_doc_texts", W("select my_id, clean_word_text, lemma_text from texts"))
 def q_join_doc_texts(spark, sf):
-    j2 = st.joined2_df(spark, sf)
-    words = cleanse.ordered_text(j2, "my_id", "order", "word", "clean_word_text")
-    lemmas = cleanse.ordered_text(cleanse.drop_short(j2, "lemma"), "my_id", "order", "lemma", "lemma_text")
-    return words.join(lemmas, "my_id", "left")
+    return cleanse.collapse_texts(st.joined2_df(spark, sf))  # both texts from one aggregate: the chain runs once, nothing is joined
 
 
 @register("attach_doc_texts", W(
@@ -241,7 +239,7 @@ def q_top_series(spark, sf):
     "where length(g.text) > 200 and p.pr < 0.95)"))
 def q_semi_by_id(spark, sf):
     t = st.features_first_scope_df(spark, sf)
-    kept = features.add_length_percent_rank(t, "_pr").where((F.length("text") > 200) & (F.col("_pr") < 0.95))
+    kept = features.add_length_percent_rank(t, "_pr").where((F.col("nb_char_text") > 200) & (F.col("_pr") < 0.95))
     return t.join(kept.select("my_id"), "my_id", "left_semi").select("my_id")
 
 
@@ -311,7 +309,7 @@ def q_dedupe_by_url(spark, sf):
 
 @register("min_date", W("select date_min_lexicographic, date_min_chronological from dmin"))
 def q_min_date(spark, sf):
-    t = features.dedupe_by_key(features.add_scope_flag(st.articles_df(spark, sf), st.SCOPE), "url")
+    t = st.features_first_scope_df(spark, sf)  # de-duplicated without its texts
     return features.min_date(t).select("date_min_lexicographic", "date_min_chronological")
 
 

@@ -1,8 +1,8 @@
 """Stage builders shared by the registered queries: the fixture article table
 and everything derived from it, with the fixture thresholds of FIXTURES.md.
 
-Lineage is cut where a table is read more than once: the feature base, and
-in the cleansing chain the articles, the feature table, the lexicon, the corpus with its
+Lineage is cut where a table is read more than once: the feature base (without texts), and
+in the cleansing chain the feature table, the lexicon, the corpus with its
 texts, and the processed / prepared document-term tables. Each cut is a Parquet
 table under ``spark.checkpoint.dir`` (shared on a cluster), so a lost executor
 re-reads files instead of recomputing, later aggregates still get column
@@ -33,22 +33,22 @@ def articles_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.articles(spark, sf_dir)
 
 
-def _feature_table(spark: SparkSession, sf_dir: str, tighten: bool) -> DataFrame:
-    return features.feature_table(articles_df(spark, sf_dir), SCOPE, tighten=tighten, stage=stage)
+def _feature_table(spark: SparkSession, sf_dir: str, tighten: bool, text: bool) -> DataFrame:
+    return features.feature_table(articles_df(spark, sf_dir), SCOPE, tighten=tighten, stage=stage, text=text)
 
 
-def features_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The feature table (tightened scope) without the topic flags, lazy over its written base."""
-    return _feature_table(spark, sf_dir, True)
+def features_df(spark: SparkSession, sf_dir: str, text: bool = False) -> DataFrame:
+    """The feature table (tightened scope) without the topic flags, lazy over its written base; the texts only on demand."""
+    return _feature_table(spark, sf_dir, True, text)
 
 
 def features_first_scope_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feature table before the tightened scope rule (``top_OK`` as first defined)."""
-    return _feature_table(spark, sf_dir, False)
+    """Feature table before the tightened scope rule (``top_OK`` as first defined), without texts."""
+    return _feature_table(spark, sf_dir, False, False)
 
 
 def scoped_df(spark: SparkSession, sf_dir: str, feats: DataFrame | None = None) -> DataFrame:
-    return features.scoped_articles(features_df(spark, sf_dir) if feats is None else feats)
+    return features.scoped_articles(features_df(spark, sf_dir, text=True) if feats is None else feats)
 
 
 def lexicon_df(spark: SparkSession, sf_dir: str, arts: DataFrame | None = None) -> DataFrame:
@@ -61,7 +61,7 @@ class Corpus:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
-        self.articles = stage(articles_df(spark, sf_dir), "articles")  # read by the features and by the lexicon
+        self.articles = articles_df(spark, sf_dir)  # lazy: its text is written with the features and with the corpus, nowhere else
         # the feature table and the lexicon depend only on the articles: their jobs are submitted from two
         # threads so that Spark runs them side by side on the free cores
         with ThreadPoolExecutor(max_workers=2) as pool:

@@ -66,3 +66,22 @@ def test_vocabulary_joins_are_the_same_beyond_the_broadcast_bound(spark, monkeyp
     monkeypatch.setattr(dfm, "HOT_TERMS", 2)
     assert results() == few and all(few)
     assert ("000", 1, "warm") in few[3] and not any(t == "hot" for _, _, t in few[3])
+
+
+def test_counts_inside_the_row_equal_a_shuffled_count(spark):
+    rows = [("1", "b a b  a b c"), ("2", ""), ("3", None), ("4", "a"), ("5", "x y x y x y"), ("6", " ".join(f"w{i % 97}" for i in range(3000)))]
+    df = spark.createDataFrame(rows, "my_id string, lemma_text string")
+    for sizes in ((1,), (2,), (1, 2, 3)):
+        got = dfm.text_dfm(df, ngrams=sizes)
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+        want = {}
+        for i, t in rows:
+            w = [x for x in (t or "").split(" ") if x]
+            for n in sizes:
+                for k in range(len(w) - n + 1):
+                    g = "_".join(w[k : k + n])
+                    want[i, g] = want.get((i, g), 0) + 1
+        assert {(r.my_id, r.term): r.n for r in got.collect()} == want
+    labels = {(r.my_id, r.term): (r.n, r.pos) for r in dfm.label_dfm(spark.createDataFrame([("1", "tv,mob, tv mob,uncategorized"), ("2", None), ("3", "")], "my_id string, topics string")).collect()}
+    assert labels == {("1", "tv"): (2, 0), ("1", "mob"): (2, 1)}
+

@@ -101,3 +101,26 @@ def test_series_flag_is_the_same_beyond_the_broadcast_bound(spark, monkeypatch):
     assert few == many and {r.my_id for r in few if not r.top_series} == {"90"}
     both = {r.my_id: r.top_series for r in features.add_series_flag(df, by_author=True, id_col="my_id").collect()}
     assert both["0"] and both["91"] and not both["94"]
+
+
+def test_feature_table_attaches_the_text_of_the_row_it_kept(spark):
+    """Same rows with and without texts; repeated urls, exact copies, null urls and null texts keep one row with its own text."""
+    from corpuslab.operators import features
+
+    row = ("u1", 5, "t", "x" * 300, "Ann", "01/02/2015", "a,b", "en", "article", "Default", "us", "src")
+    cols = ["url", "shares", "title", "text", "author", "date", "topics", "channel", "content_type", "post_lead_type", "geo", "sourced_from"]
+
+    def like(**change):
+        return tuple(change.get(c, v) for c, v in zip(cols, row))
+
+    rows = [row, row, like(text="y" * 250), like(url="u2", text="z" * 280), like(url="u3", text=None), like(url=None, text="n" * 260), like(url=None, text="n" * 260), like(url="u4", shares=1, text="p"), like(url="u4", shares=2, text="q")]
+    articles = spark.createDataFrame(rows, "url string, shares long, title string, text string, author string, date string, topics string, channel string, content_type string, post_lead_type string, geo string, sourced_from string")
+    params = features.ScopeParams(min_channel_rows=1)
+    wide = features.feature_table(articles, params, tighten=False, stage=lambda df, name: df if "text" not in df.columns else 1 / 0)
+    narrow = features.feature_table(articles, params, tighten=False, text=False)
+    got = {r.url: r for r in wide.collect()}
+    assert wide.count() == 5 and set(got) == {"u1", "u2", "u3", "u4", None}
+    assert "text" not in narrow.columns and sorted(wide.columns) == sorted([*narrow.columns, "text"])
+    assert {(r.url, r.my_id, r.nb_char_text, r.top_OK) for r in wide.collect()} == {(r.url, r.my_id, r.nb_char_text, r.top_OK) for r in narrow.collect()}
+    assert got["u1"].text in ("x" * 300, "y" * 250) and len(got["u1"].text) == got["u1"].nb_char_text
+    assert got["u3"].text is None and not got["u3"].top_OK and got["u4"].text == "p" and got[None].text == "n" * 260
