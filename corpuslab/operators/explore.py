@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslab.functions import text as tx
 from corpuslab.operators.ranking import cumulative_counts, exact_quantiles, value_histogram, values_at_ranks
+from corpuslab.sources.tables import stage_roundtrip
 
 
 def group_count(df: DataFrame, *keys) -> DataFrame:
@@ -108,6 +109,7 @@ def kernel_density(df: DataFrame, col: str, n_points: int = 512, cut: float = 3.
     stats = stats.withColumn("_from", F.col("_min") - cut * F.col("_bw")).withColumn("_to", F.col("_max") + cut * F.col("_bw"))
     stats = stats.withColumn("_low", F.col("_from") - 4 * F.col("_bw")).withColumn("_delta", (F.col("_to") + 4 * F.col("_bw") - F.col("_low")) / (n_bins - 1))
     stats = stats.withColumn("_step", (F.col("_to") - F.col("_from")) / (n_points - 1)).select("_n", "_bw", "_from", "_step", "_low", "_delta")
+    stats = stage_roundtrip(stats, "density-grid")  # one row, read by three branches
     place = (F.col("_x") - F.col("_low")) / F.col("_delta")
     near = base.crossJoin(F.broadcast(stats)).select(F.floor(place).alias("j"), (place - F.floor(place)).alias("_f"))
     binned = near.groupBy("j").agg(F.sum(1 - F.col("_f")).alias("_here"), F.sum("_f").alias("_next"))
@@ -118,6 +120,7 @@ def kernel_density(df: DataFrame, col: str, n_points: int = 512, cut: float = 3.
     rough = grid.crossJoin(F.broadcast(mass)).groupBy("g").agg((F.sum(F.col("m") * F.exp(-0.5 * z * z)) / F.first(F.col("_n") * F.col("_bw") * F.lit(math.sqrt(2 * math.pi)))).alias("y"))
     at = spark.range(n_points).select(F.col("id").alias("i")).crossJoin(F.broadcast(stats)).withColumn("x", F.col("_from") + F.col("i") * F.col("_step"))
     at = at.withColumn("_p", (F.col("x") - F.col("_low")) / F.col("_delta")).withColumn("g", F.floor("_p"))
-    both = at.join(rough, "g").join(rough.select((F.col("g") - 1).alias("g"), F.col("y").alias("_y2")), "g")
+    rough = rough.withColumn("_y2", F.lead("y").over(Window.orderBy("g")))  # n_bins rows
+    both = at.join(F.broadcast(rough), "g")
     f = F.col("_p") - F.col("g")
     return both.select(F.col("i").cast("long").alias("i"), "x", (F.col("y") * (1 - f) + F.col("_y2") * f).alias("density"))

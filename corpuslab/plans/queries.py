@@ -1129,13 +1129,30 @@ def _fitted_inputs(spark, sf):
     return _article_table(c, corpus), st.prepped_df(spark, sf, st.processed_df(spark, sf, corpus))
 
 
-@register("fitted_data")
-def q_fitted_data(spark, sf):
-    """The finished article table of the modelled documents with the tm_01..tm_10 columns of both models (``model``: ctm, and stm
-    with prevalence covariates), joined on my_id (rows-only)."""
+def _fitted(spark, sf, ctm_iter, stm_iter):
     meta, prepped = _fitted_inputs(spark, sf)
     meta = st.stage(meta, "article-table")
     covariates = meta.select("my_id", "first_author", "nb_days", "post_lead_type2", "channel")
-    fits = {"ctm": topics.fit_ctm(prepped, K, CTM_ITER), "stm": topics.fit_stm(prepped, covariates, K, STM_ITER, content_col=None)}
+    fits = {"ctm": topics.fit_ctm(prepped, K, ctm_iter), "stm": topics.fit_stm(prepped, covariates, K, stm_iter, content_col=None)}
     ctm, stm = (report.bind_theta(meta, m.theta(), K, "my_id").withColumn("model", F.lit(name)) for name, m in fits.items())
     return ctm.unionByName(stm)
+
+
+@register("fitted_data")
+def q_fitted_data(spark, sf):
+    """The finished article table of the modelled documents with the tm_01..tm_10 columns of both models (``model``: ctm, and stm
+    with prevalence covariates), joined on my_id (rows-only)."""
+    return _fitted(spark, sf, CTM_ITER, STM_ITER)
+
+
+@register("fitted_columns", WD(
+    f"select m.model, {', '.join('s.' + x for x in FEATURE_COLS)}, {', '.join('coalesce(f.' + x + ', false) as ' + x for x in FLAG_COLS)}, "
+    f"s.top_city, t.clean_word_text, t.lemma_text, 1.0::double as theta_sum from scoped s left join texts t on s.my_id = t.my_id "
+    f"left join (select g.my_id, {FLAGS_SQL} from flag_grid g group by g.my_id) f on s.my_id = f.my_id "
+    "cross join (values ('ctm'), ('stm')) m(model) where s.my_id in (select my_id from prepped)"))
+def q_fitted_columns(spark, sf):
+    """``fitted_data`` after one EM iteration of each model: everything in it that does not depend on the fit, and the sum of each row's topic shares."""
+    both = _fitted(spark, sf, 1, 1)
+    names = [report.topic_name(t) for t in range(1, K + 1)]
+    total = sum((F.col(c) for c in names[1:]), F.col(names[0]))
+    return both.withColumn("theta_sum", F.round(total, 9)).drop(*names)
