@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.llm import textops as tx
 from corpuslab.llm.bpe import Encoder
+from corpuslab.llm.shared import released
 
 TIERS = (256, 512, 1024, 2048)
 END_ID = 1
@@ -225,5 +226,5 @@ def pack(
         vocabulary = docs.sparkSession.sparkContext.broadcast(f.read())
     schema = PIECE_SCHEMA + (", ids binary" if with_ids else "")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        lambda batches: _pack_task(batches, vocabulary.value, tiers, end_id, step_tokens, block_tokens, with_ids), schema
+        released(lambda batches: _pack_task(batches, vocabulary.value, tiers, end_id, step_tokens, block_tokens, with_ids)), schema
     )
