@@ -23,8 +23,11 @@ def topic_name(k: int, width: int = 2, prefix: str = "tm_") -> str:
 # ---------------------------------------------------------------------------
 # Fixed model stand-ins (FIXTURES.md section 4)
 # ---------------------------------------------------------------------------
-def fixture_theta(embeddings: DataFrame, k: int = 10, scale: float = 4.0) -> DataFrame:
-    """Softmax of ``k`` sums over the whole embedding (positions modulo ``k``), per row: array functions, no shuffle."""
+def fixture_theta(embeddings: DataFrame, k: int = 10, scale: float = 4.0, packed: bool = False) -> DataFrame:
+    """Softmax of ``k`` sums over the whole embedding (positions modulo ``k``), per row: array functions, no shuffle.
+
+    ``(doc_id, topic, p)``, or with ``packed`` one row a document, ``(doc_id, theta)``.
+    """
     def total(t):
         own = F.filter("embedding", lambda x, i: (i % k) == t)
         return F.aggregate(own, F.lit(0.0), lambda acc, x: acc + x.cast("double"))
@@ -32,6 +35,8 @@ def fixture_theta(embeddings: DataFrame, k: int = 10, scale: float = 4.0) -> Dat
     w = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda t: F.exp(F.lit(scale) * total(t)))
     e = embeddings.select(F.col("vec_id").alias("doc_id"), w.alias("_w"))
     e = e.withColumn("_s", F.aggregate("_w", F.lit(0.0), lambda acc, x: acc + x))
+    if packed:
+        return e.select("doc_id", F.transform("_w", lambda x: x / F.col("_s")).alias("theta"))
     return e.select("doc_id", F.posexplode("_w").alias("_t", "_x"), "_s").select(
         "doc_id", (F.col("_t") + 1).cast("int").alias("topic"), (F.col("_x") / F.col("_s")).alias("p"))
 
@@ -84,7 +89,12 @@ def top_k_per_group(df: DataFrame, group_cols, order_cols, k: int, salt_col: str
 # Theta reports
 # ---------------------------------------------------------------------------
 def theta_wide(theta: DataFrame, k: int = 10, id_col: str = "doc_id") -> DataFrame:
-    """``tm_01 .. tm_k`` columns, one row per document (rows 11, 106)."""
+    """``tm_01 .. tm_k`` columns, one row per document (rows 11, 106).
+
+    From packed shares ``(id, theta)`` in the row, without a shuffle; long shares ``(id, topic, p)`` are pivoted.
+    """
+    if "theta" in theta.columns:
+        return theta.select(id_col, *[F.get("theta", F.lit(t - 1)).alias(topic_name(t)) for t in range(1, k + 1)])
     return theta.groupBy(id_col).agg(
         *[F.max(F.when(F.col("topic") == t, F.col("p"))).alias(topic_name(t)) for t in range(1, k + 1)])
 
@@ -95,7 +105,9 @@ def bind_theta(meta: DataFrame, theta: DataFrame, k: int = 10, id_col: str = "do
 
 
 def theta_row_sums(theta: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Per-document sum of theta (must be 1) (row 46)."""
+    """Per-document sum of theta (must be 1) (row 46); of packed shares in the row."""
+    if "theta" in theta.columns:
+        return theta.select(id_col, F.aggregate("theta", F.lit(0.0), lambda a, x: a + x).alias("row_sum"))
     return theta.groupBy(id_col).agg(F.sum("p").alias("row_sum"))
 
 

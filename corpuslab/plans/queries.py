@@ -835,8 +835,8 @@ def WM(body: str, *extra: str) -> str:
     return S.with_base(body, MODEL_CTES, *extra)
 
 
-def _theta(spark, sf):
-    return report.fixture_theta(tables.read_table(spark, sf, "embeddings"), K)
+def _theta(spark, sf, packed=False):
+    return report.fixture_theta(tables.read_table(spark, sf, "embeddings"), K, packed=packed)
 
 
 def _fx_words(spark, sf, arts=None):
@@ -863,7 +863,7 @@ TM = [report.topic_name(t) for t in range(1, K + 1)]
 
 @register("rename_topics", WM(f"select doc_id, {', '.join(f'round({c}, 6) as {c}' for c in TM)} from theta_wide"))
 def q_rename_topics(spark, sf):
-    return _r6(report.theta_wide(_theta(spark, sf), K), *TM)
+    return _r6(report.theta_wide(_theta(spark, sf, packed=True), K), *TM)
 
 
 @register("bind_theta", WM(
@@ -871,7 +871,7 @@ def q_rename_topics(spark, sf):
     f"from articles a join theta_wide w on a.doc_id = w.doc_id"))
 def q_bind_theta(spark, sf):
     meta = st.articles_df(spark, sf).select("doc_id", "url", "title")
-    return _r6(report.bind_theta(meta, _theta(spark, sf), K), *TM)
+    return _r6(report.bind_theta(meta, _theta(spark, sf, packed=True), K), *TM)
 
 
 @register("theta_summary", WM(
@@ -884,7 +884,7 @@ def q_theta_summary(spark, sf):
 
 @register("theta_row_sums", WM("select doc_id, round(sum(p), 6) as row_sum from theta group by doc_id"))
 def q_theta_row_sums(spark, sf):
-    return _r6(report.theta_row_sums(_theta(spark, sf)), "row_sum")
+    return _r6(report.theta_row_sums(_theta(spark, sf, packed=True)), "row_sum")
 
 
 @register("topic_prevalence", WM(
@@ -895,13 +895,13 @@ def q_topic_prevalence(spark, sf):
 
 @register("topic_correlation", WM("select topic_a, topic_b, round(r, 6) as r from corr_long"))
 def q_topic_correlation(spark, sf):
-    return _r6(report.topic_correlation(_theta(spark, sf), K), "r")
+    return _r6(report.topic_correlation(_theta(spark, sf, packed=True), K), "r")
 
 
 @register("topic_graph", WM("select topic_a, topic_b, round(r, 6) as r from corr_long where topic_a < topic_b and r > -0.1"))
 def q_topic_graph(spark, sf):
     # the stand-in's shares sum to one and have no positive correlations; the cut lets its strongest pairs through
-    return _r6(report.topic_graph(report.topic_correlation(_theta(spark, sf), K), -0.1), "r")
+    return _r6(report.topic_graph(report.topic_correlation(_theta(spark, sf, packed=True), K), -0.1), "r")
 
 
 @register("theta_histogram", WM(
@@ -1134,7 +1134,7 @@ def _fitted(spark, sf, ctm_iter, stm_iter):
     meta = st.stage(meta, "article-table")
     covariates = meta.select("my_id", "first_author", "nb_days", "post_lead_type2", "channel")
     fits = {"ctm": topics.fit_ctm(prepped, K, ctm_iter), "stm": topics.fit_stm(prepped, covariates, K, stm_iter, content_col=None)}
-    ctm, stm = (report.bind_theta(meta, m.theta(), K, "my_id").withColumn("model", F.lit(name)) for name, m in fits.items())
+    ctm, stm = (report.bind_theta(meta, m.theta(packed=True), K, "my_id").withColumn("model", F.lit(name)) for name, m in fits.items())
     return ctm.unionByName(stm)
 
 

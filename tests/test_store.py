@@ -135,5 +135,10 @@ def test_every_report_on_a_fitted_model(spark, fitted):
     assert report.topic_summary(theta, beta, 3).count() == 3 and report.topic_cloud(beta, 1, 7).count() == 7
     assert report.theta_histogram(theta, 20).agg(F.sum("n")).first()[0] == 270 and report.theta_summary(theta).count() == 3
     assert report.topic_graph(report.topic_correlation(theta, 3), -1.0).count() == 3
+    packed = model.theta("doc_id", packed=True)  # the same from one row a document, without a shuffle
+    assert "Exchange" not in report.theta_row_sums(packed)._jdf.queryExecution().executedPlan().toString()
+    assert np.allclose([r.row_sum for r in report.theta_row_sums(packed).collect()], 1)
+    again = {(r.topic_a, r.topic_b): r.r for r in report.topic_correlation(packed, 3).collect()}
+    assert again.keys() == corr.keys() and all(abs(again[x] - corr[x]) < 1e-9 for x in corr)
     wide = report.bind_theta(meta, model.theta(), 3, "my_id")
     assert wide.count() == 90 and {"tm_01", "tm_02", "tm_03", "channel"} <= set(wide.columns)
