@@ -93,27 +93,36 @@ def add_scope_flag(df: DataFrame, p: ScopeParams = ScopeParams()) -> DataFrame:
     return flagged.withColumn("top_OK", F.col("_chan_ok") & lead_ok & text_ok).drop("_chan_ok")
 
 
+def key_counts(hashed: DataFrame, key: str) -> DataFrame:
+    """``(_key, _best, _n)``: rows of each key and the least hash among them; numbers only, so a hash aggregate combines them on the map side."""
+    return hashed.groupBy(F.col(key).alias("_key")).agg(F.min("_h").alias("_best"), F.count(F.lit(1)).alias("_n"))
+
+
 def dedupe_by_key(df: DataFrame, key: str = "url", order_cols: list[str] | None = None, wide=("text",),
                   id_col: str | None = None, width: int = 5, copies_col: str | None = None) -> DataFrame:
     """Keep one row per key: the one that is first by ``order_cols`` (default: all other columns but the ``wide`` ones),
     then by the hash of the whole row (row 36). With ``id_col`` the kept rows get their id of :func:`add_row_ids`.
 
-    The choice is made on narrow rows (key, order columns, hash), written once; the whole
-    rows then meet it in one join on key and hash, so copies of a hot key that lose are spread over the
+    Keys are counted first (:func:`key_counts`); only rows of keys that occur several times are ordered, as narrow rows (key, order columns, hash). The whole
+    rows then meet the written choice in one join on key and hash, so copies of a hot key that lose are spread over the
     tasks. Exact copies of a winner are combined on the map side. A null key is a key like others.
     ``copies_col`` names a column for the number of rows that the key had.
     """
     order = order_cols or [c for c in df.columns if c != key and c not in wide]
     hashed = df.withColumn("_h", F.xxhash64(*[F.col(c) for c in df.columns]))
-    best = F.min(F.struct(*[F.col(c) for c in order], F.col("_h"))).getField("_h")
-    won = hashed.groupBy(F.col(key).alias("_key")).agg(best.alias("_best"), F.count(F.lit(1)).alias("_n"))
-    won = stage_roundtrip(won, "dedupe-keys")
+    won = stage_roundtrip(key_counts(hashed, key), "dedupe-keys")
+    several = won.where("_n > 1")
+    if not several.isEmpty():  # only these rows need the order columns, whose strings no hash aggregate can hold
+        again = F.col(key).eqNullSafe(F.col("_key"))
+        rows = hashed.join(several.select("_key"), again, "left_semi").select(F.col(key).alias("_key"), F.struct(*[F.col(c) for c in order], F.col("_h")).alias("_o"))
+        best = rows.groupBy("_key").agg(F.min("_o").getField("_h").alias("_best"), F.count(F.lit(1)).alias("_n"))
+        won = stage_roundtrip(won.where("_n = 1").unionByName(best), "dedupe-winners")
     if id_col is not None:
         won = add_row_ids(won, "_key", id_col, width)
     out = df.columns + ([] if id_col is None else [id_col]) + ([] if copies_col is None else [F.col("_n").alias(copies_col)])
     kept = hashed.join(won, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_h") == F.col("_best")))
     once = kept.where("_n = 1").select(*out)
-    if won.where("_n > 1").isEmpty():
+    if several.isEmpty():
         return once
     return once.unionByName(kept.where("_n > 1").select(*out).dropDuplicates([key]))
 
