@@ -39,3 +39,20 @@ def test_density_of_nothing_and_its_plan(spark):
     assert "Generate" not in plan  # no fan-out of values
     area = explore.kernel_density(df, "v").agg(F.sum("density") * (F.max("x") - F.min("x")) / 511).first()[0]
     assert abs(area - 1) < 0.01
+
+
+def test_exact_density_sums_every_kernel(spark):
+    x = np.repeat([3.0, 4.0, 5.0, 6.0], [2, 5, 90, 9])  # few distinct values, as digit counts are
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "v double")
+    rows = explore.exact_kernel_density(df, "v").orderBy("i").collect()
+    at, binned, exact = _density(x)
+    assert [r.i for r in rows] == list(range(512)) and np.allclose([r.x for r in rows], at)
+    assert np.allclose([r.density for r in rows], exact, atol=1e-12 * exact.max())
+    assert np.abs(binned - exact).max() > 1e-6 * exact.max()
+    assert explore.exact_kernel_density(df.where("v is null"), "v").count() == 0
+
+
+def test_density_of_digits_is_exact(spark):
+    from corpuslab.plans import queries
+
+    assert "mass" not in queries.ORACLES["density_share_digits"] and "cross join h" in queries.ORACLES["density_share_digits"]
