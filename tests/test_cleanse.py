@@ -129,3 +129,38 @@ def test_chain_gives_the_same_texts_beyond_the_broadcast_bound(spark, monkeypatc
     grown = {r.word for r in chain.growth().collect()}
     assert not grown & set(cleanse.ENTITY_EXCLUSIONS)  # the entity list applied
 
+
+
+def test_collapsed_texts_with_fanned_out_words(spark):
+    """One list holds both texts: places repeat where a word has several lemmas, short and missing lemmas leave no entry."""
+    rows = [("1", 2, "walking", "walk"), ("1", 1, "house", "house"), ("1", 2, "walking", "walking"), ("1", 3, "cats", "cat"), ("1", 4, "unknown", None),
+            ("1", 2, "walking", "amble"), ("2", 1, "cats", "cat"), ("2", 2, "other", None)]
+    df = spark.createDataFrame(rows, "my_id string, order int, word string, lemma string")
+    got = {r.my_id: (r.clean_word_text, r.lemma_text) for r in cleanse.collapse_texts(df).collect()}
+    assert got == {"1": ("house walking walking walking cats unknown", "house amble walk walking"), "2": ("cats other", None)}
+    schema = str(cleanse.collapse_texts(df)._jdf.queryExecution().optimizedPlan())
+    assert schema.count("collect_list") == 1  # the words are shuffled once
+
+
+def test_a_query_writes_only_the_texts_it_reads(spark, monkeypatch):
+    """What the counts and the model read is written without the articles' other columns; the texts alone are not written at all."""
+    from corpuslab.plans import stages as st
+
+    written = {}
+    real = st.stage
+
+    def kept(df, name):
+        written[name] = df.columns
+        return real(df, name)
+
+    monkeypatch.setattr(st, "stage", kept)
+    c = st.run(spark, "/root/testdata/sf0.001")
+    written.clear()
+    narrow = c.lemma_texts()
+    assert written == {"lemma-texts": ["my_id", "lemma_text"]}
+    assert c.attached().columns == [*c.scoped.columns, "clean_word_text", "lemma_text"] and "corpus" not in written
+    assert narrow.count() == c.scoped.count()  # articles without a word are counted too
+    texts = st.texts_df(spark, "/root/testdata/sf0.001")
+    assert "corpus" not in written and texts.columns == ["my_id", "clean_word_text", "lemma_text"]
+    whole = st.texts_df(spark, "/root/testdata/sf0.001", c.corpus())
+    assert sorted(map(str, texts.collect())) == sorted(map(str, whole.collect()))
