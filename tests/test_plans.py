@@ -78,3 +78,45 @@ def test_features_choose_rows_on_narrow_keys(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     # the written base is never shuffled again: the only shuffles are those of the length histogram
     assert not any(f"hashpartitioning({k}" in plan for k in ("title", "url", "my_id", "channel", "nb_char_text"))
+
+
+def _tables(spark, sf, copies=()):
+    n = 60
+    docs = [(i, f"Word{i % 7} — " * 3 + "some plain text of words " * (9 + i % 5) if i % 11 else None, "en" if i % 4 else None, "web" if i % 9 else None) for i in range(1, n)]
+    docs += [docs[k] for k in copies] + [(docs[k][0], "another text " * 30, *docs[k][2:]) for k in copies]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(1, n, 2)] + [(3, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    orders = spark.createDataFrame([(i, 100.5 + i, "1995-03-07") for i in range(1, n)], "o_orderkey long, o_totalprice double, o_orderdate string")
+    orders.selectExpr("o_orderkey", "o_totalprice", "cast(o_orderdate as date) as o_orderdate").write.parquet(f"{sf}/orders.parquet")
+    spark.createDataFrame([(i, f"red part {i}", "BIG TIN") for i in range(1, 6)], "p_partkey long, p_name string, p_type string").write.parquet(f"{sf}/part.parquet")
+
+
+def test_texts_move_only_when_they_are_attached(spark, tmp_path):
+    """The article view without texts has their digests from the scan; features and scoped articles are those of the whole view, repeated and null keys included."""
+    from corpuslab.operators import features
+    from corpuslab.sources import tables
+
+    sf = str(tmp_path)
+    _tables(spark, sf, copies=(4, 8, 17))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        narrow = tables.articles(spark, sf, text=False)
+        plan = _plan(narrow.drop("text"))
+        shuffled = [x for x in plan.splitlines() if "Exchange" in x or "Sort " in x]
+        assert shuffled and "xxhash64(" in plan
+        below = plan[plan.index("Exchange"):]
+        assert "xxhash64(" in below  # hashed below the joins
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    whole = tables.articles(spark, sf)
+    want = features.without_text(whole)
+    assert narrow.columns == want.columns and narrow.dtypes == want.dtypes
+    assert sorted(map(str, narrow.collect())) == sorted(map(str, want.collect()))
+    c = st.run(spark, sf)
+    full = features.feature_table(whole, st.SCOPE)
+    assert "text" not in c.features.columns  # no text is written out of scope
+    scoped = features.scoped_articles(full)
+    assert c.scoped.count() > 20
+    rows = [sorted(map(str, t.select(*sorted(scoped.columns)).collect())) for t in (c.scoped, scoped, features.scoped_articles(st.features_df(spark, sf, text=True)))]
+    assert rows[0] == rows[1] == rows[2]
