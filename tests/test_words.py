@@ -69,3 +69,32 @@ def test_grams_that_read_alike_are_counted_together(spark):
         grams = [F.when(F.size("_t") >= n, dfm.ngram_terms(F.col("_t"), n)).otherwise(F.array().cast("array<string>")) for n in sizes]
         base = docs.where("text is not null").select("my_id", toks.alias("_t")).select("my_id", F.concat(*grams).alias("_v"))
         assert _rows(dfm.text_dfm(docs, "my_id", "text", sizes), "my_id", "term", "n") == _rows(dfm.row_counts(base, "my_id", "_v"), "my_id", "term", "n")
+
+
+def test_counted_words_and_grams_equal_their_plain_forms(monkeypatch):
+    """Words without places are those with places; n-grams packed into one integer are those numbered size by size, in slices of any size."""
+    from collections import Counter
+
+    import pyarrow as pa
+
+    col = pa.array([t for _, t in TEXTS] + ["", None, "last@mail.org", "http://a.bc/defg"], pa.string())
+    ids = pa.array(range(len(col)), pa.int64())
+    data, offsets = wd.column_bytes(col)
+    want = Counter(wd.words(data, offsets, 3)[0].to_pylist())
+    assert len(want) > 20 and Counter(wd.bare_words(col, 3).to_pylist()) == want
+    assert wd.bare_words(pa.array([], pa.string()), 3).to_pylist() == []
+
+    def grams():
+        batches = [pa.RecordBatch.from_arrays([ids, col], ["my_id", "text"])]
+        return sorted(tuple(r.values()) for b in wd.term_counts((1, 2, 3), "my_id")(batches) for r in b.to_pylist())
+
+    plain = Counter()
+    for i, text in enumerate(col.to_pylist()):
+        w = [x for x in (text or "").split(" ") if x]
+        plain.update((i, "_".join(w[k : k + n])) for n in (1, 2, 3) for k in range(len(w) - n + 1))
+    want = sorted((*k, n) for k, n in plain.items())
+    assert grams() == want
+    monkeypatch.setattr(wd, "GRAM_BYTES", 40)
+    assert grams() == want
+    monkeypatch.setattr(wd, "PACKED_BITS", 0)  # integers too short for any packing
+    assert grams() == want
