@@ -139,7 +139,7 @@ def tfidf_top(dfm: DataFrame, n_docs: DataFrame, k: int = 10) -> DataFrame:
 def stopword_table(spark) -> DataFrame:
     """Union of the packaged and the hand-picked stop words, distinct (row 61)."""
     words = sorted(set(SNOWBALL_ENGLISH) | set(CUSTOM_STOPWORDS))
-    return spark.createDataFrame([(w,) for w in words], "term string")
+    return spark.range(1).select(F.explode(F.array(*map(F.lit, words))).alias("term"))  # no Python worker is started for it
 
 
 def remove_stopwords(dfm: DataFrame) -> DataFrame:
