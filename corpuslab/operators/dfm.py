@@ -148,11 +148,28 @@ def remove_stopwords(dfm: DataFrame) -> DataFrame:
 
 
 def dictionary_map(dfm: DataFrame, dictionary: DataFrame, id_col: str = "my_id") -> DataFrame:
-    """Replace each feature by its dictionary value (first value by name when a key has several), re-aggregate (row 94)."""
-    d = dictionary.where("word is not null").groupBy(F.col("word").alias("term")).agg(F.min("lemma").alias("_to"))
-    d = term_stats(dfm).select("term", "docfreq").join(d, "term", "left")  # every term that occurs
-    m = join_terms(dfm, d).withColumn("term", F.coalesce("_to", "term"))
-    return m.groupBy(id_col, "term").agg(F.sum("n").alias("n"))
+    """Replace each feature by its dictionary value (first value by name when a key has several), re-aggregate (row 94).
+
+    The counts are written in blocks (:func:`corpuslab.operators.words.term_blocks`), of which only the distinct terms meet the entries that change a term: these
+    are broadcast up to ``BROADCAST_TERMS``, else joined by a shuffle. Rows of an id that lie together are added inside their block; only ids that
+    occur in several places are shuffled.
+    """
+    d = dictionary.where("word is not null").groupBy(F.col("word").alias("_term")).agg(F.min("lemma").alias("_to")).where("_to is not null and _to <> _term")
+    d = stage_roundtrip(d, "dictionary-values")
+    d = F.broadcast(d) if d.count() <= BROADCAST_TERMS else d
+    ids = dfm.schema[id_col].dataType.simpleString()
+    rows = dfm.where("term is not null").select(id_col, F.col("term").cast("string").alias("term"), F.col("n").cast("long").alias("n"))
+    blocks = stage_roundtrip(rows.mapInArrow(wd.term_blocks(), f"block long, ids array<{ids}>, sizes array<int>, codes array<int>, ns array<long>, vocab array<string>"), "term-blocks")
+    met = blocks.select("block", F.posexplode("vocab").alias("code", "_word")).join(d, F.col("_word") == F.col("_term"))
+    met = met.groupBy("block").agg(F.collect_list(F.struct("code", F.col("_to").alias("lemma"))).alias("lemmas"))
+    mapped = blocks.join(met, "block", "left").mapInArrow(wd.mapped_counts(id_col), f"`{id_col}` {ids}, term string, n long")
+    again = blocks.select(F.explode("ids").alias("_id")).groupBy("_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_id")
+    if again.isEmpty():
+        return mapped
+    again = stage_roundtrip(again, "ids-of-several-runs")
+    same = F.col(id_col).eqNullSafe(F.col("_id"))
+    several = mapped.join(again, same, "left_semi").groupBy(id_col, "term").agg(F.sum("n").alias("n"))
+    return mapped.join(again, same, "left_anti").unionByName(several)
 
 
 # ---------------------------------------------------------------------------

@@ -306,6 +306,7 @@ def _ranked_grams(sizes: tuple[int, ...], row: np.ndarray, codes: np.ndarray, vo
 
 
 PACKED_BITS = 63
+COUNTED_BYTES = 64 << 20  # of a block of counts at most, but for one batch
 GRAM_BYTES = 1 << 20  # nothing is counted across documents: short slices have short codes and stay in the cache
 
 
@@ -337,3 +338,69 @@ def term_counts(sizes: tuple[int, ...], id_col: str):
                 yield pa.RecordBatch.from_arrays([ids, _text(_one(table["term"])), pa.array(table["n"].to_numpy(), pa.int64())], [id_col, "term", "n"])
 
     return run
+
+
+BLOCK_ROWS = 1 << 18  # counts of a block of a document-term table, some tens of MB
+
+
+def _coded(column) -> tuple[np.ndarray, pa.Array]:
+    """Codes and distinct values of a column, a null being a value."""
+    coded = pc.dictionary_encode(column.combine_chunks(), null_encoding="encode")
+    return np.asarray(coded.indices, dtype=np.int64), coded.dictionary
+
+
+def term_blocks():
+    """``(id, term, n)`` -> one row for each block of rows: the ids and sizes of the runs of rows with one id, the rows' codes and counts, the distinct
+    terms. A run is cut only where it alone fills a block."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        block = TaskContext.get().partitionId() << 33
+
+        def made(table):
+            nonlocal block
+            keys, _ = _coded(table.column(0))
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            codes, vocab = _coded(table.column(1))
+            cells = [table.column(0).take(pa.array(first)).combine_chunks(), pa.array(np.diff(first, append=len(keys)), pa.int32()), pa.array(codes, pa.int32()),
+                     table.column(2).combine_chunks(), vocab]
+            block += 1
+            return pa.RecordBatch.from_arrays([pa.array([block - 1], pa.int64()), *map(_cell, cells)], ["block", "ids", "sizes", "codes", "ns", "vocab"])
+
+        held, rows, size = [], 0, 0
+        for batch in batches:
+            held.append(pa.Table.from_batches([batch]))
+            rows, size = rows + batch.num_rows, size + batch.nbytes
+            if rows < BLOCK_ROWS and size < COUNTED_BYTES:
+                continue
+            table = pa.concat_tables(held)
+            keys, _ = _coded(table.column(0))
+            ends = np.flatnonzero(keys[1:] != keys[:-1])
+            cut_at = int(ends[-1]) + 1 if len(ends) else rows  # the last run may go on
+            yield made(table.slice(0, cut_at))
+            held, rows = ([table.slice(cut_at)], rows - cut_at) if cut_at < rows else ([], 0)
+            size = sum(t.nbytes for t in held)
+        if rows:
+            yield made(pa.concat_tables(held))
+
+    return run
+
+
+def mapped_counts(id_col: str):
+    """Blocks of :func:`term_blocks` with ``lemmas`` (a code and its value) -> ``(id, term, n)``, added for each run and value."""
+
+    def run(batches):
+        for batch in batches:
+            for b in _opened(batch):
+                vocab, codes = b["vocab"], np.asarray(b["codes"], dtype=np.int64)
+                code, lemma = _lemmas(b)
+                value = np.arange(len(vocab))
+                value[code] = len(vocab) + np.arange(len(code))
+                own, names = _coded(pa.chunked_array([pa.concat_arrays([vocab, lemma.cast(vocab.type)]).take(pa.array(value))]))
+                docs = np.repeat(np.arange(len(b["ids"])), np.asarray(b["sizes"], dtype=np.int64))
+                table = pa.table({"key": docs * len(names) + own[codes], "n": b["ns"]}).group_by("key", use_threads=False).aggregate([("n", "sum")])
+                key, n = np.asarray(table["key"]), table["n_sum"].combine_chunks()
+                yield pa.RecordBatch.from_arrays([b["ids"].take(pa.array(key // len(names))), _text(names.take(pa.array(key % len(names)))), n], [id_col, "term", "n"])
+
+    return run
