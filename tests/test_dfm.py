@@ -120,7 +120,7 @@ def test_growth_is_counted_once(spark):
 
     docs = spark.createDataFrame([(1, "often often seldom")], "my_id long, text string")
     chain = cleanse.Chain(docs, spark.createDataFrame([("seldom", "seldom")], "word string, lemma string"), 3)
-    chain.texts()
+    chain.write_growth()
     grown = chain.grown_lexicon()
     assert grown is chain.grown_lexicon() and "MapInArrow" not in grown._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, grown.collect())) == [("often", "often"), ("seldom", "seldom")]
