@@ -98,3 +98,28 @@ def test_counted_words_and_grams_equal_their_plain_forms(monkeypatch):
     assert grams() == want
     monkeypatch.setattr(wd, "PACKED_BITS", 0)  # integers too short for any packing
     assert grams() == want
+
+
+def test_workers_work_in_pieces_and_keep_no_memory(spark, monkeypatch):
+    """Rows leave in small batches, blocks do not depend on the pieces, and every function gives its worker's memory back when its task ends."""
+    import pyarrow as pa
+
+    text = " ".join(f"word{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}" for i in range(1000)) + " "
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array([text * 25] * 40)], ["my_id", "text"])  # 8 MB
+    freed = []
+    monkeypatch.setattr(wd, "free_memory", lambda: freed.append(1))
+    rows = list(wd.word_rows(3, True, "my_id")(iter([batch])))
+    assert sum(r.num_rows for r in rows) == 40 * 25_000 and max(r.nbytes for r in rows) < 6 << 20 and freed == [1]
+    counts = pa.Table.from_batches(wd.word_counts(3)(iter([batch.select(["text"])])))
+    assert sum(counts["n"].to_pylist()) == 40 * 25_000 and freed == [1, 1]
+    monkeypatch.undo()
+
+    def chained():
+        monkeypatch.setattr(cleanse, "MAX_BROADCAST_LEXICON_ROWS", 0)
+        chain = cleanse.Chain(_docs(spark), cleanse.stage_roundtrip(spark.createDataFrame(LEXICON, "word string, lemma string"), "few"), 3)
+        return _rows(chain.joined(tokens=True), "my_id", "order", "token", "word", "lemma"), _rows(chain.texts(), "my_id", "clean_word_text", "lemma_text")
+
+    want = chained()
+    monkeypatch.setattr(wd, "PIECE_BYTES", 64)
+    monkeypatch.setattr(wd, "PIECE_TOKENS", 3)
+    assert chained() == want
